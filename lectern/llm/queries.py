@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, url_filter
+from lectern.llm import exact_dedup, packing, token_counts, url_filter
 
 QUERIES = {
+    "op1_curve_packing": packing.op1_curve_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
 }
 

@@ -11,7 +11,7 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import BROADCAST_BYTES, bounded, documents, table, with_hot_keys, written
@@ -20,39 +20,44 @@ from lectern.llm.common import BROADCAST_BYTES, bounded, documents, table, with_
 BLOCK_BITS = 32768
 
 
-def _with_bits(hashed: DataFrame, blocks: int) -> DataFrame:
-    """Adds the block of a row and its two bits there; all three come from disjoint bits of the hash."""
-    h = F.xxhash64("text_sha256")
-    return hashed.withColumns(
+def _with_bits(rows: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Adds the block of a row and its two bits there; all three come from disjoint bits of the key's hash."""
+    h = F.xxhash64(key)
+    return rows.withColumns(
         {"block": F.pmod(F.shiftrightunsigned(h, 30), F.lit(blocks)), "bit_a": h.bitwiseAND(F.lit(BLOCK_BITS - 1)), "bit_b": F.shiftright(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1))}
     )
 
 
-def _is_set(bitmap, bit):
+def _is_set(bitmap: Column, bit: Column) -> Column:
     """Whether the bit is set in the binary; null where there is no binary."""
     byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
-def repeated_filter(hashed: DataFrame, blocks: int) -> DataFrame:
-    """One row a block of the filter: the bits that two rows of hashed or more have set."""
-    bits = _with_bits(hashed, blocks).select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
+def repeated_filter(rows: DataFrame, key: str, blocks: int) -> DataFrame:
+    """One row a block of the filter: the bits that two rows or more have set."""
+    bits = _with_bits(rows, key, blocks).select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
     return bits.groupBy("block", "bit").count().filter("count > 1").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def possibly_repeated(rows: DataFrame, key: str, total: int, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """rows with `maybe`: false only where no other row has the key. rows is read twice; total is its count.
 
     The filter has bits_a_row bits for each row. Up to max_filter_bytes it is broadcast; a larger one is joined
     by its block number instead, so that no executor has to hold it.
     """
+    blocks = max(1, -(-total * bits_a_row // BLOCK_BITS))
+    known = bounded(repeated_filter(rows, key, blocks), blocks, BLOCK_BITS // 8, max_filter_bytes)
+    both = _is_set(F.col("bitmap"), F.col("bit_a")) & _is_set(F.col("bitmap"), F.col("bit_b"))
+    tested = _with_bits(rows, key, blocks).join(known, "block", "left").withColumn("maybe", F.coalesce(both, F.lit(False)))
+    return tested.select(*rows.columns, "maybe")
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256. See possibly_repeated() for the filter."""
     hashed = written(spark, documents(docs, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("text_sha256")))
     total = hashed.count()
-    blocks = max(1, -(-total * bits_a_row // BLOCK_BITS))
-    known = bounded(repeated_filter(hashed, blocks), blocks, BLOCK_BITS // 8, max_filter_bytes)
-    tested = _with_bits(hashed, blocks).join(known, "block", "left")
-    maybe = F.coalesce(_is_set(F.col("bitmap"), F.col("bit_a")) & _is_set(F.col("bitmap"), F.col("bit_b")), F.lit(False))
-    tested = tested.select("doc_id", "text_sha256", maybe.alias("maybe"))
+    tested = possibly_repeated(hashed, "text_sha256", total, bits_a_row, max_filter_bytes)
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     suspects = tested.filter("maybe").select("doc_id", "text_sha256")
     groups = suspects.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

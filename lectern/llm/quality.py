@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, let, table, words
+from lectern.llm.common import SPACE, documents, let, table, words
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -30,8 +30,9 @@ OTHER = "other"
 CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{N}", "space": r"[\x20\x09-\x0D]", "stop": r"[.,;:?'\"()\-]", "sign": r"[^\p{L}\p{N}\x20\x09-\x0D.,;:?'\"()\-]"}
 SYMBOLS = r"[#*$%&|<>]"
 
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.6
-MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 80, 40, 20
+#: Limits of the distances. A sample of n words strays from its own source by a distance of about 1/sqrt(n).
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.28, 0.16, 1.15
+MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 250, 40, 20
 PPM = 1_000_000
 
 
@@ -48,17 +49,17 @@ def measured(docs: DataFrame) -> DataFrame:
 
     class_ppm is null without characters, word_ppm without words or without a list of common words.
     """
-    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    most = max(len(v.split()) for v in COMMON_WORDS.values())
+    lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*[F.xxhash64(F.lit(w)) for w in v.split()]))])
     step = docs.withColumn("words", words("text")).withColumn("language", _language(F.col("lang")))
     chars = F.length("text")
     counts = [F.regexp_count("text", F.lit(p)).cast("long") for p in CLASSES.values()]
-    step = step.withColumns({"chars": chars, "counts": F.array(*counts), "n_words": F.size("words").cast("long"), "common": lists[F.col("language")]})
-    step = step.withColumn("found", F.filter("words", lambda w: F.array_contains(F.col("common"), w)))
+    step = step.withColumns({"chars": chars, "counts": F.array(*counts), "n_words": F.size("words").cast("long"), "common": lists[F.col("language")], "hashes": F.transform("words", lambda w: F.xxhash64(w))})
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    hits = F.transform("common", lambda c: (F.size("found") - F.size(F.array_remove(F.col("found"), c))).cast("long"))
-    step = step.withColumns({"counts": F.concat("counts", F.array(F.col("chars") - total("counts"))), "hits": hits})
-    step = step.withColumn("hits", F.concat("hits", F.array(F.col("n_words") - F.size("found"))))
-    return step.withColumns({"class_ppm": F.when(F.col("chars") > 0, _ppm(F.col("counts"), F.col("chars"))), "word_ppm": F.when(F.col("n_words") > 0, _ppm(F.col("hits"), F.col("n_words")))}).drop("counts", "hits", "found", "common")
+    hits = [F.coalesce(F.size("hashes") - F.size(F.array_remove("hashes", F.get("common", F.lit(i)))), F.lit(0)).cast("long") for i in range(most)]
+    step = step.withColumns({"counts": F.concat("counts", F.array(F.col("chars") - total("counts"))), "hits": F.array(*hits)})
+    step = step.withColumn("hits", F.when(F.col("common").isNotNull(), F.concat("hits", F.array(F.col("n_words") - total("hits")))))
+    return step.withColumns({"class_ppm": F.when(F.col("chars") > 0, _ppm(F.col("counts"), F.col("chars"))), "word_ppm": F.when(F.col("n_words") > 0, _ppm(F.col("hits"), F.col("n_words")))}).drop("counts", "hits", "common")
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -80,8 +81,8 @@ def divergence(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + term(F.coalesce(x["p"], F.lit(0.0)), F.coalesce(x["q"], F.lit(0.0)))), F.lit(0.0)))
 
 
-def repeated_words(tokens: Column, n: int = 5) -> Column:
-    """Words that lie in an n-word window found twice or more in the array."""
+def repeated_words(hashes: Column, n: int = 5) -> Column:
+    """Words that lie in an n-word window found twice or more, from the array of the words' hashes."""
 
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
@@ -95,11 +96,10 @@ def repeated_words(tokens: Column, n: int = 5) -> Column:
         at = let(ordered, lambda s: F.sort_array(F.array_compact(F.transform(s, lambda e, k: F.when(same(s, e, k), e["i"])))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(let(at, covered))
 
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    return F.when(F.size(tokens) < n, F.lit(0).cast("long")).otherwise(let(let(hashes, windows), count))
+    return F.when(F.size(hashes) < n, F.lit(0).cast("long")).otherwise(let(windows(hashes), count))
 
 
-def quality(docs: DataFrame, *keep: str, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
+def quality(docs: DataFrame, *keep: str, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, noise: float = WORD_NOISE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     keep: further columns of docs to carry. The references have a row for each language in COMMON_WORDS and one
@@ -108,15 +108,49 @@ def quality(docs: DataFrame, *keep: str, max_class: float = MAX_CLASS_DISTANCE,
     docs = docs.withColumns({"text": F.coalesce("text", F.lit(""))})
     far = measured(docs).join(F.broadcast(references(docs.select("text", "lang"))), "language", "left")
     off = lambda k, low, most, size: (size >= low) & (F.col(f"{k}_docs") >= min_reference) & (divergence(F.col(f"{k}_ppm"), F.col(f"{k}_reference")) > most)
-    rejected = off("class", min_chars, max_class, F.col("chars")) | off("word", min_words, max_word, F.when(F.col("language") != OTHER, F.col("n_words")))
+    rejected = off("class", min_chars, F.lit(max_class), F.col("chars")) | off("word", min_words, max_word + noise / F.sqrt("n_words"), F.when(F.col("language") != OTHER, F.col("n_words")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = far.select(
         *keep, "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"), F.coalesce(rejected, F.lit(False)).alias("rejected"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("hashes")).alias("n_repeat_words"), F.coalesce(rejected, F.lit(False)).alias("rejected"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("rejected")
 
 
+def _sql() -> str:
+    """The same in DuckDB; doc_id is unique there."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    lists = " ".join(f"WHEN {quoted(k)} THEN [{', '.join(map(quoted, v.split()))}]" for k, v in COMMON_WORDS.items())
+    known = ", ".join(map(quoted, COMMON_WORDS))
+    classes = ", ".join(f"len(regexp_extract_all(t, {quoted(p)}))" for p in CLASSES.values())
+    bins = 1 + max(len(v.split()) for v in COMMON_WORDS.values())
+    mean = lambda k, n: "[" + ", ".join(f"sum({k}[{i + 1}])" for i in range(n)) + "]"
+    js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda z: CASE WHEN z[1] > 0 THEN z[1] / list_sum({p}) * log2(z[1] / list_sum({p}) / ((z[1] / list_sum({p}) + z[2] / list_sum({q})) / 2)) / 2 ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] / list_sum({q}) * log2(z[2] / list_sum({q}) / ((z[1] / list_sum({p}) + z[2] / list_sum({q})) / 2)) / 2 ELSE 0 END)), 0))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({known}) THEN lang ELSE '{OTHER}' END AS language FROM documents),
+w AS (SELECT doc_id, language, t, list_filter(regexp_split_to_array(t, '{SPACE}'), lambda x: x <> '') AS w, CASE language {lists} END AS common, [{classes}] AS c FROM d),
+h AS (SELECT *, list_append(c, length(t) - list_sum(c)) AS cs, list_transform(common, lambda x: len(list_filter(w, lambda y: y = x))) AS hs FROM w),
+m AS (SELECT *, CASE WHEN length(t) > 0 THEN list_transform(cs, lambda x: (x * {PPM}) // length(t)) END AS class_ppm,
+             CASE WHEN len(w) > 0 THEN list_transform(list_append(hs, len(w) - list_sum(hs)), lambda x: (x * {PPM}) // len(w)) END AS word_ppm FROM h),
+r AS (SELECT language, {mean("class_ppm", len(CLASSES) + 1)} AS class_reference, {mean("word_ppm", bins)} AS word_reference, count(class_ppm) AS class_docs, count(word_ppm) AS word_docs FROM m GROUP BY language),
+g AS (SELECT doc_id, i, w[i : i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+e AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+k AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM e WHERE n > 1) GROUP BY doc_id),
+s AS (SELECT m.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
+             len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words,
+             coalesce(length(t) >= {MIN_CHARS} AND class_docs >= {MIN_REFERENCE} AND {js("class_ppm", "class_reference")} > {MAX_CLASS_DISTANCE}, false)
+             OR coalesce(len(w) >= {MIN_WORDS} AND m.language <> '{OTHER}' AND word_docs >= {MIN_REFERENCE} AND {js("word_ppm", "word_reference")} > {MAX_WORD_DISTANCE} + {WORD_NOISE} / sqrt(len(w)), false) AS rejected
+      FROM m LEFT JOIN r USING (language) LEFT JOIN k ON m.doc_id = k.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT rejected AS kept
+FROM s
+"""
+
+
+OP4_SQL = _sql()
+
+
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")

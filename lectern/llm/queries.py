@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, packing, token_counts, url_filter
+from lectern.llm import exact_dedup, line_dedup, mixing, packing, quality, token_counts, url_filter
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_quality_divergence": quality.op4_quality_divergence,
+    "op5_source_mix": mixing.op5_source_mix,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_quality_divergence": quality.OP4_SQL,
+    "op5_source_mix": mixing.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, line_dedup, mixing, packing, quality, token_counts, url_filter
+from lectern.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -11,7 +11,9 @@ QUERIES = {
     "op5_source_mix": mixing.op5_source_mix,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_jaccard_join": near_dedup.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {

@@ -15,7 +15,9 @@ A null doc_id is packed like any other. An empty table gives an empty result; fu
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, table, vocabulary, written
+from lectern.llm.token_counts import byte_alphabet
 
 DIMS, BITS, BUCKETS = 4, 12, 256
 TIE_BITS = 15
@@ -38,8 +41,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """Ids of texts as the tokenizer file at `path` gives them, without special tokens, as packed integers.
 
-    Words are encoded by the library once each and kept in a bounded memo; text with characters outside the
-    compared ranges, or with one of the tokenizer's special strings, is encoded whole by the library.
+    No pre-token holds white space, so a text is cut there first, and both what lies between and its pre-tokens are
+    kept in bounded memos; only a new pre-token is merged by the library. Text with characters outside the compared
+    ranges or with one of the tokenizer's special strings, and any text of a tokenizer with another pattern, is
+    encoded whole by the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,31 +52,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.whole.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
         self.split, self.unproven = regex.compile(PATTERN).findall, regex.compile(UNPROVEN).search
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, special)) or r"(?!)").search
-        self.by_word = regex.search(r"lowercase", self.whole.to_str()[:4000], regex.I) is not None
-        self.memo: dict[str, bytes] = {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        steps = (json.loads(self.whole.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = any(x.get("pattern", {}).get("Regex") == PATTERN for x in steps)
+        self.merge = self.whole.model.tokenize
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        """Ids of a pre-token."""
+        if (ids := self.parts.get(part)) is None:
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            spelt = part if part.isascii() and part.isprintable() else "".join(map(self.letters.get, part.encode()))
+            ids = b"".join([self.packed[t.id] for t in self.merge(spelt)])
+            if len(part) < 64:
+                self.parts[part] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or self.unproven(text) or self.special(text):
-            return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
-        parts, memo = self.split(text.lower()), self.memo
-        found = list(map(memo.get, parts))
+            return b"".join([self.packed[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+        chunks, memo = text.lower().split(), self.chunks
+        found = list(map(memo.get, chunks))
         if None in found:
-            new = list({p for p, f in zip(parts, found, strict=True) if f is None})
-            if len(memo) + len(new) > MEMO:
+            if len(memo) >= MEMO:
                 memo.clear()
-            coded = dict(zip(new, (self.pack(e.ids) for e in self.whole.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            memo.update((k, v) for k, v in coded.items() if len(k) < 64)
-            found = [coded[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+            split, part = self.split, self.part
+            for k, ids in enumerate(found):
+                if ids is None and (ids := memo.get(chunk := chunks[k])) is None:
+                    ids = part(chunk) if chunk.isalpha() else b"".join(map(part, split(chunk)))
+                    if len(chunk) < 64:
+                        memo[chunk] = ids
+                if found[k] is None:
+                    found[k] = ids
         return b"".join(found)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker process, so that its memos serve all tasks there."""
+    return Encoder(path)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective hash of 64-bit integers."""
     x = x.astype(np.uint64)
@@ -123,10 +152,9 @@ def tokenised(docs: DataFrame, path: str, closing: int) -> DataFrame:
     """doc_id, n_tokens, place (order key), ids (packed, with the closing id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shape = None
+        coder, shape = encoder(path), Projection()
         for batch in batches:
-            coder, shape = coder or Encoder(path), shape or Projection()
-            end = coder.pack([closing])
+            end = coder.packed[closing]
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 ids = [coder.encode(t.as_py()) + end for t in part.column(1)]

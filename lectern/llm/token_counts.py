@@ -16,6 +16,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,15 +87,20 @@ class Counter:
         return n
 
 
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One a worker process, so that its memo serves all tasks there."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, folder: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     path = vocabulary(tokenizer, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
+        count = counter(path).count
         for batch in batches:
-            counter = counter or Counter(path)
-            n = [counter.count(t.as_py()) for t in batch.column(2)]
+            n = [count(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     docs = documents(docs, "doc_id", "text").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")

@@ -1,15 +1,68 @@
-"""Corpus pipeline: quality rules, exact dedup, near dedup, mixing and packing, stage after stage."""
+"""Corpus pipeline: quality rules, exact dedup, near dedup, mixing and packing, stage after stage.
+
+Each stage takes and - but for the last - returns the columns of documents, and works on all rows that the one before
+it kept. run() writes each stage's result in the folder that all executors share and reads it back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm.common import bounded, written
+from lectern.llm.exact_dedup import exact_duplicates
+from lectern.llm.mixing import mix
+from lectern.llm.near_dedup import jaccard_classes
+from lectern.llm.packing import pack
+from lectern.llm.quality import quality
 
-STAGES: list = []
+#: SQL can't express the near-duplicate classes and the packing; tests hold run() against brute force instead.
 ORACLE_SQL = None
 
 
+def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the doc_ids of ids, which are broadcast as long as 64 MB hold them."""
+    ids = written(spark, ids.select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(bounded(ids, ids.count(), 32), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and lie near the distributions of their language."""
+    return quality(docs, *docs.columns).filter("kept").select("row.*")
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that of the largest doc_id."""
+    return _without(spark, docs, exact_duplicates(spark, docs).filter("NOT kept"))
+
+
+def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (five-word shingles, similarity of 0.8 or more), that of the smallest doc_id."""
+    return _without(spark, docs, jaccard_classes(spark, docs, n=5, percent=80).filter("doc_id <> component_id"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by their weights, documents as often as the mix takes them; the order is left to the packing."""
+    return mix(spark, docs, shuffle=False)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens along the curve."""
+    return pack(spark, docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", good_quality),
+    ("exact dedup", distinct_texts),
+    ("n-gram Jaccard join", distinct_contents),
+    ("mixing sources to target weights", mixed_sources),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = written(spark, docs) if k + 1 < len(STAGES) else docs
     return docs

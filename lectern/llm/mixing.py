@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import BROADCAST_BYTES, bounded, documents, table, with_hot_keys, words, written
+from lectern.llm.common import BROADCAST_BYTES, bounded, documents, let, table, with_hot_keys, words, written
 
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_BLOCKS = 16_384, 64
@@ -81,6 +81,16 @@ def _hypergeometric(good: Column, total: Column, draws: Column, key: Column) ->
     return F.when(few <= 0, F.lit(0).cast("long")).when(few <= EXACT_DRAWS, exact).otherwise(limit)
 
 
+def _draw(key: Column):  # noqa: ANN202
+    """A step of the multivariate draw: how many of the next source's balls are among those left to draw."""
+
+    def step(state: Column, x: Column) -> Column:
+        got = _hypergeometric(x["quota"], state["total"], state["draws"], F.concat_ws("|", key, x["source_key"]))
+        return let(got, lambda n: F.struct((state["total"] - x["quota"]).alias("total"), (state["draws"] - n).alias("draws"), F.concat(state["left"], F.array(n)).alias("left")))
+
+    return step
+
+
 def splitting_tree(quotas: DataFrame, depth: int, seed: str = "tree") -> DataFrame:
     """shard, source_key, quota for the 2**depth leaves; quotas: source_key, quota. Zero quotas are left out."""
     node = quotas.filter("quota > 0").agg(F.sort_array(F.collect_list(F.struct("source_key", "quota"))).alias("bag")).select(F.lit(0).cast("long").alias("shard"), "bag")
@@ -89,12 +99,8 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: str = "tree") -> DataFra
         node = node.withColumn("total", total)
         key = F.concat_ws("|", F.lit(f"{seed}{level}"), F.col("shard").cast("string"))
 
-        def draw(state: Column, x: Column, key: Column = key) -> Column:
-            got = _hypergeometric(x["quota"], state["total"], state["draws"], F.concat_ws("|", key, x["source_key"]))
-            return F.transform(F.array(got), lambda n: F.struct((state["total"] - x["quota"]).alias("total"), (state["draws"] - n).alias("draws"), F.concat(state["left"], F.array(n)).alias("left")))[0]
-
         start = F.struct(F.col("total").alias("total"), F.ceil(F.col("total") / 2).alias("draws"), F.array().cast("array<bigint>").alias("left"))
-        node = node.withColumn("left", F.aggregate("bag", start, draw)["left"])
+        node = node.withColumn("left", F.aggregate("bag", start, _draw(key))["left"])
         part = lambda take: F.filter(F.transform("bag", lambda x, i: F.struct(x["source_key"].alias("source_key"), take(x, i).alias("quota"))), lambda x: x["quota"] > 0)
         halves = F.array(part(lambda x, i: F.get("left", i)), part(lambda x, i: x["quota"] - F.get("left", i)))
         node = node.select((F.col("shard") * 2).alias("shard"), F.posexplode(halves)).select((F.col("shard") + F.col("pos")).alias("shard"), F.col("col").alias("bag"))

@@ -100,22 +100,24 @@ def repeated_words(hashes: Column, n: int = 5) -> Column:
 
 
 def quality(docs: DataFrame, *keep: str, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, noise: float = WORD_NOISE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
+    """Per row of docs: row (a struct of the columns named in keep), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    keep: further columns of docs to carry. The references have a row for each language in COMMON_WORDS and one
+    The references have a row for each language in COMMON_WORDS and one
     for the rest - five rows at any size - and so are broadcast.
     """
-    docs = docs.withColumns({"text": F.coalesce("text", F.lit(""))})
+    docs = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     far = measured(docs).join(F.broadcast(references(docs.select("text", "lang"))), "language", "left")
     off = lambda k, low, most, size: (size >= low) & (F.col(f"{k}_docs") >= min_reference) & (divergence(F.col(f"{k}_ppm"), F.col(f"{k}_reference")) > most)
     rejected = off("class", min_chars, F.lit(max_class), F.col("chars")) | off("word", min_words, max_word + noise / F.sqrt("n_words"), F.when(F.col("language") != OTHER, F.col("n_words")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = far.select(
-        *keep, "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        "row", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("hashes")).alias("n_repeat_words"), F.coalesce(rejected, F.lit(False)).alias("rejected"),
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("rejected")
+    # To the optimizer a row number isn't deterministic, so it can't push filters below this and repeat the measuring in them.
+    kept = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & ~F.col("rejected"))
+    return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 
 def _sql() -> str:
@@ -153,4 +155,4 @@ OP4_SQL = _sql()
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
+    return quality(documents(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id").select("row.doc_id", "*").drop("row")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filter
+from lectern.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_warc_derivatives": warc.op3_warc_derivatives,
     "op4_quality_divergence": quality.op4_quality_divergence,
     "op5_source_mix": mixing.op5_source_mix,
     "op6_token_counts": token_counts.op6_token_counts,

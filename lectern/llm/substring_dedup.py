@@ -4,7 +4,7 @@ Blockwise sort of suffixes by cover samples, made for a cluster. The cover sampl
 bytes in every window of `length` bytes, so two equal windows hold the same sample at the same place in them. Each
 sample with the windows it stands for is one segment (under two window lengths), and is put in the bucket of its hash:
 
-1. Buckets with one sample are dropped: their windows occur once.
+1. Buckets with one sample are dropped: their windows occur once. Only packed hashes are dealt out to find them.
 2. Long ties by ranks of the sample: in a bucket, samples of equal segments are one class. All members but the earliest
    are repeats with all their windows; no bytes are compared for them.
 3. What is left are the earliest members of classes in buckets of two classes or more: segments that agree around the
@@ -32,9 +32,11 @@ from lectern.llm.common import bounded, documents, table, with_hot_keys, written
 from lectern.llm.packing import mixed
 
 LAST = (1 << 63) - 1
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 40
 #: Bytes of documents that are hashed at a time; a longer document alone.
 CHUNK = 1 << 19
+#: Hashes that a task gathers before it sends them.
+FLUSH = 1 << 22
 
 
 class Hasher:
@@ -110,6 +112,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return documents(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("data"))
 
 
+def _packed(hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A row a bucket with its hashes, each once, or twice if it occurs more often here."""
+    found, count = np.unique(np.concatenate(hashes), return_counts=True)
+    found = np.sort(np.concatenate([found, found[count > 1]]))
+    bucket = found // np.uint64(-(-(1 << 64) // buckets))
+    edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    parts = np.split(found, edges[1:]) if len(edges) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "hashes"])
+
+
+def repeated_hashes(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """hash: those that occur twice or more in parts (bucket, hashes); see _packed(). A bucket holds 1 hash a task at most twice."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(h.as_py(), np.uint64) for batch in batches for h in batch.column(1)]
+        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        again = np.unique(every[1:][every[1:] == every[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], ["hash"])
+
+    dealt = parts.repartition(F.col("bucket")).mapInArrow(find, "hash long")
+    return written(spark, dealt)
+
+
+def _buckets(docs: DataFrame) -> int:
+    """So many that a bucket has the samples of about 5000 documents."""
+    return max(64, docs.count() // 5000)
+
+
+def sample_hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """bucket, hashes of all cover samples."""
+    buckets = _buckets(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for _, texts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(cover_samples(texts, length, gram)[1])
+                if sum(map(len, held)) > FLUSH:
+                    yield _packed(held, buckets)
+                    held = []
+        if held:
+            yield _packed(held, buckets)
+
+    return _keyed(docs).mapInArrow(run, "bucket int, hashes binary")
+
+
 def samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc, sample, segment, first, n of every cover sample of the documents."""
 
@@ -122,17 +170,35 @@ def samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc long, sample long, segment long, first int, n short")
 
 
-def windows(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """doc, at, window (hash) of all windows of the wanted segments; wanted: doc, spans (array of first, n)."""
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Document, places and hashes of the windows of wanted spans; batches: doc, data, spans."""
+    for batch in batches:
+        for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in spans]))
+            yield doc, at, Hasher(data.as_py()).at(at, length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in spans]))
-                h = Hasher(data.as_py()).at(at, length)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "at", "window"])
 
-    return docs.join(wanted, "doc").select("doc", "data", "spans").mapInArrow(run, "doc long, at int, window long")
+def repeated_windows(spark: SparkSession, docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """doc, at, window (hash) of those windows of the wanted segments that occur twice or more; wanted: doc, spans."""
+    buckets = _buckets(docs)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for _, _, h in _windows(batches, length):
+            held.append(h)
+            if len(held) >= 5000:
+                yield _packed(held, buckets)
+                held = []
+        if held:
+            yield _packed(held, buckets)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, at, h in _windows(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "at", "window"])
+
+    texts = _keyed(docs).join(wanted, "doc").select("doc", "data", "spans")
+    again = repeated_hashes(spark, texts.mapInArrow(pack, "bucket int, hashes binary"))
+    return texts.mapInArrow(rows, "doc long, at int, window long").join(bounded(again.withColumnRenamed("hash", "window"), again.count(), 24), "window", "left_semi")
 
 
 def _later(rows: DataFrame, key: str, place: str, total: int) -> DataFrame:
@@ -154,16 +220,16 @@ def _narrow(spark: SparkSession, spans: DataFrame) -> DataFrame:
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, spans (array of first, n): the windows that also start earlier."""
-    every = written(spark, samples(docs, length, gram).select("doc", "sample", "segment", "first", "n"))
-    total = every.count()
-    counts = every.groupBy("sample").agg(F.count("*").alias("copies")).filter("copies > 1")
-    shared = written(spark, with_hot_keys(every, counts, "sample", "copies", total).select("doc", "first", "n", "sample", F.xxhash64("sample", "segment").alias("class")))
+    again = repeated_hashes(spark, sample_hashes(docs, length, gram))
+    known = bounded(again.withColumnRenamed("hash", "sample"), again.count(), 24)
+    shared = samples(docs, length, gram).join(known, "sample", "left_semi")
+    shared = written(spark, shared.select("doc", "first", "n", "sample", F.xxhash64("sample", "segment").alias("class")))
     total = shared.count()
     whole = written(spark, _later(shared, "class", "first", total).select("doc", "first", "n"))
     classes = written(spark, shared.groupBy("class").agg(F.min("sample").alias("sample"), F.min(F.struct("doc", "first", "n")).alias("head")))
     open_ = classes.groupBy("sample").agg(F.count("*").alias("classes")).filter("classes > 1")
     heads = with_hot_keys(classes, open_, "sample", "classes", total).select("head.*")
-    single = written(spark, windows(_keyed(docs), _narrow(spark, heads), length))
+    single = written(spark, repeated_windows(spark, docs, _narrow(spark, heads), length))
     single = _later(single, "window", "at", single.count()).select("doc", F.col("at").alias("first"), F.lit(1).cast("short").alias("n"))
     return _narrow(spark, whole.union(single))
 

@@ -4,9 +4,11 @@
 2. A fixed-size sketch counts, over all documents, how often shingles of each hash range occur; ordinary ones come
    first in the order of shingles, very frequent ones last. A set's prefix are its first n - ceil(t n) + 1 shingles:
    similar sets share one.
-3. Sets of the same prefix and size form a group. Groups meet on prefix shingles, filtered by size and by place.
-4. First pass: each member meets the head of its group, and each group the head of each of its shingles. The verified
-   links give classes. Second pass: all pairs of groups that pass the filters are expanded to their members, and the
+3. Sets of the same prefix and size form a group. Groups meet on prefix shingles, filtered by size, by place and by a
+   bound from parity bits: each of 1024 bits is the parity of the set's shingles in one hash range, so two sets differ
+   in at least as many shingles as bits.
+4. First pass: each member meets the head of its group, and each group the head of each of its shingles among groups
+   of about its size. The verified links give classes. Second pass: all pairs of groups that pass the filters are expanded to their members, and the
    pairs that are not of one class yet are verified. So every link between different classes is found, while groups of
    copies never expand into all pairs.
 
@@ -22,6 +24,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ LAST = (1 << 63) - 1
 CELL_BITS, PIECE_BITS = 20, 16
 #: Pairs of one document that may meet its text in one task.
 SALT_ROWS = 500
+PARITY_BITS = 1024
 MEMO = 400_000
 
 
@@ -110,18 +114,30 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
 
         shingler = Shingler(n)
         for batch in batches:
-            sizes, signatures, firsts = [], [], []
+            sizes, signatures, firsts, parities = [], [], [], []
             for text in batch.column(1):
                 s = shingler.shingles(text.as_py())
                 order = (classes[(s >> np.uint64(64 - CELL_BITS)).astype(np.intp)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 sizes.append(len(s))
                 signatures.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
+                odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.intp), minlength=PARITY_BITS) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 firsts.append(s[np.argsort(order, kind="stable")[:take]].view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), lists], ["doc", "n_shingles", "signature", "prefix"])
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * PARITY_BITS // 64 + 1, PARITY_BITS // 64), pa.int32()), pa.array(np.concatenate(parities) if parities else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), lists, parity], ["doc", "n_shingles", "signature", "prefix", "parity"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, n_shingles long, signature binary, prefix array<long>")
+    return _keyed(docs).mapInArrow(run, "doc long, n_shingles long, signature binary, prefix array<long>, parity array<long>")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and parity bits don't rule out. sets: doc, n_shingles, parity; one row a document."""
+    side = lambda s: sets.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_BITS // 64)])
+    both = F.col("n_a") + F.col("n_b")
+    return rows.filter(differ * (100 + percent) <= both * (100 - percent)).select("a", "b")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -194,7 +210,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links of percent or more reach)."""
     sets = written(spark, prefixes(docs, n, percent, frequency_classes(sketch(docs, n))))
     texts = _keyed(docs)
-    same = sets.filter("signature IS NOT NULL").groupBy("signature").agg(F.min(F.struct("doc", "n_shingles", "prefix")).alias("x"), F.count("*").alias("copies"))
+    same = sets.filter("signature IS NOT NULL").groupBy("signature").agg(F.min(F.struct("doc", "n_shingles", "prefix", "parity")).alias("x"), F.count("*").alias("copies"))
     same = written(spark, same.select("signature", "copies", "x.*"))
     members = same.select("doc", "n_shingles", "prefix", F.xxhash64("prefix").alias("shape"))
     groups = members.groupBy("shape", "n_shingles").agg(F.min("doc").alias("head"), F.min_by("prefix", "doc").alias("prefix"), F.count("*").alias("n"))
@@ -202,12 +218,15 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     n_sets = same.count()
     inside = written(spark, with_hot_keys(members.select("doc", F.xxhash64("shape", "n_shingles").alias("group")), groups.select(F.xxhash64("shape", "n_shingles").alias("group"), "head", "n"), "group", "n", n_sets).select("doc", "head"))
     postings = groups.select("head", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    heads = postings.groupBy("token").agg(F.min(F.struct("n_shingles", "head"))["head"].alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = written(spark, with_hot_keys(postings, heads, "token", "n", n_sets))  # prefix shingles of two groups or more
+    heads = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(spark, with_hot_keys(postings, heads, "token", "n", n_sets).drop("n"))  # prefix shingles of two groups or more
     # first pass
-    star = inside.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    star = star.union(met.filter("head <> first").select(F.least("head", "first").alias("a"), F.greatest("head", "first").alias("b"))).distinct()
-    links = verified(spark, star, texts, n, percent)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n_shingles")
+    banded = met.select("head", F.xxhash64("token", band).alias("key"))
+    firsts = banded.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    star = with_hot_keys(banded, firsts, "key", "n", n_sets).filter("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b"))
+    star = star.union(inside.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))).distinct()
+    links = verified(spark, likely(star, same, percent), texts, n, percent)
     label = written(spark, components(spark, links))
     # second pass
     side = lambda s: met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("head", "n_shingles", "place")])
@@ -221,7 +240,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     one = known.select("head", F.col("doc").alias("a"), F.col("root").alias("root_a"))
     two = known.select(F.col("head").alias("other"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
     pairs = close.join(one, "head").join(two, "other").filter("root_a <> root_b AND (head <> other OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(verified(spark, pairs, texts, n, percent))
+    links = links.union(verified(spark, likely(pairs, same, percent), texts, n, percent))
     label = written(spark, components(spark, links))
     found = _labelled(same.select("signature", "copies", "doc"), label).select("signature", "copies", "root")
     empty = sets.filter("signature IS NULL").select("doc", "n_shingles", F.col("doc").alias("root"))

@@ -31,7 +31,7 @@ from lectern.llm.token_counts import byte_alphabet
 
 DIMS, BITS, BUCKETS = 4, 12, 256
 TIE_BITS = 15
-MEMO = 400_000
+MEMO = 600_000
 #: Characters for which Python's lower() and the pattern's classes were compared with the library's one by one.
 UNPROVEN = r"[^\x00-\x1b\x20-ɏ‐-⁞₠-₿]"
 # Fixed value: the pattern by which this kind of vocabulary splits text; white space is dropped.
@@ -65,16 +65,25 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def part(self, part: str) -> bytes:
+    def merged(self, part: str) -> bytes:
         """Ids of a pre-token."""
-        if (ids := self.parts.get(part)) is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            spelt = part if part.isascii() and part.isprintable() else "".join(map(self.letters.get, part.encode()))
-            ids = b"".join([self.packed[t.id] for t in self.merge(spelt)])
-            if len(part) < 64:
-                self.parts[part] = ids
-        return ids
+        spelt = part if part.isascii() and part.isprintable() else "".join(map(self.letters.get, part.encode()))
+        return b"".join([self.packed[t.id] for t in self.merge(spelt)])
+
+    def new(self, chunk: str) -> bytes:
+        """Ids of a chunk that the memo lacks. A pre-token that is a chunk as well is kept there alone."""
+        if chunk.isalpha():
+            return self.parts.get(chunk) or self.merged(chunk)
+        found = []
+        for part in self.split(chunk):
+            if (ids := self.chunks.get(part) or self.parts.get(part)) is None:
+                if len(self.parts) >= MEMO:
+                    self.parts.clear()
+                ids = self.merged(part)
+                if len(part) < 64:
+                    self.parts[part] = ids
+            found.append(ids)
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or self.unproven(text) or self.special(text):
@@ -84,14 +93,14 @@ class Encoder:
         if None in found:
             if len(memo) >= MEMO:
                 memo.clear()
-            split, part = self.split, self.part
-            for k, ids in enumerate(found):
-                if ids is None and (ids := memo.get(chunk := chunks[k])) is None:
-                    ids = part(chunk) if chunk.isalpha() else b"".join(map(part, split(chunk)))
+            new = self.new
+            for k in [k for k, ids in enumerate(found) if ids is None]:
+                chunk = chunks[k]
+                if (ids := memo.get(chunk)) is None:
+                    ids = new(chunk)
                     if len(chunk) < 64:
                         memo[chunk] = ids
-                if found[k] is None:
-                    found[k] = ids
+                found[k] = ids
         return b"".join(found)
 
 

@@ -89,7 +89,7 @@ def vector_hash(v: Column | str) -> Column:
 
 def framed_hash(*fields: Column) -> Column:
     """FN-08: SHA-256 of fields, each after its length in bytes as four big-endian bytes (-1 for null)."""
-    size = lambda c: F.unhex(F.lpad(F.hex(F.coalesce(F.octet_length(c), F.lit(-1)).cast("int").cast("binary")), 8, "0"))
+    size = lambda c: F.unhex(F.coalesce(F.lpad(F.hex(F.octet_length(c)), 8, "0"), F.lit("FFFFFFFF")))
     return F.sha2(F.concat(*[F.concat(size(c), F.coalesce(c.cast("binary"), F.lit("").cast("binary"))) for c in fields]), 256)
 
 

@@ -5,8 +5,8 @@
    first in the order of shingles, very frequent ones last. A set's prefix are its first n - ceil(t n) + 1 shingles:
    similar sets share one.
 3. Sets of the same prefix and size form a group. Groups meet on prefix shingles, filtered by size, by place and by a
-   bound from parity bits: each of 1024 bits is the parity of the set's shingles in one hash range, so two sets differ
-   in at least as many shingles as bits.
+   bound from parity bits: each bit is the parity of the set's shingles in one hash range, so two sets differ in at
+   least as many shingles as bits.
 4. First pass: each member meets the head of its group, and each group the head of each of its shingles among groups
    of about its size. The verified links give classes. Second pass: all pairs of groups that pass the filters are expanded to their members, and the
    pairs that are not of one class yet are verified. So every link between different classes is found, while groups of
@@ -114,30 +114,50 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
 
         shingler = Shingler(n)
         for batch in batches:
-            sizes, signatures, firsts, parities = [], [], [], []
+            sizes, signatures, firsts, parities, fines = [], [], [], [], []
             for text in batch.column(1):
                 s = shingler.shingles(text.as_py())
                 order = (classes[(s >> np.uint64(64 - CELL_BITS)).astype(np.intp)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 sizes.append(len(s))
                 signatures.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-                odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.intp), minlength=PARITY_BITS) & 1
-                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                parities.append(parity_bits(s, PARITY_BITS))
+                fines.append(parity_bits(s, 64 << max(0, int(4 * len(s) - 1).bit_length() - 6)))
                 firsts.append(s[np.argsort(order, kind="stable")[:take]].view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate(firsts) if firsts else [], pa.int64()))
-            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * PARITY_BITS // 64 + 1, PARITY_BITS // 64), pa.int32()), pa.array(np.concatenate(parities) if parities else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), lists, parity], ["doc", "n_shingles", "signature", "prefix", "parity"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), *map(_lists, (firsts, parities, fines))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n_shingles", "signature", "prefix", "parity", "fine"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, n_shingles long, signature binary, prefix array<long>, parity array<long>")
+    return _keyed(docs).mapInArrow(run, "doc long, n_shingles long, signature binary, prefix array<long>, parity array<long>, fine array<long>")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and parity bits don't rule out. sets: doc, n_shingles, parity; one row a document."""
-    side = lambda s: sets.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("parity_a", F.lit(i)).bitwiseXOR(F.get("parity_b", F.lit(i)))) for i in range(PARITY_BITS // 64)])
-    both = F.col("n_a") + F.col("n_b")
-    return rows.filter(differ * (100 + percent) <= both * (100 - percent)).select("a", "b")
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
+
+
+def parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
+    """For each of so many (a power of two) hash ranges whether an odd number of the hashes lies in it."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def likely(spark: SparkSession, pairs: DataFrame, same: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sizes and parity bits don't rule out: first 1024 bits of each, then four bits or more a shingle.
+
+    Two sets differ in at least as many shingles as parity bits. Of two lengths of bits the longer one is folded.
+    """
+    fits = lambda differ: differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    side = lambda d, c, s: d.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col(c).alias(f"bits_{s}"))
+    rows = pairs.join(side(same, "parity", "a"), "a").join(side(same, "parity", "b"), "b")
+    short = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(PARITY_BITS // 64)])
+    rows = written(spark, rows.filter(fits(short)).select("a", "b"))
+    used = rows.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    known = written(spark, sets.select("doc", "n_shingles", "fine").join(bounded(used, 2 * rows.count(), 40), "doc", "left_semi"))
+    rows = rows.join(side(known, "fine", "a"), "a").join(side(known, "fine", "b"), "b")
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+    rows = rows.select("a", "b", "n_a", "n_b", fold("bits_a", "bits_b").alias("x"), fold("bits_b", "bits_a").alias("y"))
+    long_ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("long"), lambda n, d: n + d)
+    return rows.filter((F.size("x") != F.size("y")) | fits(long_)).select("a", "b").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -226,7 +246,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     firsts = banded.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).filter("n > 1")
     star = with_hot_keys(banded, firsts, "key", "n", n_sets).filter("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b"))
     star = star.union(inside.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))).distinct()
-    links = verified(spark, likely(star, same, percent), texts, n, percent)
+    links = verified(spark, likely(spark, star, same, sets, percent), texts, n, percent)
     label = written(spark, components(spark, links))
     # second pass
     side = lambda s: met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("head", "n_shingles", "place")])
@@ -240,7 +260,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     one = known.select("head", F.col("doc").alias("a"), F.col("root").alias("root_a"))
     two = known.select(F.col("head").alias("other"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
     pairs = close.join(one, "head").join(two, "other").filter("root_a <> root_b AND (head <> other OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(verified(spark, likely(pairs, same, percent), texts, n, percent))
+    links = links.union(verified(spark, likely(spark, pairs, same, sets, percent), texts, n, percent))
     label = written(spark, components(spark, links))
     found = _labelled(same.select("signature", "copies", "doc"), label).select("signature", "copies", "root")
     empty = sets.filter("signature IS NULL").select("doc", "n_shingles", F.col("doc").alias("root"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
@@ -16,10 +16,13 @@ from lectern.streaming import live
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 USER, QUESTION = 7, "Where is the station and what of the thing?"
-NOW = F.expr(AS_OF)
 EVENTS_NOW = "TIMESTAMP_NTZ '2024-01-15 00:00:00'"
 
 
+def now() -> Column:
+    return F.expr(AS_OF)
+
+
 def query(oracle: str | None = None):  # noqa: ANN201
     """Registers a query under its function's name; oracle may name base and derived tables."""
 
@@ -51,7 +54,7 @@ READABLE = f"""{ME}, readable AS (SELECT f.id FROM files f WHERE f.status = 'IND
 
 
 def readable(t: Tables) -> DataFrame:
-    return permissions.readable_documents(t, USER, NOW, tree(t))
+    return permissions.readable_documents(t, USER, now(), tree(t))
 
 
 @query(f"WITH RECURSIVE {TREE}, {READABLE} SELECT id FROM readable")
@@ -71,12 +74,12 @@ COLLECTIONS = f"""{ME}, shelves AS (SELECT id, name, parent_id, description FROM
 
 @query(f"WITH RECURSIVE {TREE}, {COLLECTIONS}, k AS (SELECT id, name, parent_id FROM shelves WHERE lower(name) LIKE '%an%' OR lower(description) LIKE '%an%') SELECT *, (SELECT count(*) FROM k) AS total_count FROM k ORDER BY id DESC LIMIT 10 OFFSET 2")
 def readable_collections(t: Tables) -> DataFrame:
-    return permissions.page(permissions.readable_collections(t, USER, NOW, tree(t), "an"), F.desc("id"), limit=10, offset=2)
+    return permissions.page(permissions.readable_collections(t, USER, now(), tree(t), "an"), F.desc("id"), limit=10, offset=2)
 
 
 @query(f"WITH RECURSIVE {TREE}, {COLLECTIONS} SELECT id, name FROM shelves WHERE parent_id = 2003")
 def readable_children(t: Tables) -> DataFrame:
-    return permissions.readable_collections(t, USER, NOW, tree(t)).filter("parent_id = 2003").select("id", "name")
+    return permissions.readable_collections(t, USER, now(), tree(t)).filter("parent_id = 2003").select("id", "name")
 
 
 @query(f"WITH RECURSIVE {TREE} SELECT * FROM tree")
@@ -116,7 +119,7 @@ def closure_delete(t: Tables) -> DataFrame:
   SELECT document_id, concat(target_type, '_GRANT'), can_read, can_write, can_admin FROM document_grants WHERE {LIVE} AND ({REACHED} OR target_type = 'USER' AND user_id = {USER}))
 SELECT id AS document_id, bool_or(can_read) AS can_read, bool_or(can_write) AS can_write, bool_or(can_admin) AS can_admin, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM a WHERE can_read OR can_write OR can_admin GROUP BY id""")
 def permission_summary(t: Tables) -> DataFrame:
-    return permissions.permission_summary(t, USER, NOW, None)
+    return permissions.permission_summary(t, USER, now(), None)
 
 
 @query(f"""SELECT user_id, document_id, source_type FROM access_cache c WHERE NOT invalidated AND can_read AND {LIVE} AND (
@@ -124,12 +127,12 @@ def permission_summary(t: Tables) -> DataFrame:
   OR source_type = 'DIRECT_DOCUMENT_PERMISSION' AND EXISTS (SELECT 1 FROM document_grants g WHERE g.document_id = c.document_id AND g.user_id = c.user_id AND g.target_type = 'USER' AND g.can_read AND (g.expires_at IS NULL OR g.expires_at > {AS_OF}))
   OR source_type = 'DIRECT_COLLECTION_PERMISSION' AND EXISTS (SELECT 1 FROM collection_grants g JOIN collection_documents d ON d.collection_id = g.collection_id WHERE d.document_id = c.document_id AND g.user_id = c.user_id AND g.target_type = 'USER' AND g.can_read AND (g.expires_at IS NULL OR g.expires_at > {AS_OF})))""")
 def authoritative_cache(t: Tables) -> DataFrame:
-    return permissions.authoritative_cache(t, NOW)
+    return permissions.authoritative_cache(t, now())
 
 
 @query(f"SELECT target_type, count(*) AS grants, count(*) FILTER (can_write) AS writing FROM document_grants WHERE {LIVE} GROUP BY target_type")
 def active_grants(t: Tables) -> DataFrame:
-    return t.document_grants.filter(permissions.active(NOW)).groupBy("target_type").agg(F.count("*").alias("grants"), F.count_if("can_write").alias("writing"))
+    return t.document_grants.filter(permissions.active(now())).groupBy("target_type").agg(F.count("*").alias("grants"), F.count_if("can_write").alias("writing"))
 
 
 @query("SELECT id, name, email, status FROM users WHERE status <> 'DELETED' AND (lower(name) LIKE '%00001%' OR lower(email) LIKE '%00001%') ORDER BY name, id LIMIT 20")
@@ -331,12 +334,12 @@ DUE = f"status = 'PENDING' AND (next_retry_at IS NULL OR next_retry_at <= {AS_OF
 
 @query(f"SELECT row_number() OVER (ORDER BY priority DESC, created_at, id) - 1 AS slot, id, priority, created_at FROM jobs WHERE {DUE} ORDER BY priority DESC, created_at, id LIMIT 25")
 def claim_order(t: Tables) -> DataFrame:
-    return queues.claim(t.jobs, NOW, 25)
+    return queues.claim(t.jobs, now(), 25)
 
 
 @query(f"SELECT id, lock_expires_at, retry_count + 1 AS retry_count, CASE WHEN retry_count + 1 < max_retry_count THEN 'PENDING' ELSE 'FAILED' END AS next_status FROM jobs WHERE status = 'PROCESSING' AND lock_expires_at <= {AS_OF}")
 def expired_leases(t: Tables) -> DataFrame:
-    return queues.expired(t.jobs, NOW)
+    return queues.expired(t.jobs, now())
 
 
 @query("SELECT id, CASE WHEN retry_count + 1 >= max_retry_count THEN 'FAILED' ELSE 'PENDING' END AS next_status, CASE WHEN retry_count + 1 < max_retry_count THEN least(1000 * pow(2, retry_count), 60000)::BIGINT ELSE 0 END AS delay_ms FROM jobs")
@@ -356,7 +359,7 @@ def manual_retry(t: Tables) -> DataFrame:
 
 @query(f"SELECT count(*) FILTER ({DUE}) AS claimable, count(*) FILTER (status = 'PENDING' AND next_retry_at > {AS_OF}) AS delayed, count(*) FILTER (status = 'PROCESSING') AS processing, count(*) FILTER (status = 'FAILED') AS failed, min(coalesce(next_retry_at, created_at)) FILTER ({DUE}) AS oldest_due_at FROM jobs")
 def queue_snapshot(t: Tables) -> DataFrame:
-    return queues.queue_snapshot(t.jobs, NOW)
+    return queues.queue_snapshot(t.jobs, now())
 
 
 @query("SELECT id, version_id, status, priority FROM jobs WHERE status = 'FAILED' AND worker_id = 3 ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20")

@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_jaccard_join": near_dedup.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op9_long_line_dedup": line_dedup.op9_long_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op5_source_mix": mixing.OP5_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op9_long_line_dedup": line_dedup.OP9_LONG_SQL,
 }

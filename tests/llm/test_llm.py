@@ -238,6 +238,16 @@ def test_line_dedup(spark, docs, rows, nothing):
     assert any(n for _, _, n in want.values()) and line_dedup.dedup_lines(spark, nothing).count() == 0
 
 
+def test_long_lines_are_runs_of_their_own(spark):
+    long_, half, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25)), " ".join(f"o{i}" for i in range(25))
+    texts = [long_, f"{half}\n{other}", long_, f"start\n\n{half}\n\n{other}\nend", f"x\n{long_}\n{long_}", f"{half}\nshort", f"{half}\nshort"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_lines, [tuple(x) for x in r.removed]) for r in line_dedup.dedup_lines(spark, frame, words=50).collect()}
+    assert out == {
+        0: (long_, 1, []), 1: (texts[1], 2, []), 2: ("", 1, [(0, 1)]), 3: ("start\n\n\nend", 4, [(1, 2)]), 4: ("x", 3, [(1, 2)]), 5: (texts[5], 2, []), 6: (texts[6], 2, []),
+    }
+
+
 @pytest.mark.parametrize(("length", "gram"), [(100, 40), (40, 16), (20, 9)])
 def test_substring_dedup(spark, docs, rows, length, gram):
     seen, want = set(), {}

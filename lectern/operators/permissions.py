@@ -116,22 +116,69 @@ def page(rows: DataFrame, *order: Column, limit: int, offset: int = 0) -> DataFr
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
-def permission_summary(t, user_id: int, as_of: Column, tree: DataFrame) -> DataFrame:
-    """PERM-01..04: document_id, can_read, can_write, can_admin, sources for every document that any rule reaches."""
+FLAGS = ("can_read", "can_write", "can_admin")
+
+
+def _flagged(rows: DataFrame, key: str, rule: str, *flags: bool) -> DataFrame:
+    """id, rule and the three flags: those given, or else the columns of rows."""
+    values = [F.lit(f).alias(c) for c, f in zip(FLAGS, flags, strict=True)] if flags else [F.col(c) for c in FLAGS]
+    return rows.select(F.col(key).alias("id"), F.lit(rule).alias("rule"), *values)
+
+
+def _reaching(grants: DataFrame, kind: str, user: DataFrame, t, as_of: Column) -> DataFrame:
+    """Unexpired grants of the kind that reach the user, whatever their flags."""
+    return granted(grants.withColumn("any", F.lit(True)), kind, user, t.user_roles, as_of, "any")
+
+
+def _inherited(t, kind: str, user: DataFrame, as_of: Column, tree: DataFrame) -> DataFrame:
+    """collection_id and flags of role or department grants, carried down the tree."""
+    reach = _reaching(t.collection_grants, kind, user, t, as_of).select(F.col("collection_id").alias("ancestor_id"), *FLAGS)
+    return reach.join(tree, "ancestor_id").select(F.col("descendant_id").alias("collection_id"), *FLAGS)
+
+
+def _summed(parts: list[DataFrame], key: str) -> DataFrame:
+    every = reduce(DataFrame.unionByName, parts).filter("can_read OR can_write OR can_admin")
+    return every.groupBy(F.col("id").alias(key)).agg(*[F.max(f).alias(f) for f in FLAGS], F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+
+
+def backed_cache(t, user_id: int, as_of: Column) -> DataFrame:
+    """document_id and flags of the user's valid cache rows: only the rights that what they were made from still gives."""
+    valid = t.access_cache.filter((F.col("user_id") == user_id) & ~F.col("invalidated") & active(as_of)).select("document_id", "source_type", *FLAGS)
+    mine = lambda grants: grants.filter((F.col("target_type") == "USER") & (F.col("user_id") == user_id) & active(as_of))
+    own = t.files.filter(F.col("owner_user_id") == user_id).select(F.col("id").alias("document_id"), *[F.lit(True).alias(f"backed_{c}") for c in FLAGS])
+    backed = [F.col(c).alias(f"backed_{c}") for c in FLAGS]
+    shelf = mine(t.collection_grants).join(t.collection_documents, "collection_id").select("document_id", *backed)
+    backing = {"OWNER": own, "DIRECT_DOCUMENT_PERMISSION": mine(t.document_grants).select("document_id", *backed), "DIRECT_COLLECTION_PERMISSION": shelf}
+    both = [(F.col(c) & F.col(f"backed_{c}")).alias(c) for c in FLAGS]
+    return reduce(DataFrame.union, [valid.filter(F.col("source_type") == k).join(b, "document_id").select("document_id", *both) for k, b in backing.items()])
+
+
+def permission_summary(t, user_id: int, as_of: Column, tree: DataFrame | None) -> DataFrame:
+    """PERM-01..03: document_id, can_read, can_write, can_admin, rules for every document that any rule reaches.
+
+    Without a tree only owners, visibility and grants on the documents themselves count; with one also the checked cache
+    and the role and department grants on collections, direct and inherited.
+    """
     user = t.users.filter(F.col("id") == user_id)
-    flags = ["can_read", "can_write", "can_admin"]
-    no, yes = F.lit(False), F.lit(True)
-    owner = t.files.filter(F.col("owner_user_id") == user_id).select("id", F.lit("OWNER").alias("rule"), yes.alias("can_read"), yes.alias("can_write"), yes.alias("can_admin"))
-    public = t.files.filter(F.col("visibility") == "PUBLIC").select("id", F.lit("PUBLIC").alias("rule"), yes.alias("can_read"), no.alias("can_write"), no.alias("can_admin"))
+    owner = _flagged(t.files.filter(F.col("owner_user_id") == user_id), "id", "OWNER", True, True, True)
+    public = _flagged(t.files.filter(F.col("visibility") == "PUBLIC"), "id", "PUBLIC", True, False, False)
     owners = t.users.select(F.col("id").alias("owner_user_id"), F.col("department_id").alias("owner_department"))
     same = t.files.filter(F.col("visibility") == "DEPARTMENT").join(owners, "owner_user_id").join(user.select(F.col("department_id").alias("owner_department")), "owner_department", "left_semi")
-    same = same.select("id", F.lit("DEPARTMENT").alias("rule"), yes.alias("can_read"), no.alias("can_write"), no.alias("can_admin"))
-    parts = [owner, public, same]
-    for kind in ("USER", "ROLE", "DEPARTMENT"):
-        reach = granted(t.document_grants.withColumn("any", yes), kind, user, t.user_roles, as_of, "any")
-        parts.append(reach.select(F.col("document_id").alias("id"), F.lit(f"{kind}_GRANT").alias("rule"), *flags))
-    every = reduce(DataFrame.unionByName, parts).filter("can_read OR can_write OR can_admin")
-    return every.groupBy(F.col("id").alias("document_id")).agg(*[F.max(f).alias(f) for f in flags], F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    parts = [owner, public, _flagged(same, "id", "DEPARTMENT", True, False, False)]
+    parts += [_flagged(_reaching(t.document_grants, kind, user, t, as_of), "document_id", f"{kind}_GRANT") for kind in ("USER", "ROLE", "DEPARTMENT")]
+    if tree is not None:
+        parts.append(_flagged(backed_cache(t, user_id, as_of), "document_id", "USER_CACHE"))
+        parts += [_flagged(_inherited(t, kind, user, as_of, tree).join(t.collection_documents, "collection_id"), "document_id", f"{kind}_COLLECTION_GRANT") for kind in ("ROLE", "DEPARTMENT")]
+    return _summed(parts, "document_id")
+
+
+def collection_summary(t, user_id: int, as_of: Column, tree: DataFrame) -> DataFrame:
+    """PERM-04: collection_id, can_read, can_write, can_admin, rules. Role and department grants reach descendants, grants to the user don't."""
+    user = t.users.filter(F.col("id") == user_id)
+    parts = [_flagged(t.collections.filter(F.col("owner_user_id") == user_id), "id", "OWNER", True, True, True), _flagged(t.collections.filter(F.col("visibility") == "PUBLIC"), "id", "PUBLIC", True, False, False)]
+    parts.append(_flagged(_reaching(t.collection_grants, "USER", user, t, as_of), "collection_id", "USER_GRANT"))
+    parts += [_flagged(_inherited(t, kind, user, as_of, tree), "collection_id", f"{kind}_GRANT") for kind in ("ROLE", "DEPARTMENT")]
+    return _summed(parts, "collection_id")
 
 
 def authoritative_cache(t, as_of: Column) -> DataFrame:

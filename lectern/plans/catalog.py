@@ -122,6 +122,36 @@ def permission_summary(t: Tables) -> DataFrame:
     return permissions.permission_summary(t, USER, now(), None)
 
 
+MINE = f"target_type = 'USER' AND user_id = {USER} AND {LIVE}"
+SUMMED = "bool_or(can_read) AS can_read, bool_or(can_write) AS can_write, bool_or(can_admin) AS can_admin, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM a WHERE can_read OR can_write OR can_admin GROUP BY id"
+
+
+@query(f"""WITH RECURSIVE {TREE}, {ME}, b AS (
+  SELECT id AS document_id, 'OWNER' AS source_type, TRUE AS r, TRUE AS w, TRUE AS x FROM files WHERE owner_user_id = {USER} UNION ALL
+  SELECT document_id, 'DIRECT_DOCUMENT_PERMISSION', can_read, can_write, can_admin FROM document_grants WHERE {MINE} UNION ALL
+  SELECT document_id, 'DIRECT_COLLECTION_PERMISSION', can_read, can_write, can_admin FROM collection_documents JOIN collection_grants USING (collection_id) WHERE {MINE}),
+a AS (
+  SELECT id, 'OWNER' AS rule, TRUE AS can_read, TRUE AS can_write, TRUE AS can_admin FROM files WHERE owner_user_id = {USER} UNION ALL
+  SELECT id, 'PUBLIC', TRUE, FALSE, FALSE FROM files WHERE visibility = 'PUBLIC' UNION ALL
+  SELECT id, 'DEPARTMENT', TRUE, FALSE, FALSE FROM files f WHERE visibility = 'DEPARTMENT' AND (SELECT department_id FROM users u WHERE u.id = f.owner_user_id) = (SELECT department_id FROM me) UNION ALL
+  SELECT document_id, concat(target_type, '_GRANT'), can_read, can_write, can_admin FROM document_grants WHERE {LIVE} AND ({REACHED} OR target_type = 'USER' AND user_id = {USER}) UNION ALL
+  SELECT document_id, 'USER_CACHE', can_read AND r, can_write AND w, can_admin AND x FROM access_cache JOIN b USING (document_id, source_type) WHERE user_id = {USER} AND NOT invalidated AND {LIVE} UNION ALL
+  SELECT c.document_id, concat(target_type, '_COLLECTION_GRANT'), can_read, can_write, can_admin FROM collection_documents c JOIN tree ON tree.descendant_id = c.collection_id JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE {LIVE} AND {REACHED})
+SELECT id AS document_id, {SUMMED}""")
+def document_permissions(t: Tables) -> DataFrame:
+    return permissions.permission_summary(t, USER, now(), tree(t))
+
+
+@query(f"""WITH RECURSIVE {TREE}, {ME}, a AS (
+  SELECT id, 'OWNER' AS rule, TRUE AS can_read, TRUE AS can_write, TRUE AS can_admin FROM collections WHERE owner_user_id = {USER} UNION ALL
+  SELECT id, 'PUBLIC', TRUE, FALSE, FALSE FROM collections WHERE visibility = 'PUBLIC' UNION ALL
+  SELECT collection_id, 'USER_GRANT', can_read, can_write, can_admin FROM collection_grants WHERE {MINE} UNION ALL
+  SELECT descendant_id, concat(target_type, '_GRANT'), can_read, can_write, can_admin FROM tree JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE {LIVE} AND {REACHED})
+SELECT id AS collection_id, {SUMMED}""")
+def collection_permissions(t: Tables) -> DataFrame:
+    return permissions.collection_summary(t, USER, now(), tree(t))
+
+
 @query(f"""SELECT user_id, document_id, source_type FROM access_cache c WHERE NOT invalidated AND can_read AND {LIVE} AND (
   source_type = 'OWNER' AND EXISTS (SELECT 1 FROM files f WHERE f.id = c.document_id AND f.owner_user_id = c.user_id)
   OR source_type = 'DIRECT_DOCUMENT_PERMISSION' AND EXISTS (SELECT 1 FROM document_grants g WHERE g.document_id = c.document_id AND g.user_id = c.user_id AND g.target_type = 'USER' AND g.can_read AND (g.expires_at IS NULL OR g.expires_at > {AS_OF}))

@@ -22,3 +22,11 @@ def test_entry_point():
 
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_document_permissions_reach_what_collections_grant(spark):
+    out = {r.document_id: r for r in catalog.QUERIES["document_permissions"](spark, SF).collect()}
+    readable = {r.id for r in catalog.QUERIES["readable_documents"](spark, SF).collect()}
+    assert "ROLE_COLLECTION_GRANT" in out[12].rules and out[12].can_read
+    cached = {r.document_id for r in catalog.Tables(spark, SF).access_cache.filter("user_id = 7").collect()}
+    assert readable - cached <= {d for d, r in out.items() if r.can_read}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, written
+from lectern.llm.common import FIRST, LAST, bounded, with_row_keys, written
 from lectern.llm.exact_dedup import exact_duplicates
 from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import jaccard_classes
@@ -19,11 +19,14 @@ from lectern.llm.quality import quality
 #: SQL can't express the near-duplicate classes and the packing; tests hold run() against brute force instead.
 ORACLE_SQL = None
 
+#: Column of the row keys within a dedup stage.
+ROW = "__row_key"
 
-def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the doc_ids of ids, which are broadcast as long as 64 MB hold them."""
-    ids = written(spark, ids.select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(bounded(ids, ids.count(), 32), docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+
+def _without(spark: SparkSession, keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed (rows with their key in ROW) without the rows whose keys are in gone, which is broadcast as long as 64 MB hold it."""
+    gone = written(spark, gone)
+    return keyed.join(bounded(gone, gone.count(), 32), ROW, "left_anti").drop(ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +35,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that of the largest doc_id."""
-    return _without(spark, docs, exact_duplicates(spark, docs).filter("NOT kept"))
+    """One row of each group of equal texts, of the largest doc_id; a null doc_id is smaller than any other."""
+    keyed = with_row_keys(docs, ROW, FIRST)
+    found = exact_duplicates(spark, keyed.select(F.col(ROW).alias("doc_id"), "text"))
+    return _without(spark, keyed, found.filter("NOT kept").select(F.col("doc_id").alias(ROW)))
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five-word shingles, similarity of 0.8 or more), that of the smallest doc_id."""
-    return _without(spark, docs, jaccard_classes(spark, docs, n=5, percent=80).filter("doc_id <> component_id"))
+    """One row of each class of near duplicates (five-word shingles, similarity of 0.8 or more), of the smallest doc_id; a null doc_id is the largest."""
+    keyed = with_row_keys(docs, ROW, LAST)
+    found = jaccard_classes(spark, keyed.select(F.col(ROW).alias("doc_id"), "text"), n=5, percent=80)
+    return _without(spark, keyed, found.filter("NOT doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(LAST)).alias(ROW)))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

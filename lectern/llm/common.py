@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it; what lies between is a word.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Keys of a null doc_id, before or after all others.
+FIRST, LAST = -(1 << 63), (1 << 63) - 1
+
 #: Broadcast sides must be proven smaller than this (rows x width, or bytes).
 BROADCAST_BYTES = 64 << 20
 
@@ -53,6 +56,19 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.coalesce(df[c], F.lit("")).alias(c) if c == "text" else df[c] for c in columns))
 
 
+def with_row_keys(docs: DataFrame, name: str = "doc", null: int = LAST) -> DataFrame:
+    """docs with a long key for each row in the column `name`, ordered by doc_id; a null doc_id counts as `null` (FIRST or LAST).
+
+    Where no two rows share a doc_id, it is the key, and nothing is written. Else the rows are written once, sorted by
+    doc_id and their place in the input, and numbered in that order.
+    """
+    key = F.coalesce(docs["doc_id"], F.lit(null).cast("long"))
+    if docs.select(key.alias("key")).groupBy("key").count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, key)
+    dealt = docs.withColumn(name, F.monotonically_increasing_id()).repartitionByRange(key, F.col(name)).sortWithinPartitions(key, F.col(name))
+    return written(docs.sparkSession, dealt.withColumn(name, F.monotonically_increasing_id()))
+
+
 def with_hot_keys(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
     """left join-inner right on key, where right has one row a key and `rows` counts left's rows of that key.
 

@@ -310,3 +310,17 @@ def test_pipeline(spark, docs, rows):
     assert [len(s) for s in pipeline.STAGES] == [2] * 5
 
 
+def test_pipeline_judges_rows_not_ids(spark):
+    import corpus_pipeline as pipeline
+
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, "A"), (5, "B"), (7, "A"), (None, "A"), (None, "C"), (None, "D"), (3, "E"), (3, "E"), (None, long_), (9, long_ + " x"), (None, long_)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda d: sorted((r.doc_id or -1, r.text) for r in d.collect())
+    distinct = pipeline.distinct_texts(spark, frame, "")
+    assert distinct.columns == frame.columns
+    assert key(distinct) == sorted([(5, "B"), (7, "A"), (-1, "C"), (-1, "D"), (3, "E"), (-1, long_), (9, long_ + " x")])
+    single = pipeline.distinct_contents(spark, frame, "")
+    assert key(single) == sorted([(5, "A"), (5, "B"), (-1, "C"), (-1, "D"), (3, "E"), (9, long_ + " x")])
+    one_null = spark.createDataFrame([(1, long_), (None, long_ + " x")], "doc_id long, text string")
+    assert key(pipeline.distinct_contents(spark, one_null, "")) == [(1, long_)]

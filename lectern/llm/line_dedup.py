@@ -11,8 +11,8 @@ With `words`, one or two neighbouring lines of so many words or more in all are
 fingerprint, so that a long passage counts as a repeat however few lines it has.
 
 Defined results: null text is empty. Lines without a word are never deleted and don't break a run; a line is what
-lies between two newlines and is compared as it is. Rows of the same doc_id count as one document, and a null doc_id
-as the last. Rows of an empty table: none; further columns are ignored.
+lies between two newlines and is compared as it is. A null doc_id is the last. Rows of the same doc_id, or of none, are
+documents of their own in the order of the input. Rows of an empty table: none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, table, with_hot_keys, written
+from lectern.llm.common import bounded, documents, table, with_hot_keys, with_row_keys, written
 from lectern.llm.exact_dedup import possibly_repeated
 
-LAST = (1 << 63) - 1
 SPACES = " \t\n\x0b\x0c\r"
 #: Words from which one or two lines are a run of their own in op9_long_line_dedup.
 LONG = 50
@@ -75,8 +74,7 @@ def fingerprints(docs: DataFrame, run: int, words: int | None) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lines)]), pa.int32()), pa.array(np.concatenate(lines) if lines else [], pa.int64())),
             ], ["doc", "fingerprint", "first", "size", "lines"])
 
-    keyed = documents(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
-    return keyed.mapInArrow(winnow, "doc long, fingerprint long, first long, size int, lines array<long>")
+    return docs.select("doc", "text").mapInArrow(winnow, "doc long, fingerprint long, first long, size int, lines array<long>")
 
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, run: int, words: int | None) -> DataFrame:
@@ -115,10 +113,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, run: int = 3, words: int |
             kind = pa.list_(pa.struct([("first", pa.int64()), ("count", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(runs, kind)], ["doc_id", "text", "n_lines", "removed"])
 
-    found = written(spark, repeated_windows(spark, docs, run, words))
+    keyed = with_row_keys(documents(docs, "doc_id", "text"))
+    found = written(spark, repeated_windows(spark, keyed, run, words))
     size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("starts")), F.lit(0)).alias("w")).first()
     found = bounded(found, size.n + size.w, 40)
-    keyed = documents(docs, "doc_id", "text").withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     changed = keyed.join(found, "doc").select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, text string, n_lines long, removed array<struct<first:long,count:long>>")
     count = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     same = keyed.join(found.select("doc"), "doc", "left_anti").select("doc_id", "text", count.alias("n_lines"), F.array().cast("array<struct<first:long,count:long>>").alias("removed"))

@@ -15,7 +15,8 @@ Every step is a grouped aggregate or a join that stands hot keys, so memory is b
 Windows and segments are identified by 64-bit hashes of all their bytes.
 
 Defined results: null text is empty; texts under `length` bytes keep all. Earlier is a smaller doc_id, then an earlier
-start; a null doc_id comes last. Rows of the same doc_id count as one document, so neither removes the other's bytes.
+start; a null doc_id comes last. Rows of the same doc_id, or of none, are documents of their own in the order of the
+input; each loses bytes only by its own spans.
 An empty table gives an empty result; further columns are ignored.
 """
 
@@ -28,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, table, with_hot_keys, written
+from lectern.llm.common import bounded, documents, table, with_hot_keys, with_row_keys, written
 from lectern.llm.packing import mixed
 
-LAST = (1 << 63) - 1
 LENGTH, GRAM = 100, 40
 #: Bytes of documents that are hashed at a time; a longer document alone.
 CHUNK = 1 << 19
@@ -109,7 +109,7 @@ def _pieces(ids: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], lis
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return documents(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("text").cast("binary").alias("data"))
+    return docs.select("doc", F.col("text").cast("binary").alias("data"))
 
 
 def _packed(hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -219,7 +219,7 @@ def _narrow(spark: SparkSession, spans: DataFrame) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, spans (array of first, n): the windows that also start earlier."""
+    """doc, spans (array of first, n): the windows that also start earlier; docs: doc (key of a row), text."""
     again = repeated_hashes(spark, sample_hashes(docs, length, gram))
     known = bounded(again.withColumnRenamed("hash", "sample"), again.count(), 24)
     shared = samples(docs, length, gram).join(known, "sample", "left_semi")
@@ -251,13 +251,14 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
                 edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0)).reshape(-1, 2)
                 left.append(data[~gone[:-1]].tobytes())
                 runs.append([{"first": int(a), "n": int(b - a)} for a, b in edges])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()), pa.array(left, pa.binary()), pa.array(runs, kind)], ["doc", "n_bytes", "data", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()), pa.array(left, pa.binary()), pa.array(runs, kind)], ["doc_id", "n_bytes", "data", "removed"])
 
-    keyed = _keyed(docs)
+    docs = with_row_keys(documents(docs, "doc_id", "text"))
+    keyed = docs.select("doc", "doc_id", F.col("text").cast("binary").alias("data"))
     found = repeated_spans(spark, docs, length, gram)
-    changed = keyed.join(found, "doc").select("doc", "data", "spans").mapInArrow(cut, "doc long, n_bytes long, data binary, removed array<struct<first:long,n:long>>")
-    same = keyed.join(found.select("doc"), "doc", "left_anti").select("doc", F.octet_length("data").cast("long").alias("n_bytes"), "data", F.array().cast("array<struct<first:long,n:long>>").alias("removed"))
-    return changed.unionByName(same).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_bytes", "data", "removed")
+    changed = keyed.join(found, "doc").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, data binary, removed array<struct<first:long,n:long>>")
+    same = keyed.join(found.select("doc"), "doc", "left_anti").select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "data", F.array().cast("array<struct<first:long,n:long>>").alias("removed"))
+    return changed.unionByName(same)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

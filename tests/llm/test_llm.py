@@ -324,3 +324,13 @@ def test_pipeline_judges_rows_not_ids(spark):
     assert key(single) == sorted([(5, "A"), (5, "B"), (-1, "C"), (-1, "D"), (3, "E"), (9, long_ + " x")])
     one_null = spark.createDataFrame([(1, long_), (None, long_ + " x")], "doc_id long, text string")
     assert key(pipeline.distinct_contents(spark, one_null, "")) == [(1, long_)]
+
+
+def test_rows_of_one_id_keep_their_own_bytes_and_lines(spark):
+    t, u = ("".join(chr(97 + (i * i * k + i // 7) % 26) for i in range(150)) for k in (1, 3))
+    rows = [(2, t), (None, u + t), (None, "short"), (5, t), (5, u[:90] * 2), (None, None)]
+    out = sorted((r.doc_id or -1, bytes(r.data).decode()) for r in substring_dedup.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == sorted([(2, t), (-1, u), (-1, "short"), (5, ""), (5, u[:90] * 2), (-1, "")])
+    rows = [(2, "a\nb\nc"), (None, "x\na\nb\nc"), (None, "p\nq\nr\ns"), (5, "a\nb\nc"), (5, "k\nl\nm")]
+    out = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == sorted([(2, "a\nb\nc"), (-1, "x"), (-1, "p\nq\nr\ns"), (5, ""), (5, "k\nl\nm")])

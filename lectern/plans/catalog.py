@@ -172,7 +172,16 @@ def admin_users(t: Tables) -> DataFrame:
 
 @query("SELECT u.id, string_agg(r.code, ',' ORDER BY r.code) AS codes FROM users u JOIN user_roles x ON x.user_id = u.id JOIN roles r ON r.id = x.role_id WHERE u.id BETWEEN 10 AND 60 GROUP BY u.id")
 def user_role_codes(t: Tables) -> DataFrame:
-    rows = t.users.filter("id BETWEEN 10 AND 60").join(t.user_roles, F.col("user_id") == F.col("id")).select("user_id", "role_id").join(F.broadcast(t.roles), F.col("role_id") == F.col("id"))
+    return _role_codes(t, t.users.filter("id BETWEEN 10 AND 60"))
+
+
+@query("SELECT u.id, string_agg(r.code, ',' ORDER BY r.code) AS codes FROM users u JOIN user_roles x ON x.user_id = u.id JOIN roles r ON r.id = x.role_id GROUP BY u.id")
+def all_user_role_codes(t: Tables) -> DataFrame:
+    return _role_codes(t, t.users)
+
+
+def _role_codes(t: Tables, users: DataFrame) -> DataFrame:
+    rows = users.join(t.user_roles, F.col("user_id") == F.col("id")).select("user_id", "role_id").join(F.broadcast(t.roles), F.col("role_id") == F.col("id"))
     return rows.groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
 
 
@@ -420,6 +429,12 @@ def insert_absent(t: Tables) -> DataFrame:
     return queues.insert_absent(target, t.events.filter("user_id % 2 = 0").select("user_id", "event_id"), "user_id")
 
 
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY user_id")
+def insert_all_absent(t: Tables) -> DataFrame:
+    target = t.customer.filter("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
+    return queues.insert_absent(target, t.events.select("user_id", "event_id"), "user_id")
+
+
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def unreferenced_objects(t: Tables) -> DataFrame:
     return queues.unreferenced(t.part.select("p_partkey"), t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
@@ -522,7 +537,16 @@ def ledger_reconcile(t: Tables) -> DataFrame:
 
 @query("WITH a AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS left_value FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS right_value FROM events WHERE event_type <> 'click' AND user_id % 3 = 0 GROUP BY 1) SELECT bucket, left_value, right_value FROM a FULL JOIN b USING (bucket)")
 def align_series(t: Tables) -> DataFrame:
-    both = analytics.align(t.events.filter("event_type = 'click'").select("ts", "value"), t.events.filter("event_type <> 'click' AND user_id % 3 = 0").select("ts", "value"), "hour")
+    return _aligned(t, "event_type <> 'click' AND user_id % 3 = 0")
+
+
+@query("WITH a AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS left_value FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS right_value FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT bucket, left_value, right_value FROM a FULL JOIN b USING (bucket)")
+def align_all_series(t: Tables) -> DataFrame:
+    return _aligned(t, "event_type <> 'click'")
+
+
+def _aligned(t: Tables, right: str) -> DataFrame:
+    both = analytics.align(t.events.filter("event_type = 'click'").select("ts", "value"), t.events.filter(right).select("ts", "value"), "hour")
     return both.select("bucket", F.round("left_value", 4).alias("left_value"), F.round("right_value", 4).alias("right_value"))
 
 

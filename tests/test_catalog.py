@@ -30,3 +30,11 @@ def test_document_permissions_reach_what_collections_grant(spark):
     assert "ROLE_COLLECTION_GRANT" in out[12].rules and out[12].can_read
     cached = {r.document_id for r in catalog.Tables(spark, SF).access_cache.filter("user_id = 7").collect()}
     assert readable - cached <= {d for d, r in out.items() if r.can_read}
+
+
+def test_whole_tables_are_covered(spark):
+    t = catalog.Tables(spark, SF)
+    count = lambda name: catalog.QUERIES[name](spark, SF).count()
+    assert count("all_user_role_codes") == t.users.count() > count("user_role_codes")
+    assert {r.user_id % 2 for r in catalog.QUERIES["insert_all_absent"](spark, SF).collect()} == {0, 1}
+    assert count("align_all_series") >= count("align_series")

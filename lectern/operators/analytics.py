@@ -42,7 +42,7 @@ def first_above(series: DataFrame, mark: Column) -> DataFrame:
 
 
 def reconcile_ledger(sent: DataFrame, stored: DataFrame) -> DataFrame:
-    """JOIN-18, AGG-27: one row: acknowledged but missing, stored more than once, stored but never sent. sent: request_id, acked; stored: request_id, row_count."""
+    """JOIN-18: one row: acknowledged but missing, stored more than once, stored but never sent. sent: request_id, acked; stored: request_id, row_count."""
     both = sent.withColumn("sent", F.lit(True)).join(stored, "request_id", "full_outer")
     rows = F.coalesce("row_count", F.lit(0))
     return both.agg(

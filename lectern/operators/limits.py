@@ -1,4 +1,4 @@
-"""Sequential rules over ordered events: first-call-anchored rate limits, idle backoff, circuit breaker."""
+"""Sequential rules over ordered events: first-call-anchored rate limits, idle backoff."""
 
 from __future__ import annotations
 

@@ -1,11 +1,11 @@
 """Repeated byte strings: removes each byte of a string of `length` bytes that also starts earlier.
 
-Blockwise sort of suffixes by cover samples, made for a cluster. The cover sample are the minima of hashes of `gram`
+Cover samples and classes of equal hashes take the place of a blockwise suffix sort. The cover sample are the minima of hashes of `gram`
 bytes in every window of `length` bytes, so two equal windows hold the same sample at the same place in them. Each
 sample with the windows it stands for is one segment (under two window lengths), and is put in the bucket of its hash:
 
 1. Buckets with one sample are dropped: their windows occur once. Only packed hashes are dealt out to find them.
-2. Long ties by ranks of the sample: in a bucket, samples of equal segments are one class. All members but the earliest
+2. In place of ranks for long ties: in a bucket, samples of equal segments are one class. All members but the earliest
    are repeats with all their windows; no bytes are compared for them.
 3. What is left are the earliest members of classes in buckets of two classes or more: segments that agree around the
    sample and differ further out. Only for these are the single windows put in buckets of their own, where the

@@ -7,8 +7,13 @@ tree starts with all quotas at the root and gives half of the draws, chosen by a
 either child, until each leaf - an output shard - has its own quotas. Each source's permuted draws are then dealt out
 to the shards in turn, so that shards hold disjoint draws, and a shard's documents are shuffled by a hash.
 
-Small draws (up to EXACT_DRAWS) are exact, one ball at a time; for larger ones the rounded normal limit with the exact
-mean and variance, kept within the possible numbers, stands for the distribution. Quotas add up exactly either way.
+Each hypergeometric draw inverts its own distribution: a walk from the mode sums the ratios of neighbouring
+probabilities, up and then down, as far as doubles can tell them from 0, and ends where a hashed uniform number lies.
+Quotas add up exactly.
+
+Sums over a source's blocks and shards run in two levels, within buckets and over them, so no task holds all of a
+source. What stands in one row or window are the sources themselves, a few words each: their number is taken to be
+in the thousands at most, as weights are given by their order.
 
 Defined results: null text has size 0 and null is a source of its own, ordered last. Sources of size 0 have target 0.
 Rows of the same doc_id and source lie in one block and are taken alike. An empty table gives an empty result; further
@@ -23,11 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import BROADCAST_BYTES, bounded, documents, let, table, with_hot_keys, words, written
+from lectern.llm.common import bounded, documents, let, table, with_hot_keys, words, written
 
 WEIGHTS, MAX_REPEATS = (5, 2, 1), 3
 BLOCK_WORDS, SHARD_BLOCKS = 16_384, 64
-EXACT_DRAWS = 512
+#: Standard deviations that a walk covers: what lies beyond weighs less than a step of the uniform numbers, 2**-53.
+REACH = 9
+#: Blocks or shards of one source that a task sums up, and draws that it deals out.
+BUCKET = 4096
 
 
 def _hash(*parts) -> Column:
@@ -67,25 +75,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     )
 
 
-def _hypergeometric(good: Column, total: Column, draws: Column, key: Column) -> Column:
-    """How many of `draws` balls, out of `total` of which `good` are marked, are marked; by hashes of key."""
-    uniform = lambda i: (F.pmod(F.xxhash64(key, i), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    few, many = F.least(good, draws), F.greatest(good, draws)
-    one = lambda x, i: x + F.when(uniform(i) * (total - i) < many - x, 1).otherwise(0)
-    exact = F.aggregate(F.sequence(F.lit(0).cast("long"), few - 1), F.lit(0).cast("long"), lambda x, i: one(x, i).cast("long"))
-    share = many / total
-    spread = F.sqrt(F.greatest(few * share * (1 - share) * (total - few) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
-    normal = F.sqrt(-2 * F.log(uniform(F.lit(0).cast("long")))) * F.cos(2 * math.pi * uniform(F.lit(1).cast("long")))
-    limit = F.round(few * share + normal * spread).cast("long")
-    limit = F.least(F.greatest(limit, few + many - total, F.lit(0).cast("long")), few)
-    return F.when(few <= 0, F.lit(0).cast("long")).when(few <= EXACT_DRAWS, exact).otherwise(limit)
+def _walk(steps: Column, ratio, counted: float, left: Column) -> Column:
+    """Sums weights from the mode on, which has the weight 1, itself counted (1.0) or not (0.0); step i multiplies by ratio(i).
+
+    `sum` is all of it and `at` the number of the step at which the sum passes `left` (-1: none).
+    """
+    state = F.struct(F.lit(1.0).alias("w"), F.lit(counted).alias("sum"), F.when(F.lit(counted) > left, 0).otherwise(-1).cast("long").alias("at"))
+
+    def step(s: Column, i: Column) -> Column:
+        w = s["w"] * ratio(i)
+        found = F.when((s["at"] < 0) & (s["sum"] + w > left), i).otherwise(s["at"])
+        return F.struct(w.alias("w"), (s["sum"] + w).alias("sum"), found.alias("at"))
+
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.filter(F.sequence(one, F.greatest(steps, one)), lambda i: i <= steps), state, step)
+
+
+def _hypergeometric(good: Column, total: Column, draws: Column, uniform: Column) -> Column:
+    """How many of `draws` balls, out of `total` of which `good` are marked, are marked, by inversion of uniform (0 to 1)."""
+    zero = F.lit(0).cast("long")
+    least, most = F.greatest(zero, draws + good - total), F.least(good, draws)
+    mode = F.least(F.greatest(F.floor((draws + 1) * (good + 1).cast("double") / (total + 2)), least), most)
+    share = good / F.greatest(total, F.lit(1))
+    spread = F.sqrt(F.greatest(draws * share * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
+
+    def drawn(mode: Column) -> Column:
+        wide = F.ceil(spread * REACH) + 12
+        up, down = F.least(most - mode, wide), F.least(mode - least, wide)
+        over = lambda k: (good - k + 1).cast("double") * (draws - k + 1) / (k.cast("double") * (total - good - draws + k))  # noqa: E731  P(k) / P(k - 1)
+        higher = lambda i: over(mode + i)
+        lower = lambda i: 1 / over(mode - i + 1)
+        none = F.lit(float("inf"))
+        whole = _walk(up, higher, 1.0, none)["sum"] + _walk(down, lower, 0.0, none)["sum"]
+
+        def placed(left: Column) -> Column:
+            return let(_walk(up, higher, 1.0, left), lambda f: F.when(f["at"] >= 0, mode + f["at"]).otherwise(mode - F.greatest(_walk(down, lower, 0.0, left - f["sum"])["at"], zero)))
+
+        return let(whole * uniform, placed)
+
+    return F.when(most <= least, least).otherwise(let(mode, drawn))
 
 
 def _draw(key: Column):  # noqa: ANN202
     """A step of the multivariate draw: how many of the next source's balls are among those left to draw."""
 
     def step(state: Column, x: Column) -> Column:
-        got = _hypergeometric(x["quota"], state["total"], state["draws"], F.concat_ws("|", key, x["source_key"]))
+        uniform = (F.shiftrightunsigned(F.xxhash64(key, x["source_key"]), 11) + 0.5) / float(1 << 53)
+        got = _hypergeometric(x["quota"], state["total"], state["draws"], uniform)
         return let(got, lambda n: F.struct((state["total"] - x["quota"]).alias("total"), (state["draws"] - n).alias("draws"), F.concat(state["left"], F.array(n)).alias("left")))
 
     return step
@@ -109,12 +145,26 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: str = "tree") -> DataFra
     return node.select("shard", F.inline("bag"))
 
 
+def running(rows: DataFrame, bucket: Column, order: list[str], **values: Column) -> DataFrame:
+    """rows with a column for each value: its sum over all rows of the same source_key before, by bucket and then by order.
+
+    Two levels: within buckets, and over the sums of buckets. bucket must not fall where order rises.
+    """
+    rows = rows.withColumn("bucket", bucket).withColumns({f"{k}_": v for k, v in values.items()})
+    sums = rows.groupBy("source_key", "bucket").agg(*[F.sum(f"{k}_").alias(f"{k}_") for k in values])
+    over = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source_key", "bucket", *[F.coalesce(F.sum(f"{k}_").over(over), F.lit(0)).alias(f"{k}_base") for k in values])
+    inside = Window.partitionBy("source_key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(sums, ["source_key", "bucket"]).withColumns({k: F.col(f"{k}_base") + F.coalesce(F.sum(f"{k}_").over(inside), F.lit(0)) for k in values})
+    return out.drop("bucket", *[f"{k}{x}" for k in values for x in ("_", "_base")])
+
+
 class Mix:
     """The plan of a mix of docs: sizes a document, targets a source, draws a block.
 
     sizes: doc_id, source_key, size. sources: see targets(). blocks: source_key, block, draws (array of copy and
-    shard), left (null, or the words to take from the block in its last draw). part: the documents of such blocks
-    that are taken in it.
+    shard), left (null, or the words to take from the block in its last draw). shards: the leaves of the tree. part:
+    the documents of cut blocks that are taken in their last draw.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: str = "mix") -> None:
@@ -123,61 +173,84 @@ class Mix:
         self.sizes = written(spark, sized)
         self.total = self.sizes.count()
         self.sources = written(spark, targets(self.sizes, weights, repeats, block_words))
+        self.n_sources = self.sources.count()
         self.placed = self.place(self.sizes.drop("source")).select("doc_id", "source_key", "size", "source_size", "target", "block")
-        blocks = self.placed.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
-        turn = Window.partitionBy("source_key").orderBy("turn", "block")
-        blocks = blocks.withColumn("turn", _hash(f"{seed} turn", F.col("source_key"), F.col("block").cast("string"))).withColumn("before", F.sum("words").over(turn) - F.col("words")).withColumn("at", F.row_number().over(turn).cast("long"))
-        blocks = blocks.join(bounded(self.sources.select("source_key", "passes", "rest"), self.sources.count(), 200), "source_key")
-        left = F.when((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before"))
-        blocks = blocks.withColumn("left", left).withColumn("n", F.col("passes") + ((F.col("before") < F.col("rest")) & (F.col("words") > 0)).cast("long"))
-        blocks = written(spark, blocks.select("source_key", "block", "at", "n", "left"))
-        draws = blocks.filter("n > 0").select("source_key", "block", "at", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+        blocks = written(spark, self._blocks())
         quotas = blocks.groupBy("source_key").agg(F.sum("n").alias("quota"))
         n = blocks.agg(F.sum("n")).first()[0] or 0
         self.shards = written(spark, splitting_tree(quotas, max(0, math.ceil(math.log2(max(1, n / shard_blocks)))), seed))
-        self.blocks = self._dealt(blocks, draws)
+        self.blocks = written(spark, self._dealt(blocks))
         self.n_blocks = blocks.count()
         inside = Window.partitionBy("source_key", "block").orderBy("turn", "doc_id", "size")
-        cut = self.placed.join(bounded(blocks.filter("left IS NOT NULL").select("source_key", "block", "left"), self.sources.count(), 200), ["source_key", "block"])
+        cut = self.placed.join(bounded(blocks.filter("left IS NOT NULL").select("source_key", "block", "left"), self.n_sources, 200), ["source_key", "block"])
         cut = cut.withColumn("turn", _hash(f"{seed} part", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("upto", F.sum("size").over(inside) - F.col("size") / 2)
-        self.part = cut.filter("upto <= left").select("source_key", "doc_id").distinct()
+        self.part = written(spark, cut.filter("upto <= left").select("source_key", "doc_id").distinct())
 
     def place(self, docs: DataFrame) -> DataFrame:
         """docs (doc_id, source_key, ...) with the columns of their source and their block."""
         return with_hot_keys(docs, self.sources, "source_key", "docs", self.total).withColumn("block", _block(self.seed))
 
-    def _dealt(self, blocks: DataFrame, draws: DataFrame) -> DataFrame:
-        """Deals each source's draws, in permuted order pass after pass, to the shards by their quotas."""
-        place = Window.partitionBy("source_key").orderBy("copy", "at")
-        draws = draws.select("source_key", "block", "copy", F.lit(None).cast("long").alias("shard"), F.row_number().over(place).cast("double").alias("place"))
-        first = F.sum("quota").over(Window.partitionBy("source_key").orderBy("shard")) - F.col("quota") + 0.5
-        starts = self.shards.select("source_key", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("copy"), "shard", first.alias("place"))
-        upto = Window.partitionBy("source_key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        dealt = draws.unionByName(starts).withColumn("shard", F.last("shard", ignorenulls=True).over(upto)).filter("block IS NOT NULL")
+    def _blocks(self) -> DataFrame:
+        """source_key, block, at (place in the source's permutation, from 0), n (draws), left (see blocks)."""
+        blocks = self.placed.groupBy("source_key", "block").agg(F.sum("size").alias("words"))
+        blocks = blocks.withColumn("turn", _hash(f"{self.seed} turn", F.col("source_key"), F.col("block").cast("string")))
+        blocks = blocks.join(bounded(self.sources.select("source_key", "passes", "rest", "n_blocks"), self.n_sources, 200), "source_key")
+        bucket = F.floor(F.col("turn") / float(1 << 60) * F.ceil(F.col("n_blocks") / BUCKET))
+        blocks = running(blocks, bucket, ["turn", "block"], before=F.col("words"), at=F.lit(1).cast("long"))
+        started = F.col("before") < F.col("rest")
+        left = F.when(started & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before"))
+        return blocks.select("source_key", "block", "at", (F.col("passes") + started.cast("long")).alias("n"), left.alias("left"))
+
+    def _dealt(self, blocks: DataFrame) -> DataFrame:
+        """Deals each source's draws, in permuted order pass after pass, to the shards by their quotas.
+
+        A draw's place follows from its pass and its block's place. Draws and shards' shares of places meet by cells of BUCKET places.
+        """
+        counts = blocks.groupBy("source_key").agg(F.count("*").alias("all_blocks"))
+        draws = blocks.filter("n > 0").select("source_key", "block", "at", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+        draws = draws.join(bounded(counts, self.n_sources, 200), "source_key").withColumn("place", (F.col("copy") - 1) * F.col("all_blocks") + F.col("at"))
+        cell = lambda x: F.floor(x / BUCKET)
+        shares = running(self.shards, cell(F.col("shard")), ["shard"], start=F.col("quota")).withColumn("stop", F.col("start") + F.col("quota"))
+        shares = shares.select("source_key", "shard", "start", "stop", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop") - 1))).alias("cell"))
+        dealt = draws.withColumn("cell", cell(F.col("place"))).join(shares, ["source_key", "cell"]).filter("start <= place AND place < stop")
         dealt = dealt.groupBy("source_key", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("draws"))
         return blocks.select("source_key", "block", "left").join(dealt, ["source_key", "block"])
 
     def drawn(self, placed: DataFrame) -> DataFrame:
         """Adds `draws` to rows of placed documents: copy and shard of each time the mix takes the document."""
-        part = bounded(self.part.withColumn("in_part", F.lit(True)), self.sources.count() * 2 * BLOCK_WORDS, 40, BROADCAST_BYTES)
+        part = bounded(self.part.withColumn("in_part", F.lit(True)), self.part.count(), 200)
         out = placed.join(bounded(self.blocks, self.n_blocks, 120), ["source_key", "block"], "left").join(part, ["source_key", "doc_id"], "left")
         whole = F.col("left").isNull() | F.coalesce("in_part", F.lit(False))
         draws = F.when(whole, F.col("draws")).otherwise(F.slice("draws", F.lit(1), F.greatest(F.size("draws") - 1, F.lit(0))))
         return out.withColumn("draws", F.coalesce(draws, F.array().cast("array<struct<copy:bigint,shard:bigint>>"))).drop("left", "in_part")
 
 
-def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix", shuffle: bool = True, **settings) -> DataFrame:
+def _drawn_rows(plan: Mix, docs: DataFrame) -> DataFrame:
+    """row (the columns of docs) and draw (copy, shard), as often as the mix takes each row."""
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), _source(docs["source"]).alias("source_key"))
+    return plan.drawn(plan.place(keyed)).select("row", F.explode("draws").alias("draw"))
+
+
+def _turn(seed: str) -> Column:
+    return _hash(seed, F.col("row.doc_id").cast("string"), F.col("draw.copy").cast("string"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
     """The mixed documents: the columns of docs, as often as the mix takes each.
 
-    With shuffle the rows of a shard lie together, in an order shuffled by a hash, one shard after the other.
+    The rows of a shard lie together, in an order shuffled by a hash, one shard after the other.
     """
-    plan = Mix(spark, docs, seed=seed, **settings)
-    columns = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("doc_id"), _source(docs["source"]).alias("source_key"))
-    taken = plan.drawn(plan.place(keyed)).select("row", F.explode("draws").alias("draw"))
-    if shuffle:
-        taken = taken.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", _hash(seed, F.col("row.doc_id").cast("string"), F.col("draw.copy").cast("string")))
-    return taken.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    taken = _drawn_rows(Mix(spark, docs, seed=seed, **settings), docs)
+    taken = taken.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", _turn(seed))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def mixed_shards(spark: SparkSession, docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
+    """What mix() lays out: doc_id, source, copy, shard, place (in the shard's shuffled order, from 0) of every draw of a document."""
+    docs = docs.select("doc_id", "source", "text")
+    taken = _drawn_rows(Mix(spark, docs, seed=seed, **settings), docs)
+    place = F.row_number().over(Window.partitionBy("draw.shard").orderBy(_turn(seed), "row.doc_id")) - 1
+    return taken.select("row.doc_id", "row.source", "draw.copy", "draw.shard", place.cast("long").alias("place"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +258,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.drawn(plan.placed).select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
 
 
+def op5_mix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards that the splitting tree deals the same draws to."""
+    return mixed_shards(spark, table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = """
 WITH z AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_derivatives": warc.op3_warc_derivatives,
     "op4_quality_divergence": quality.op4_quality_divergence,
     "op5_source_mix": mixing.op5_source_mix,
+    "op5_mix_shards": mixing.op5_mix_shards,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_jaccard_join": near_dedup.op8_jaccard_join,

@@ -4,7 +4,8 @@ A document's histogram over classes of characters, and its histogram over the co
 held against the means of all documents of that language by Jensen-Shannon distance (base 2, so 0 to 1). A document
 that lies too far off is rejected. Guards leave short documents alone: a distance counts only from a minimum number
 of characters or words on, and only against a reference of a minimum number of documents. Means are sums of whole
-parts per million, so that reruns and any order of addition agree.
+parts per million, so that reruns and any order of addition agree. Texts are measured once, into a table of counts and
+histograms; means and verdicts read that table.
 
 Defined results: null or empty text has no words and fails the base rule. A language without a list of common words,
 or a null one, is measured by characters alone, against all such documents together. Repeated rows are judged one by
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import SPACE, documents, let, table, words
+from lectern.llm.common import SPACE, documents, let, table, words, written
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -62,11 +63,11 @@ def measured(docs: DataFrame) -> DataFrame:
     return step.withColumns({"class_ppm": F.when(F.col("chars") > 0, _ppm(F.col("counts"), F.col("chars"))), "word_ppm": F.when(F.col("n_words") > 0, _ppm(F.col("hits"), F.col("n_words")))}).drop("counts", "hits", "common")
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(facts: DataFrame) -> DataFrame:
     """One row a language (those with a list, and one for all others): sums of both histograms over all documents."""
     bins = {"class": len(CLASSES) + 1, "word": 1 + max(len(v.split()) for v in COMMON_WORDS.values())}
     sums = [F.array(*[F.coalesce(F.sum(F.get(f"{k}_ppm", F.lit(i))), F.lit(0)) for i in range(n)]).alias(f"{k}_reference") for k, n in bins.items()]
-    return measured(docs).groupBy("language").agg(*sums, F.count("class_ppm").alias("class_docs"), F.count("word_ppm").alias("word_docs"))
+    return facts.groupBy("language").agg(*sums, F.count("class_ppm").alias("class_docs"), F.count("word_ppm").alias("word_docs"))
 
 
 def divergence(counts: Column, reference: Column) -> Column:
@@ -106,17 +107,17 @@ def quality(docs: DataFrame, *keep: str, max_class: float = MAX_CLASS_DISTANCE,
     for the rest - five rows at any size - and so are broadcast.
     """
     docs = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "lang")
-    far = measured(docs).join(F.broadcast(references(docs.select("text", "lang"))), "language", "left")
-    off = lambda k, low, most, size: (size >= low) & (F.col(f"{k}_docs") >= min_reference) & (divergence(F.col(f"{k}_ppm"), F.col(f"{k}_reference")) > most)
-    rejected = off("class", min_chars, F.lit(max_class), F.col("chars")) | off("word", min_words, max_word + noise / F.sqrt("n_words"), F.when(F.col("language") != OTHER, F.col("n_words")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = far.select(
-        "row", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("hashes")).alias("n_repeat_words"), F.coalesce(rejected, F.lit(False)).alias("rejected"),
+    facts = measured(docs).select(
+        "row", "language", "chars", "class_ppm", "word_ppm", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), repeated_words(F.col("hashes")).alias("n_repeat_words"),
     )
-    out = out.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    # To the optimizer a row number isn't deterministic, so it can't push filters below this and repeat the measuring in them.
-    kept = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & ~F.col("rejected"))
+    facts = written(docs.sparkSession, facts)
+    far = facts.join(F.broadcast(references(facts)), "language", "left")
+    off = lambda k, low, most, size: (size >= low) & (F.col(f"{k}_docs") >= min_reference) & (divergence(F.col(f"{k}_ppm"), F.col(f"{k}_reference")) > most)
+    rejected = off("class", min_chars, F.lit(max_class), F.col("chars")) | off("word", min_words, max_word + noise / F.sqrt("n_words"), F.when(F.col("language") != OTHER, F.col("n_words")))
+    out = far.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
+    kept = ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))
     return out.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 

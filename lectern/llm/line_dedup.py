@@ -2,10 +2,13 @@
 
 A document is the sequence of its lines that have a word, each as a 64-bit hash. In every window of `run` lines the
 line of least hash (of equals the last) is the window's fingerprint, so that a run of `run` lines or more that two
-places share is sure to share a fingerprint with the same place in the run. Fingerprints that are possibly repeated
-(by a Bloom filter) are joined by position: around each, the match is extended both ways to all windows that the
-fingerprint stands for. A window whose lines stand earlier too - in a smaller doc_id, or before in the same document -
-is a later repeated run, and its lines are deleted; the first occurrence stays.
+places share is sure to share a fingerprint with the same place in the run. Of the fingerprints only those that are
+possibly repeated (by a Bloom filter) go on, with the lines on both sides that their windows reach. Positions are joined
+by fingerprint and by their place in the window: for each number of lines before it, the match is extended both ways to
+`run` lines. Places of one fingerprint whose extension is equal meet by a hash of it, not in pairs, so that a line in all
+documents makes no square. A window that stands earlier too - in a smaller doc_id, or before in the same document - is a
+later repeated run, and its lines are deleted; the first occurrence stays. Windows are told apart by two hashes of
+64 bits, the fingerprint's and the extension's.
 
 With `words`, one or two neighbouring lines of so many words or more in all are windows of their own, each its own
 fingerprint, so that a long passage counts as a repeat however few lines it has.
@@ -82,8 +85,8 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, run: int, words: int
     marks = written(spark, fingerprints(docs, run, words))
     suspects = possibly_repeated(marks, "fingerprint", marks.count()).filter("maybe")
     windows = F.transform(F.sequence(F.lit(1), F.size("lines") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("lines", i, F.col("size"))))
-    each = suspects.select("doc", "first", "size", F.posexplode(windows).alias("k", "window")).select("doc", "window", "size", (F.col("first") + F.col("k")).alias("at"))
-    each = written(spark, each)
+    each = suspects.select("doc", "first", "size", "fingerprint", F.posexplode(windows).alias("k", "extension"))
+    each = written(spark, each.select("doc", "size", F.struct("fingerprint", "extension").alias("window"), (F.col("first") + F.col("k")).alias("at")))
     known = each.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("earliest"), F.count("*").alias("n")).filter("n > 1")
     later = with_hot_keys(each, known, "window", "n", each.count()).filter(F.struct("doc", "at") > F.col("earliest"))
     return later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("starts"))

@@ -45,7 +45,9 @@ class Hasher:
     def __init__(self, data: bytes) -> None:
         self.n = len(data)
         padded = np.frombuffer(data + bytes(264), np.uint8)
-        self.eight = np.ndarray((self.n + 256,), np.uint64, padded, strides=(1,))
+        eight = np.ndarray((self.n + 256,), np.uint64, padded, strides=(1,))
+        self.eight = eight >> np.uint64(29)  # eight bytes from each place on, stirred once for all sums
+        self.eight ^= eight
 
     def at(self, places: np.ndarray | slice, length: int) -> np.ndarray:
         """Of `length` (8 to 256) bytes from each place on, all of them counted."""
@@ -54,8 +56,10 @@ class Hasher:
         total = None
         for offset, factor in zip(offsets, factors, strict=False):
             part = self.eight[places.start + offset : places.stop + offset] if isinstance(places, slice) else self.eight[places + offset]
-            part = (part ^ (part >> np.uint64(29))) * factor
-            total = part if total is None else total + part
+            if total is None:
+                total = part * factor
+            else:
+                total += part * factor
         return mixed(total)
 
 

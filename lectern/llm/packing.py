@@ -7,7 +7,8 @@ in that order and cut every `length` tokens. Only the very last sequence can hol
 Steps: tokenise once into a table in the shared folder (Arrow); find quantiles of the order key over all documents;
 sum tokens by quantile range, which gives each range its first token's place; sort each range on its own and cut.
 The low bits of the order key are a hash of doc_id, so that documents with one and the same point - copies - are
-dealt over ranges like any others. What reaches the driver are one number a range, at most `max_ranges`.
+dealt over ranges like any others, and each range gets a partition of its own. What reaches the driver are three numbers
+a range, at most `max_ranges` of each.
 
 Defined results: null and empty text have the closing token alone. Repeated rows are packed as often as they occur.
 A null doc_id is packed like any other. An empty table gives an empty result; further columns are ignored.
@@ -112,10 +113,12 @@ def encoder(path: str) -> Encoder:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective hash of 64-bit integers."""
-    x = x.astype(np.uint64)
+    x = x.astype(np.uint64)  # a copy
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -187,7 +190,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     total = coded.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(1, min(max_ranges, -(-total // range_tokens)))
     cuts = [i / ranges for i in range(1, ranges)]
-    bounds = np.array(sorted(coded.agg(F.percentile_approx("place", cuts, 10_000)).first()[0] or []) if cuts else [], np.int64)
+    bounds = np.array(sorted(coded.agg(F.percentile_approx("place", cuts, 10 * max_ranges)).first()[0] or []) if cuts else [], np.int64)
+    seats = _seats(spark, ranges)
 
     @F.pandas_udf("int")
     def ranged(place: pd.Series) -> pd.Series:
@@ -217,10 +221,18 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], [*names[:7], "ids"])
 
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_length"]
-    sorted_ = coded.repartition(ranges, "part").sortWithinPartitions("part", "place", "doc_id")
+    seat = F.pandas_udf(lambda part: pd.Series(seats[part.to_numpy()]), "long")
+    sorted_ = coded.withColumn("seat", seat("part")).repartition(ranges, "seat").sortWithinPartitions("part", "place", "doc_id")
     return sorted_.select("part", "doc_id", "n_tokens", "ids").mapInArrow(cut, ", ".join(f"{n} long" for n in names) + ", ids binary")
 
 
+def _seats(spark: SparkSession, ranges: int) -> np.ndarray:
+    """For each range a number of its own that repartition(ranges, number) hashes to a partition of its own, so that no two ranges share one."""
+    numbers = spark.range(ranges * (20 + ranges.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(ranges)).alias("at")).agg(F.min("id").alias("id"))
+    found = {r["at"]: r["id"] for r in numbers.collect()}
+    return np.array([found.get(i, i) for i in range(ranges)], np.int64)
+
+
 def _vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Keys of a null doc_id, before or after all others.
 FIRST, LAST = -(1 << 63), (1 << 63) - 1
 
-#: Broadcast sides must be proven smaller than this (rows x width, or bytes).
-BROADCAST_BYTES = 64 << 20
+#: Broadcast sides must be proven smaller than this: rows times the bytes of their columns and of a hash table's entry.
+BROADCAST_BYTES, ENTRY_BYTES = 64 << 20, 48
+
+#: Tables that written() has made, by the owner that scratch() named.
+_tables: dict[str, list[str]] = {}
+_owners: list[str] = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only a session on this machine alone gets one of its own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
     if (known := spark.sparkContext.getCheckpointDir()) is not None:
         return known
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -38,17 +46,35 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
 
     Unlike checkpoint() the copy is columnar, so later passes read only the columns they need.
-    The files live as long as the folder does; release() removes them earlier.
+    The files live as long as the folder does; release() removes those of an owner earlier.
     """
     path = f"{shared_folder(spark).rstrip('/')}/lectern/{uuid.uuid4().hex}"
+    _tables.setdefault(_owners[-1], []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Removes every table that written() has made in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/lectern")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, owner: str = "", *sources: DataFrame) -> None:
+    """Removes the tables that written() has made for the owner, but for those that the sources still read."""
+    paths = _tables.pop(owner, [])
+    read = {f.rpartition("/lectern/")[2].partition("/")[0] for s in sources for f in s.inputFiles()} if paths else set()
+    for path in paths:
+        if path.rpartition("/")[2] in read:
+            _tables.setdefault(owner, []).append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, owner: str, *sources: DataFrame) -> Iterator[None]:
+    """Files what written() makes inside under the owner, and first removes the owner's earlier tables that the sources don't read."""
+    release(spark, owner, *sources)
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:
@@ -83,8 +109,8 @@ def with_hot_keys(left: DataFrame, right: DataFrame, key: str, rows: str, total:
 
 
 def bounded(df: DataFrame, rows: int, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if rows x width bytes are within the limit, else df for a shuffled join."""
-    return F.broadcast(df) if rows * width <= limit else df
+    """df, of so many rows of columns of `width` bytes, marked for broadcast if the hash table stays within the limit, else for a shuffled join."""
+    return F.broadcast(df) if rows * (width + ENTRY_BYTES) <= limit else df
 
 
 def words(text: Column | str) -> Column:

@@ -2,7 +2,12 @@
 
 Pass 1 counts, for two bits a text, how many rows set each bit; the bits that two rows or more set form the
 filter. Pass 2 tests every row against it: a row with a bit that no other row set is unique and passes
-straight through, and only the rest - possibly repeated hashes - shuffle by their digest.
+straight through, and only the rest - possibly repeated hashes - shuffle by their digest. To count, pass 1 shuffles two
+numbers of a bit for each row (about 30 bytes, whatever the text's length), but no digest and no text.
+
+A filter of over `max_filter_bytes` is cut into slices by block number. The hashes are then laid out by slice, and each
+slice's rows are tested against its own part of the filter, one slice after the other; so no executor holds more than
+one slice, and unique rows pass straight through at any size.
 
 Defined results: null text counts as empty. Rows of the same text and the same doc_id are one document: all carry
 the same verdict. A null doc_id is smaller than any other. An empty table gives an empty result; further columns
@@ -11,10 +16,14 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.llm.common import BROADCAST_BYTES, bounded, documents, table, with_hot_keys, written
+from lectern.llm.common import BROADCAST_BYTES, ENTRY_BYTES, documents, shared_folder, table, with_hot_keys, written
 
 #: Bits of one block of the filter: what bitmap_construct_agg() puts in one binary of 4096 bytes.
 BLOCK_BITS = 32768
@@ -43,14 +52,24 @@ def repeated_filter(rows: DataFrame, key: str, blocks: int) -> DataFrame:
 def possibly_repeated(rows: DataFrame, key: str, total: int, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """rows with `maybe`: false only where no other row has the key. rows is read twice; total is its count.
 
-    The filter has bits_a_row bits for each row. Up to max_filter_bytes it is broadcast; a larger one is joined
-    by its block number instead, so that no executor has to hold it.
+    The filter has bits_a_row bits for each row and is broadcast, a slice of at most max_filter_bytes (one block at least) at a time.
     """
+    spark, block_bytes = rows.sparkSession, BLOCK_BITS // 8
     blocks = max(1, -(-total * bits_a_row // BLOCK_BITS))
-    known = bounded(repeated_filter(rows, key, blocks), blocks, BLOCK_BITS // 8, max_filter_bytes)
+    a_slice = max(1, max_filter_bytes // (block_bytes + ENTRY_BYTES))
     both = _is_set(F.col("bitmap"), F.col("bit_a")) & _is_set(F.col("bitmap"), F.col("bit_b"))
-    tested = _with_bits(rows, key, blocks).join(known, "block", "left").withColumn("maybe", F.coalesce(both, F.lit(False)))
-    return tested.select(*rows.columns, "maybe")
+
+    def tested(part: DataFrame) -> DataFrame:
+        known = F.broadcast(repeated_filter(part, key, blocks))
+        return _with_bits(part, key, blocks).join(known, "block", "left").withColumn("maybe", F.coalesce(both, F.lit(False))).select(*rows.columns, "maybe")
+
+    if blocks <= a_slice:
+        return tested(rows)
+    number = F.floor(F.col("block") / a_slice).cast("int")
+    path = f"{shared_folder(spark).rstrip('/')}/lectern/{uuid.uuid4().hex}"
+    _with_bits(rows, key, blocks).select(*rows.columns, number.alias("slice")).write.partitionBy("slice").parquet(path)
+    laid = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
+    return reduce(DataFrame.unionByName, [written(spark, tested(laid.filter(F.col("slice") == i).drop("slice"))) for i in range(-(-blocks // a_slice))])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from lectern.llm.common import BROADCAST_BYTES, ENTRY_BYTES, documents, shared_folder, table, with_hot_keys, written
 
-#: Bits of one block of the filter: what bitmap_construct_agg() puts in one binary of 4096 bytes.
-BLOCK_BITS = 32768
+#: Bits of one block of the filter, an array of 64-bit words.
+BLOCK_BITS, WORD_BITS = 32768, 64
 
 
 def _with_bits(rows: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -37,16 +37,36 @@ def _with_bits(rows: DataFrame, key: str, blocks: int) -> DataFrame:
     )
 
 
-def _is_set(bitmap: Column, bit: Column) -> Column:
-    """Whether the bit is set in the binary; null where there is no binary."""
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+def _set_bits(tested: str = "words") -> Column:
+    """Whether both bits of a row are set in the words; null where there are none."""
+    is_set = lambda bit: F.getbit(F.get(tested, F.shiftright(bit, 6).cast("int")), F.col(bit).bitwiseAND(F.lit(WORD_BITS - 1)).cast("int")) == 1
+    return is_set("bit_a") & is_set("bit_b")
+
+
+def _filter_of(bits: DataFrame) -> DataFrame:
+    """One row a block of the filter: block, words; bits: block, bit."""
+    one = F.expr(f"shiftleft(1L, cast(bit & {WORD_BITS - 1} AS int))")
+    words = bits.groupBy("block", F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    blocks = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("known"))
+    every = F.sequence(F.lit(0), F.lit(BLOCK_BITS // WORD_BITS - 1))
+    return blocks.select("block", F.transform(every, lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("words"))
+
+
+def _bits(rows: DataFrame, key: str, blocks: int) -> DataFrame:
+    return _with_bits(rows, key, blocks).select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
 
 
 def repeated_filter(rows: DataFrame, key: str, blocks: int) -> DataFrame:
-    """One row a block of the filter: the bits that two rows or more have set."""
-    bits = _with_bits(rows, key, blocks).select("block", F.explode(F.array_distinct(F.array("bit_a", "bit_b"))).alias("bit"))
-    return bits.groupBy("block", "bit").count().filter("count > 1").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    """The filter of the bits that two rows or more have set."""
+    return _filter_of(_bits(rows, key, blocks).groupBy("block", "bit").count().filter("count > 1"))
+
+
+def possibly_in(rows: DataFrame, key: str, known: DataFrame, n: int, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Those rows whose key is in known (distinct, n of them), and about one in a hundred others. rows don't shuffle, unless the filter exceeds its bound: then they are joined."""
+    blocks = max(1, -(-n * bits_a_row // BLOCK_BITS))
+    if blocks * (BLOCK_BITS // 8 + ENTRY_BYTES) > max_filter_bytes:
+        return rows.join(known.select(key), key, "left_semi").select(*rows.columns)
+    return _with_bits(rows, key, blocks).join(F.broadcast(_filter_of(_bits(known, key, blocks))), "block").filter(_set_bits()).select(*rows.columns)
 
 
 def possibly_repeated(rows: DataFrame, key: str, total: int, bits_a_row: int = 16, max_filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -57,11 +77,10 @@ def possibly_repeated(rows: DataFrame, key: str, total: int, bits_a_row: int = 1
     spark, block_bytes = rows.sparkSession, BLOCK_BITS // 8
     blocks = max(1, -(-total * bits_a_row // BLOCK_BITS))
     a_slice = max(1, max_filter_bytes // (block_bytes + ENTRY_BYTES))
-    both = _is_set(F.col("bitmap"), F.col("bit_a")) & _is_set(F.col("bitmap"), F.col("bit_b"))
 
     def tested(part: DataFrame) -> DataFrame:
         known = F.broadcast(repeated_filter(part, key, blocks))
-        return _with_bits(part, key, blocks).join(known, "block", "left").withColumn("maybe", F.coalesce(both, F.lit(False))).select(*rows.columns, "maybe")
+        return _with_bits(part, key, blocks).join(known, "block", "left").withColumn("maybe", F.coalesce(_set_bits(), F.lit(False))).select(*rows.columns, "maybe")
 
     if blocks <= a_slice:
         return tested(rows)

@@ -1,45 +1,51 @@
 """Similarity join of documents on word n-grams (Jaccard) by grouped prefixes, and the classes that its links form.
 
-1. Shingles are 64-bit hashes. Documents of one and the same set are represented by the smallest doc_id.
-2. A fixed-size sketch counts, over all documents, how often shingles of each hash range occur; ordinary ones come
-   first in the order of shingles, very frequent ones last. A set's prefix are its first n - ceil(t n) + 1 shingles:
-   similar sets share one.
-3. Sets of the same prefix and size form a group. Groups meet on prefix shingles, filtered by size, by place and by a
-   bound from parity bits: each bit is the parity of the set's shingles in one hash range, so two sets differ in at
-   least as many shingles as bits.
-4. First pass: each member meets the head of its group, and each group the head of each of its shingles among groups
-   of about its size. The verified links give classes. Second pass: all pairs of groups that pass the filters are expanded to their members, and the
-   pairs that are not of one class yet are verified. So every link between different classes is found, while groups of
-   copies never expand into all pairs.
-
-Verification counts the common shingles of both whole texts. Classes are found by alternating star steps on tables;
-no links reach the driver.
+1. Shingles are 64-bit hashes. Documents of one and the same set are represented by their first row.
+2. A fixed-size sketch counts, over all documents, how often shingles of each hash range occur; shingles of rare ranges
+   come first in the order of shingles. A set's prefix are its first n - ceil(t n) + 1 shingles: similar sets share one.
+3. Sets of the same prefix and size form a group. Groups meet on prefix shingles within bands of size, filtered by size,
+   by place, by class and by parity bits: each bit is the parity of the set's shingles in one hash range, so two sets
+   differ in at least as many shingles as bits. A group's bound is its head's bits less the distance of its farthest
+   member.
+4. Rounds: in each, the members of a group that are of one class send one representative; of those that share a prefix
+   shingle all but the best meet the best one, which is the set with the most shared shingles. Verified links contract
+   the classes. Rounds go on while they find many links. So a group of n near copies costs about n pairs a round.
+5. Last pass: all pairs of groups that hold different classes and pass the filters are expanded to their members, and
+   the pairs that are still of different classes are verified. So every link between different classes is found.
+
+Filters stand in the conditions of the joins, so pairs that can't link are never rows. Frequent shingles are dealt out
+by salts. Verification counts the common shingles of both whole texts. Classes are found by alternating star steps on
+tables; no links reach the driver.
 
 Defined results: null text, or text without words, has no shingles and is linked with nothing. With fewer words than
-`n` the whole sequence is one shingle. Rows of the same doc_id count as one document with the sets of both (each row
-gets the class of its set). A null doc_id counts as the largest. An empty table gives an empty result; further columns
-are ignored.
+`n` the whole sequence is one shingle. Rows of the same doc_id, or of none, are documents of their own; a null doc_id
+counts as the largest. Repeated rows are one class. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, table, with_hot_keys, written
+from lectern.llm.common import bounded, documents, table, with_hot_keys, with_row_keys, written
+from lectern.llm.exact_dedup import possibly_in
 from lectern.llm.packing import mixed
 
-LAST = (1 << 63) - 1
 #: The sketch has 2**CELL_BITS counters, sent in pieces of 2**PIECE_BITS.
 CELL_BITS, PIECE_BITS = 20, 16
-#: Pairs of one document that may meet its text in one task.
+#: Pairs of one document that may meet its text in one task, and groups with one shingle that may meet in one.
 SALT_ROWS = 500
+KEY_ROWS = 2000
+#: Most parity bits that a group carries through the join.
 PARITY_BITS = 1024
+#: Rounds of representatives; they end earlier once a round finds few links for the sets in play.
+ROUNDS, FEW_LINKS = 4, 0.01
 MEMO = 400_000
 
 
@@ -102,32 +108,54 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """0 for cells of ordinary count, then one more for each doubling beyond 16 times the mean plus 64."""
-    return np.clip(np.ceil(np.log2(np.maximum(counts / (16 * counts.mean() + 64), 1))), 0, 30).astype(np.uint8)
+    """0 to 255 for each cell, by rank of its count: rare ones first."""
+    classes = np.empty(len(counts), np.uint8)
+    classes[np.argsort(counts, kind="stable")] = np.arange(len(counts)) * 256 // len(counts)
+    return classes
+
+
+def band(n: int, percent: int) -> int:
+    """Number of the band of size n. Sets of sizes that may link lie in one band or in neighbouring ones."""
+    return n if percent == 100 else math.floor(math.log(n) / math.log(100 / percent) + 1e-9)
+
+
+def band_bits(k: int, percent: int) -> int:
+    """Parity bits of band k: four a shingle or more, at most PARITY_BITS."""
+    low = k if percent == 100 else (100 / percent) ** min(k, 200)
+    return min(PARITY_BITS, 64 << max(0, int(4 * max(low, 1) - 1).bit_length() - 6))
+
+
+SETS = "doc long, doc_id long, n_shingles long, signature binary, shape binary, band int, prefix array<long>, bits array<long>, low array<long>, fine array<long>"
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """doc, n_shingles, signature (of the whole set; null for an empty one), prefix (in order)."""
+    """Per row of docs (doc, doc_id, text) see SETS: signature of the whole set (null for an empty one), shape (of the group), prefix in order,
+    parity bits by the set's own band, by the band below, and four or more a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         shingler = Shingler(n)
         for batch in batches:
-            sizes, signatures, firsts, parities, fines = [], [], [], [], []
-            for text in batch.column(1):
+            sizes, signatures, shapes, bands, firsts, bits, low, fines = [], [], [], [], [], [], [], []
+            for text in batch.column(2):
                 s = shingler.shingles(text.as_py())
-                order = (classes[(s >> np.uint64(64 - CELL_BITS)).astype(np.intp)].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
+                order = (classes[(s >> np.uint64(64 - CELL_BITS)).astype(np.intp)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                first = s[np.argsort(order, kind="stable")[:take]]
+                k = band(max(len(s), 1), percent)
                 sizes.append(len(s))
                 signatures.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-                parities.append(parity_bits(s, PARITY_BITS))
-                fines.append(parity_bits(s, 64 << max(0, int(4 * len(s) - 1).bit_length() - 6)))
-                firsts.append(s[np.argsort(order, kind="stable")[:take]].view(np.int64))
-            columns = [pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), *map(_lists, (firsts, parities, fines))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n_shingles", "signature", "prefix", "parity", "fine"])
+                shapes.append(xxh3_128_digest(len(s).to_bytes(8, "big") + first.tobytes()))
+                bands.append(k)
+                firsts.append(first.view(np.int64))
+                fines.append(fine := parity_bits(s, 64 << max(0, int(4 * len(s) - 1).bit_length() - 6)))
+                bits.append(folded(fine, band_bits(k, percent)))
+                low.append(folded(fine, band_bits(k - 1, percent)))
+            columns = [pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(shapes, pa.binary()), pa.array(bands, pa.int32()), *map(_lists, (firsts, bits, low, fines))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [x.split()[0] for x in SETS.split(", ")])
 
-    return _keyed(docs).mapInArrow(run, "doc long, n_shingles long, signature binary, prefix array<long>, parity array<long>, fine array<long>")
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, SETS)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -140,28 +168,37 @@ def parity_bits(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def likely(spark: SparkSession, pairs: DataFrame, same: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and parity bits don't rule out: first 1024 bits of each, then four bits or more a shingle.
+def folded(parity: np.ndarray, bits: int) -> np.ndarray:
+    """parity_bits() of fewer hash ranges, made from those of more."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, bits // 64), axis=0)
 
-    Two sets differ in at least as many shingles as parity bits. Of two lengths of bits the longer one is folded.
-    """
-    fits = lambda differ: differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    side = lambda d, c, s: d.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col(c).alias(f"bits_{s}"))
-    rows = pairs.join(side(same, "parity", "a"), "a").join(side(same, "parity", "b"), "b")
-    short = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(PARITY_BITS // 64)])
-    rows = written(spark, rows.filter(fits(short)).select("a", "b"))
+
+def _fits(differ: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether sets that differ in so many shingles at least may be similar enough."""
+    return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def _differ(x: Column | str, y: Column | str) -> Column:
+    """In how many bits two arrays of one length, of up to PARITY_BITS, differ."""
+    return reduce(lambda p, q: p + q, [F.coalesce(F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))), F.lit(0)) for i in range(PARITY_BITS // 64)])
+
+
+def likely(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that four parity bits or more a shingle don't rule out. Of two lengths of bits the longer one is folded."""
+    rows = written(spark, pairs)
     used = rows.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     known = written(spark, sets.select("doc", "n_shingles", "fine").join(bounded(used, 2 * rows.count(), 40), "doc", "left_semi"))
-    rows = rows.join(side(known, "fine", "a"), "a").join(side(known, "fine", "b"), "b")
-    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
-    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
-    rows = rows.select("a", "b", "n_a", "n_b", fold("bits_a", "bits_b").alias("x"), fold("bits_b", "bits_a").alias("y"))
-    long_ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("long"), lambda n, d: n + d)
-    return rows.filter((F.size("x") != F.size("y")) | fits(long_)).select("a", "b").distinct()
+    side = lambda s: known.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("fine").alias(f"bits_{s}"))
+    rows = rows.join(side("a"), "a").join(side("b"), "b")
 
+    def half(x: str) -> Column:
+        size = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return documents(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    fold = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(F.col(x))
+    rows = rows.select("a", "b", "n_a", "n_b", fold("bits_a", "bits_b").alias("x"), fold("bits_b", "bits_a").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0).cast("long"), lambda n, d: n + d)
+    return rows.filter((F.size("x") != F.size("y")) | _fits(differ, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _with_text(pairs: DataFrame, key: str, other: str, texts: DataFrame, rows: int) -> DataFrame:
@@ -222,51 +259,123 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         state = now
 
 
-def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    return nodes.join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+def _labelled(rows: DataFrame, label: DataFrame, doc: str = "doc", root: str = "root") -> DataFrame:
+    """rows with the root of the column doc; label (doc, root) lacks those that are their own."""
+    return rows.join(label.select(F.col("doc").alias(doc), F.col("root").alias(root)), doc, "left").withColumn(root, F.coalesce(root, doc))
+
+
+class Classes:
+    """The classes so far: label has doc and root of all sets that aren't their own root."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, texts: DataFrame, n: int, percent: int) -> None:
+        self.spark, self.sets, self.texts, self.n, self.percent = spark, sets, texts, n, percent
+        self.label = spark.createDataFrame([], "doc long, root long")
+
+    def add(self, pairs: DataFrame) -> int:
+        """Verifies pairs (a, b) of unlike classes and contracts the links among them; how many there were."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = verified(self.spark, likely(self.spark, pairs, self.sets, self.percent), self.texts, self.n, self.percent)
+        found = links.count()
+        if found:
+            edges = _labelled(_labelled(links, self.label, "a", "x"), self.label, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            merged = components(self.spark, edges)
+            moved = self.label.join(merged.select(F.col("doc").alias("root"), F.col("root").alias("to")), "root", "left").select("doc", F.coalesce("to", "root").alias("root"))
+            self.label = written(self.spark, moved.union(merged))
+        return found
+
+
+def _postings(spark: SparkSession, heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, head, place, up: prefix shingles of groups that meet another group there; heads: doc, band, prefix of each group's head.
+
+    A key is a shingle and a band; each group stands under its own band and, marked up, under the band below, so that
+    groups of neighbouring bands meet. First shingles and then keys are counted; a Bloom filter of those that occur
+    in two groups or more lets the rest go where it is read. Groups of several sets have one more row, without a place, under a key of their own.
+    """
+    each = heads.select(F.col("doc").alias("head"), "band", F.posexplode("prefix").alias("place", "token"))
+    shared = written(spark, each.groupBy("token").count().filter("count > 1").select("token"))
+    each = written(spark, possibly_in(each, "token", shared, shared.count()))
+    key = lambda band: F.xxhash64("token", band)
+    both = F.array(F.struct(key(F.col("band")).alias("key"), F.lit(False).alias("up")), F.struct(key(F.col("band") - 1).alias("key"), F.lit(True).alias("up")))
+    rows = each.select("head", "place", F.inline(both)).select("key", "head", "place", "up")
+    live = written(spark, rows.groupBy("key").agg(F.count_if(~F.col("up")).alias("own"), F.count("*").alias("n")).filter("own > 0 AND n > 1").select("key"))
+    own = groups.filter("n > 1").select(F.xxhash64("head", F.lit("group")).alias("key"), "head", F.lit(None).cast("int").alias("place"), F.lit(False).alias("up"))
+    return possibly_in(rows, "key", live, live.count()).union(own)
+
+
+def _round(members: DataFrame, met: DataFrame, percent: int, turn: int, total: int) -> DataFrame:
+    """Pairs (a, b): under each key the best representative with all that are of another class and may be similar.
+
+    members: doc, root, head, n_shingles, bits, score. In the first round the best has the highest score, later the
+    classes take turns by hash.
+    """
+    rank = F.struct(F.col("score") if turn == 0 else F.xxhash64("root", F.lit(turn)), F.xxhash64("doc", F.lit(turn)))
+    reps = members.groupBy("head", "root").agg(F.max(F.struct(rank.alias("rank"), "doc")).alias("r")).select("head", "root", "r.*")
+    posted = met.filter(~F.col("up")).select("head", "key").join(reps, "head").drop("head")
+    best = posted.groupBy("key").agg(F.max(F.struct("rank", F.col("doc").alias("best"), F.col("root").alias("best_root"))).alias("b"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    best = best.filter("lo <> hi").select("key", "n", "b.best", "b.best_root")
+    pairs = with_hot_keys(posted, best, "key", "n", total).filter(F.col("root") != F.col("best_root")).select(F.col("doc").alias("a"), F.col("best").alias("b")).distinct()
+    side = lambda s: members.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
+    near = _fits(_differ("bits_a", "bits_b"), F.col("n_a"), F.col("n_b"), percent)
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).select("a", "b")
+
+
+def _salted(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of met under their own band, and all rows, both with the column salt: of a key with many rows the left ones are dealt out, the right ones copied to all salts."""
+    hot = met.groupBy("key").count().filter(F.col("count") > KEY_ROWS).select("key", F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("salts"))
+    both = met.join(bounded(hot, hot.count(), 16), "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = both.filter(~F.col("up")).withColumn("salt", F.pmod(F.xxhash64("head"), F.col("salts")).cast("int"))
+    return left.drop("salts"), both.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def _open_groups(spark: SparkSession, members: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """head_a, head_b of all groups that may hold similar sets of different classes; a group of several classes is paired with itself."""
+    groups = members.groupBy("head").agg(F.min_by(F.struct("n_shingles", "bits", "low"), "doc").alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    groups = written(spark, groups.select("head", "h.*", "lo", "hi", "n"))
+    wide = members.join(groups.filter("n > 1").select("head", F.col("bits").alias("head_bits")), "head").groupBy("head").agg(F.max(_differ("bits", "head_bits")).alias("radius"))
+    groups = groups.join(wide, "head", "left").withColumn("radius", F.coalesce("radius", F.lit(0))).drop("n")
+    left, right = _salted(met.filter("place IS NOT NULL"))
+    named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("head", "n_shingles", "place", "radius", "lo", "hi")]
+    a = left.join(groups, "head").select("key", "salt", *named("a"), F.col("bits").alias("bits_a"))
+    b = right.join(groups, "head").select("key", "salt", *named("b"), F.when(F.col("up"), F.col("low")).otherwise(F.col("bits")).alias("bits_b"))
+    x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
+    fits = ((x < y) | ((x == y) & (F.col("head_a") < F.col("head_b")))) & (x * 100 >= y * percent)
+    fits = fits & (F.least(x - F.col("place_a"), y - F.col("place_b")) >= F.ceil((x + y) * percent / (100 + percent)))
+    fits = fits & ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_a") == F.col("lo_b")) & (F.col("lo_a") == F.col("hi_b")))
+    fits = fits & _fits(_differ("bits_a", "bits_b") - F.col("radius_a") - F.col("radius_b"), x, y, percent)
+    close = a.join(b, ["key", "salt"]).filter(fits).select("head_a", "head_b").distinct()
+    return close.union(groups.filter("lo <> hi").select(F.col("head").alias("head_a"), F.col("head").alias("head_b")))
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id that links of percent or more reach)."""
-    sets = written(spark, prefixes(docs, n, percent, frequency_classes(sketch(docs, n))))
-    texts = _keyed(docs)
-    same = sets.filter("signature IS NOT NULL").groupBy("signature").agg(F.min(F.struct("doc", "n_shingles", "prefix", "parity")).alias("x"), F.count("*").alias("copies"))
+    keyed = with_row_keys(documents(docs, "doc_id", "text"))
+    sets = written(spark, prefixes(keyed, n, percent, frequency_classes(sketch(keyed, n))))
+    same = sets.filter("signature IS NOT NULL").groupBy("signature").agg(F.min(F.struct("doc", "doc_id")).alias("x"), F.count("*").alias("copies"))
     same = written(spark, same.select("signature", "copies", "x.*"))
-    members = same.select("doc", "n_shingles", "prefix", F.xxhash64("prefix").alias("shape"))
-    groups = members.groupBy("shape", "n_shingles").agg(F.min("doc").alias("head"), F.min_by("prefix", "doc").alias("prefix"), F.count("*").alias("n"))
-    groups = written(spark, groups)
-    n_sets = same.count()
-    inside = written(spark, with_hot_keys(members.select("doc", F.xxhash64("shape", "n_shingles").alias("group")), groups.select(F.xxhash64("shape", "n_shingles").alias("group"), "head", "n"), "group", "n", n_sets).select("doc", "head"))
-    postings = groups.select("head", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    heads = postings.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(spark, with_hot_keys(postings, heads, "token", "n", n_sets).drop("n"))  # prefix shingles of two groups or more
-    # first pass
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n_shingles")
-    banded = met.select("head", F.xxhash64("token", band).alias("key"))
-    firsts = banded.groupBy("key").agg(F.min("head").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    star = with_hot_keys(banded, firsts, "key", "n", n_sets).filter("head <> first").select(F.col("first").alias("a"), F.col("head").alias("b"))
-    star = star.union(inside.filter("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))).distinct()
-    links = verified(spark, likely(spark, star, same, sets, percent), texts, n, percent)
-    label = written(spark, components(spark, links))
-    # second pass
-    side = lambda s: met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("head", "n_shingles", "place")])
-    x, y = F.col("n_shingles_a"), F.col("n_shingles_b")
-    least_common = F.ceil((x + y) * percent / (100 + percent))
-    fits = (F.col("head_a") < F.col("head_b")) & (x * 100 >= y * percent) & (y * 100 >= x * percent)
-    fits = fits & (F.least(x - F.col("place_a"), y - F.col("place_b")) >= least_common)
-    close = side("a").join(side("b"), "token").filter(fits).select(F.col("head_a").alias("head"), F.col("head_b").alias("other")).distinct()
-    close = close.union(groups.filter("n > 1").select("head", F.col("head").alias("other")))
-    known = _labelled(inside, label)
-    one = known.select("head", F.col("doc").alias("a"), F.col("root").alias("root_a"))
-    two = known.select(F.col("head").alias("other"), F.col("doc").alias("b"), F.col("root").alias("root_b"))
-    pairs = close.join(one, "head").join(two, "other").filter("root_a <> root_b AND (head <> other OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(verified(spark, likely(spark, pairs, same, sets, percent), texts, n, percent))
-    label = written(spark, components(spark, links))
-    found = _labelled(same.select("signature", "copies", "doc"), label).select("signature", "copies", "root")
-    empty = sets.filter("signature IS NULL").select("doc", "n_shingles", F.col("doc").alias("root"))
-    full = with_hot_keys(sets.filter("signature IS NOT NULL"), found, "signature", "copies", n_sets).select("doc", "n_shingles", "root")
-    ids = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return full.union(empty).select(ids("doc").alias("doc_id"), "n_shingles", ids("root").alias("component_id"))
+    total = same.count()
+    only = lambda docs, n: sets.join(bounded(docs, n, 8), "doc", "left_semi")
+    groups = written(spark, only(same.select("doc"), total).groupBy("shape").agg(F.min("doc").alias("head"), F.count("*").alias("n")))
+    met = written(spark, _postings(spark, only(groups.select(F.col("head").alias("doc")), groups.count()), groups))
+    scores = met.filter(~F.col("up")).groupBy("head").agg(F.count("place").alias("score"))
+    near = met.select("head").distinct().join(groups.select("shape", "head"), "head").join(scores, "head", "left").select("shape", "head", F.coalesce("score", F.lit(0)).alias("score"))
+    near = written(spark, near)
+    found = only(same.select("doc"), total).select("doc", "shape", "n_shingles", "band", "bits", "low").join(bounded(near, near.count(), 40), "shape")
+    pool = written(spark, found.drop("shape"))
+    classes, size = Classes(spark, sets, keyed.select("doc", "text"), n, percent), max(pool.count(), 1)
+    for turn in range(ROUNDS):
+        if classes.add(_round(_labelled(pool, classes.label), met, percent, turn, size)) <= FEW_LINKS * size:
+            break
+    members = written(spark, _labelled(pool, classes.label).drop("score"))
+    close = _open_groups(spark, members, met, percent)
+    side = lambda s: members.select(*[F.col(c).alias(f"{c}_{s}") for c in ("head", "doc", "root", "n_shingles", "band", "bits", "low")])
+    unlike = (F.col("root_a") != F.col("root_b")) & ((F.col("head_a") != F.col("head_b")) | (F.col("doc_a") < F.col("doc_b")))
+    bits_b = F.when(F.col("band_a") < F.col("band_b"), F.col("low_b")).otherwise(F.col("bits_b"))
+    fits = _fits(_differ("bits_a", bits_b), F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+    classes.add(close.join(side("a"), "head_a").join(side("b"), "head_b").filter(unlike & fits).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+    roots = same.select(F.col("doc").alias("root"), F.col("doc_id").alias("component_id"))
+    found = _labelled(same.select("signature", "copies", "doc"), classes.label).join(roots, "root").select("signature", "copies", "component_id")
+    full = with_hot_keys(sets.filter("signature IS NOT NULL").select("doc_id", "n_shingles", "signature"), found, "signature", "copies", total).select("doc_id", "n_shingles", "component_id")
+    return full.union(sets.filter("signature IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

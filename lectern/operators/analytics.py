@@ -94,9 +94,29 @@ def changes(series: DataFrame, *keys: str) -> DataFrame:
     return series.withColumn("changed", (before != F.col("value")).cast("int")).groupBy(*keys).agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
 
 
-def success_rate(rows: DataFrame) -> DataFrame:
-    """AGG-15: processed share in per cent with one decimal; null without rows. rows: status."""
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "DONE").alias("done"), F.round(F.count_if(F.col("status") == "DONE") * 1000 / F.nullif(F.count("*"), F.lit(0)), 0).cast("long").alias("per_mille"))
+def success_rate(rows: DataFrame, done: str = "DONE", failed: str = "FAILED") -> DataFrame:
+    """AGG-15: processed, failed, and the share of processed among both in per cent with one decimal; null without either. rows: status."""
+    n, bad = F.count_if(F.col("status") == done), F.count_if(F.col("status") == failed)
+    return rows.agg(n.alias("done"), bad.alias("failed"), (F.round(n * 1000 / F.nullif(n + bad, F.lit(0)), 0) / 10).alias("per_cent"))
+
+
+def ledger_audit(sent: DataFrame, stored: DataFrame, recovered_at: Column) -> DataFrame:
+    """AGG-27: one row: calls by outcome, acknowledged but missing with the first and last such time, repeated ids, the same after recovery, verdict.
+
+    sent: request_id, acked, at. stored: request_id, row_count.
+    """
+    rows = sent.join(stored, "request_id", "left").withColumn("n", F.coalesce("row_count", F.lit(0)))
+    lost, later = F.col("acked") & (F.col("n") == 0), F.col("at") >= recovered_at
+    out = rows.agg(
+        F.count_if("acked").alias("acked"), F.count_if(~F.col("acked")).alias("refused"), F.count_if(lost).alias("missing"), F.min(F.when(lost, F.col("at"))).alias("first_missing"), F.max(F.when(lost, F.col("at"))).alias("last_missing"),
+        F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(later).alias("later"), F.count_if(later & lost).alias("later_missing"),
+    )
+    return out.withColumn("passed", (F.col("missing") == 0) & (F.col("repeated") == 0))
+
+
+def bounds(rows: DataFrame, key: str, at: str = "ts") -> DataFrame:
+    """AGG-29: first and last time of each run."""
+    return rows.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
 def recovery_verdict(rows: DataFrame, expected: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -55,26 +56,42 @@ def restored(parts: DataFrame) -> DataFrame:
 
 
 def discontinuities(parts: DataFrame) -> DataFrame:
-    """WIN-11: chunks that leave a gap of over one place, or don't end later than the one before."""
+    """WIN-11: chunks that can't be put together, with the reason: INDEX or range wrong in itself (OFFSET), or a GAP to the one before.
+
+    Indexes count from 0, the first chunk starts at 0, a range has the length of its text, chunks end later than the one
+    before and leave one place between at most.
+    """
     order = Window.partitionBy("document_id").orderBy("chunk_index")
-    rows = parts.select("document_id", "chunk_index", (F.col("char_start") - F.lag("char_end").over(order)).alias("gap"), (F.col("char_end") - F.lag("char_end").over(order)).alias("gain"))
-    return rows.filter("gap > 1 OR gain <= 0")
+    place, end = F.row_number().over(order) - 1, F.coalesce(F.lag("char_end").over(order), F.lit(0))
+    rows = parts.select("document_id", "chunk_index", "char_start", "char_end", F.length("chunk_text").alias("size"), place.alias("place"), end.alias("before"))
+    size = F.col("char_end") - F.col("char_start")
+    wrong = (F.col("char_start") < 0) | (size <= 0) | (size != F.col("size")) | ((F.col("place") == 0) & (F.col("char_start") != 0))
+    gap = (F.col("char_start") > F.col("before") + 1) | (F.col("char_end") <= F.col("before"))
+    reason = F.when(F.col("chunk_index") != F.col("place"), "INDEX").when(wrong, "OFFSET").when(gap, "GAP")
+    return rows.select("document_id", "chunk_index", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def plan_batches(parts: DataFrame, most: int = 4, most_chars: int = 4000, most_tokens: int = 900) -> DataFrame:
     """WIN-08, ING-05: batch_no of each chunk: batches fill in order until one of the limits would be passed.
 
-    The sums start anew with each batch, so this is a fold over one document's chunks and not a window.
+    The sums start anew with each batch, so this is no window but a sorted scan; only the running sums are carried from batch to batch.
     """
-    start = "struct(0 AS batch, 0 AS n, 0L AS chars, 0L AS tokens, cast(array() AS array<int>) AS out)"
-    fold = f"""aggregate(parts, {start}, (s, x) -> CASE
-        WHEN s.n > 0 AND (s.n + 1 > {most} OR s.chars + x.chars > {most_chars} OR s.tokens + x.tokens > {most_tokens})
-        THEN struct(s.batch + 1 AS batch, 1 AS n, cast(x.chars AS bigint) AS chars, cast(x.tokens AS bigint) AS tokens, concat(s.out, array(s.batch + 1)) AS out)
-        ELSE struct(s.batch AS batch, s.n + 1 AS n, s.chars + x.chars AS chars, s.tokens + x.tokens AS tokens, concat(s.out, array(s.batch)) AS out) END).out"""
-    item = F.struct("chunk_index", F.length("chunk_text").alias("chars"), F.col("token_count").alias("tokens"))
-    rows = parts.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("parts"))
-    pairs = F.arrays_zip(F.col("parts.chunk_index").alias("chunk_index"), F.expr(fold).alias("batch_no"))
-    return rows.select("document_id", F.inline(pairs))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        document, number, n, chars, tokens = None, 0, 0, 0, 0
+        for batch in batches:
+            out = []
+            for d, c, t in zip(batch.document_id, batch.chars, batch.tokens, strict=True):
+                if d != document:
+                    document, number, n, chars, tokens = d, 0, 0, 0, 0
+                elif n + 1 > most or chars + c > most_chars or tokens + t > most_tokens:
+                    number, n, chars, tokens = number + 1, 0, 0, 0
+                n, chars, tokens = n + 1, chars + c, tokens + t
+                out.append(number)
+            yield pd.DataFrame({"document_id": batch.document_id, "chunk_index": batch.chunk_index, "batch_no": out})
+
+    rows = parts.select("document_id", "chunk_index", F.length("chunk_text").alias("chars"), F.col("token_count").alias("tokens"))
+    return rows.repartition("document_id").sortWithinPartitions("document_id", "chunk_index").mapInPandas(scan, "document_id long, chunk_index int, batch_no int")
 
 
 def missing_embeddings(parts: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -138,3 +155,35 @@ def parse_markdown(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["document_id", "segment_no", "title", "metadata", "text"])
 
     return files.select("document_id", "text").mapInPandas(run, "document_id long, segment_no int, title string, metadata string, text string")
+
+
+def embedding_input(headings: Column, text: Column, most: int = 200) -> Column:
+    """FN-27: the heading path, a newline and the text; of a path over `most` code points the first headings go, then its end. Without headings: the text."""
+    paths = F.transform(F.sequence(F.lit(1), F.size(headings)), lambda i: F.array_join(F.slice(headings, i, F.size(headings)), " > "))
+    fitting = F.filter(paths, lambda p: F.length(p) <= most)
+    path = F.coalesce(F.get(fitting, F.lit(0)), F.substring(F.element_at(headings, -1), 1, most))
+    return F.when(F.size(headings) > 0, F.concat(path, F.lit("\n"), text)).otherwise(text)
+
+
+def embedded(parts: DataFrame, encode: Callable[[list[str]], list[list[float]]], model: str, dimension: int) -> DataFrame:
+    """ING-06: document_id, chunk_index, model, vector of chunks, by any encoder of lists of texts, batch by batch.
+
+    A wrong number of vectors, a wrong dimension or a number that isn't finite fails the task.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = encode(batch.chunk_text.tolist())
+            if len(vectors) != len(batch) or any(len(v) != dimension or not np.isfinite(v).all() for v in vectors):
+                raise ValueError(f"{model}: expected {len(batch)} finite vectors of {dimension}")
+            yield pd.DataFrame({"document_id": batch.document_id, "chunk_index": batch.chunk_index, "model": model, "vector": list(vectors)})
+
+    return parts.select("document_id", "chunk_index", "chunk_text").mapInPandas(run, "document_id long, chunk_index int, model string, vector array<float>")
+
+
+def index_stages(documents: DataFrame, parts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """ING-10, AGG-25: document_id, chunks, vectors, status: how far each document came: UPLOADED, CHUNKED, EMBEDDING, INDEXED."""
+    count = lambda d, name: d.groupBy("document_id").agg(F.count("*").alias(name))
+    rows = documents.select("document_id").join(count(parts, "chunks"), "document_id", "left").join(count(vectors, "vectors"), "document_id", "left").fillna(0, ["chunks", "vectors"])
+    status = F.when(F.col("chunks") == 0, "UPLOADED").when(F.col("vectors") == 0, "CHUNKED").when(F.col("vectors") < F.col("chunks"), "EMBEDDING").otherwise("INDEXED")
+    return rows.withColumn("status", status)

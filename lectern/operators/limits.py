@@ -2,26 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def rate_limit(calls: DataFrame, limit: int, window_ms: int) -> DataFrame:
     """STR-14: per call (key, at_ms, call_id) whether it is allowed. A key's window starts with its first call after the last one ended.
 
-    A fold over one key's calls in order, in built-in expressions.
+    One sorted scan a partition: between batches only the key, its window's start and use are carried, so no key is ever in memory as a whole.
     """
-    start = "struct(cast(NULL AS bigint) AS opened, 0 AS used, cast(array() AS array<boolean>) AS out)"
-    fold = f"""aggregate(calls, {start}, (s, x) -> CASE
-        WHEN s.opened IS NULL OR x.at_ms - s.opened >= {window_ms} THEN struct(x.at_ms AS opened, 1 AS used, concat(s.out, array({'true' if limit > 0 else 'false'})) AS out)
-        ELSE struct(s.opened AS opened, s.used + 1 AS used, concat(s.out, array(s.used < {limit})) AS out) END).out"""
-    rows = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at_ms", "call_id"))).alias("calls"))
-    return rows.select("key", F.inline(F.arrays_zip(F.col("calls.call_id").alias("call_id"), F.expr(fold).alias("allowed"))))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, opened, used = object(), 0, 0
+        for batch in batches:
+            allowed = np.zeros(len(batch), bool)
+            for i, (k, at) in enumerate(zip(batch.key, batch.at_ms, strict=True)):
+                if k != key or at - opened >= window_ms:
+                    key, opened, used = k, at, 0
+                used += 1
+                allowed[i] = used <= limit
+            yield pd.DataFrame({"key": batch.key, "call_id": batch.call_id, "allowed": allowed})
+
+    rows = calls.select("key", "at_ms", "call_id").repartition("key").sortWithinPartitions("key", "at_ms", "call_id")
+    kinds = dict(calls.dtypes)
+    return rows.mapInPandas(scan, f"key {kinds['key']}, call_id {kinds['call_id']}, allowed boolean")
 
 
 def idle_waits(polls: DataFrame, first_ms: int = 500, most_ms: int = 8000) -> DataFrame:
-    """STR-16: wait after each poll (key, poll_no, found): doubles while nothing is found, starts anew on work."""
-    step = f"CASE WHEN x.found THEN {first_ms} ELSE least(s.wait * 2, {most_ms}) END"
-    fold = f"aggregate(polls, struct({first_ms} AS wait, cast(array() AS array<int>) AS out), (s, x) -> struct({step} AS wait, concat(s.out, array({step})) AS out)).out"
-    rows = polls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("poll_no", "found"))).alias("polls"))
-    return rows.select("key", F.inline(F.arrays_zip(F.col("polls.poll_no").alias("poll_no"), F.expr(fold).alias("wait_ms"))))
+    """STR-16: wait after each poll (key, poll_no, found): doubles while nothing is found, starts anew on work.
+
+    The number of polls since the last find is a row number, so windows do without a fold.
+    """
+    order = Window.partitionBy("key").orderBy("poll_no")
+    rows = polls.withColumn("finds", F.count_if("found").over(order))
+    nth = F.row_number().over(Window.partitionBy("key", "finds").orderBy("poll_no")) - F.when(F.col("finds") > 0, 1).otherwise(0)
+    wait = F.least(F.lit(first_ms) * F.pow(F.lit(2.0), F.least(nth, F.lit(40))), F.lit(float(most_ms)))
+    return rows.select("key", "poll_no", wait.cast("int").alias("wait_ms"))

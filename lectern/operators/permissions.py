@@ -25,11 +25,13 @@ def optional(column: str, value) -> Column:
     return F.lit(True) if value is None else F.col(column) == value
 
 
-def closure(spark: SparkSession, nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(spark: SparkSession, nodes: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
     """SET-10: ancestor_id, descendant_id, depth of a tree (id, parent_id), each node with itself at depth 0.
 
-    Spark's recursive common table expression joins the frontier to the nodes, level by level.
+    Spark's recursive common table expression joins the frontier to the nodes, level by level. max_depth only stops
+    cycles; the session's limit on rows of a recursion is lifted, as a closure may have any number of them.
     """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark.sql(
         f"""WITH RECURSIVE up(ancestor_id, descendant_id, depth) MAX RECURSION LEVEL {max_depth} AS (
               SELECT id, id, 0 FROM {{nodes}} UNION ALL
@@ -97,7 +99,7 @@ def readable_documents(t, user_id: int, as_of: Column, tree: DataFrame, statuses
 
 
 def readable_collections(t, user_id: int, as_of: Column, tree: DataFrame, keyword: str | None = None) -> DataFrame:
-    """SET-03: id, name of collections the user owns, that are public, or granted to them (role and department grants reach descendants)."""
+    """SET-03: id, name, parent, day of active collections the user owns, that are public, or granted to them (role and department grants reach descendants)."""
     user = t.users.filter(F.col("id") == user_id)
     nodes = t.collections
     inherited = [
@@ -107,7 +109,7 @@ def readable_collections(t, user_id: int, as_of: Column, tree: DataFrame, keywor
     named = granted(t.collection_grants, "USER", user, t.user_roles, as_of).select(F.col("collection_id").alias("id"))
     branches = [nodes.filter(F.col("owner_user_id") == user_id), nodes.filter(F.col("visibility") == "PUBLIC"), named, *inherited]
     ids = reduce(DataFrame.union, [b.select("id") for b in branches]).distinct()
-    return nodes.join(ids, "id", "left_semi").filter(contains(keyword, "name", "description")).select("id", "name", "parent_id")
+    return nodes.join(ids, "id", "left_semi").filter((F.col("status") == "ACTIVE") & contains(keyword, "name", "description")).select("id", "name", "parent_id", "created_day")
 
 
 def page(rows: DataFrame, *order: Column, limit: int, offset: int = 0) -> DataFrame:

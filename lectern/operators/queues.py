@@ -40,14 +40,6 @@ def worker_status(workers: DataFrame, deadline: Column) -> DataFrame:
     return workers.withColumn("effective_status", F.when(live & (F.col("last_heartbeat_at").isNull() | (F.col("last_heartbeat_at") <= deadline)), "DEAD").otherwise(F.col("status")))
 
 
-def retry_verdict(jobs: DataFrame) -> DataFrame:
-    """STR-13, STR-28: whether a job may be retried by hand: failed, the newest of its version, and no other one alive."""
-    mine = Window.partitionBy("version_id")
-    rows = jobs.select("id", "version_id", "status", F.max("id").over(mine).alias("newest"), F.max(F.col("status").isin("PENDING", "PROCESSING")).over(mine).alias("alive"))
-    verdict = F.when(F.col("status") != "FAILED", "NOT_FAILED").when(F.col("alive"), "LIVE_JOB_EXISTS").when(F.col("id") != F.col("newest"), "NOT_LATEST").otherwise("ELIGIBLE")
-    return rows.select("id", "version_id", verdict.alias("verdict"))
-
-
 def insert_absent(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """SRC-19: rows whose key target doesn't have, each key once (the first by all columns)."""
     rest = [c for c in rows.columns if c not in keys]

@@ -11,11 +11,13 @@ PROCESSING = ("UPLOADED", "PARSING", "CHUNKED", "EMBEDDING")
 
 
 def facts(versions: DataFrame, documents: DataFrame, chunk_counts: DataFrame, vector_counts: DataFrame, live_jobs: DataFrame) -> DataFrame:
-    """FIL-15: one row a version with its document's state and counts: each side is summed up before the join."""
+    """FIL-15: one row a version with its document's state and counts: each side is summed up before the join. document_vectors: active ones of all its versions."""
     docs = documents.select(F.col("id").alias("document_id"), F.col("status").alias("document_status"), "current_version_id")
     zero = lambda c: F.coalesce(c, F.lit(0))
     rows = versions.join(docs, "document_id").join(chunk_counts, versions["id"] == chunk_counts["version_id"], "left").drop("version_id")
     rows = rows.join(vector_counts, rows["id"] == vector_counts["version_id"], "left").drop("version_id").join(live_jobs.select(F.col("version_id").alias("id"), F.lit(True).alias("live_job")), "id", "left")
+    every = versions.select(F.col("id").alias("version_id"), "document_id").join(vector_counts, "version_id").groupBy("document_id").agg(F.sum("active_vectors").alias("document_vectors"))
+    rows = rows.join(every, "document_id", "left").withColumn("document_vectors", zero("document_vectors"))
     return rows.withColumns({"chunk_count": zero("chunk_count"), "active_vectors": zero("active_vectors"), "model_vectors": zero("model_vectors"), "all_vectors": zero("all_vectors"), "live_job": F.coalesce("live_job", F.lit(False)), "is_current": F.col("current_version_id").eqNullSafe(F.col("id"))})
 
 
@@ -35,7 +37,7 @@ def inspect(rows: DataFrame, stalled_minutes: int = 60) -> DataFrame:
         ("MISSING_EMBEDDINGS", F.lit("CRITICAL"), vectors & ~other, part),
         ("INVALID_CURRENT_VERSION", F.lit("CRITICAL"), wrong, no),
         ("STALLED_VERSION", F.when(c("live_job"), "WARNING").otherwise("ERROR"), busy & (c("age_minutes") > stalled_minutes), no),
-        ("DELETED_DOCUMENT_RESIDUE", F.lit("CRITICAL"), (c("document_status") == "DELETED") & c("is_current") & (c("active_vectors") > 0), no),
+        ("DELETED_DOCUMENT_RESIDUE", F.lit("CRITICAL"), (c("document_status") == "DELETED") & c("is_current") & (c("document_vectors") > 0), no),
     ]
     found = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(name).alias("issue"), level.alias("severity"), fix.alias("repairable"))) for name, level, when, fix in rules]))
     return rows.select(c("id").alias("version_id"), F.inline(found))

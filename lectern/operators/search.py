@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,22 @@ def in_scope(chunks: DataFrame, permitted: DataFrame) -> DataFrame:
     return chunks.join(permitted.select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """chunk_id, document_id, raw: cosine of each vector with the query, which is a literal whose norm is folded once."""
+    q, norm = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) ** 2 for x in query))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    own = F.sqrt(total(F.transform("vector", lambda x: x.cast("double") * x.cast("double"))))
+    return vectors.select("chunk_id", "document_id", (total(F.zip_with("vector", q, lambda x, y: x.cast("double") * y)) / (own * F.lit(norm))).alias("raw"))
+
+
+def nearest(rows: DataFrame, limit: int) -> DataFrame:
+    """The best of scored() rows as chunk_id, document_id, similarity: a top-k without a sort of all rows."""
+    return rows.orderBy(F.desc("raw"), "chunk_id").limit(limit).select("chunk_id", "document_id", similarity(1 - F.col("raw")).alias("similarity"))
+
+
 def vector_candidates(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """TOP-01: nearest by cosine, ties by chunk. The query is a literal, its norm is folded once; the rest is a top-k without a sort of all rows."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select("chunk_id", "document_id", similarity(1 - cosine(F.col("vector"), q)).alias("similarity"), cosine(F.col("vector"), q).alias("raw"))
-    return scored.orderBy(F.desc("raw"), "chunk_id").limit(limit).drop("raw")
+    """TOP-01: nearest by cosine, ties by chunk."""
+    return nearest(scored(vectors, query), limit)
 
 
 def capped(rows: DataFrame, *order: Column, per_document: int = PER_DOCUMENT, limit: int = 10) -> DataFrame:
@@ -32,11 +44,16 @@ def capped(rows: DataFrame, *order: Column, per_document: int = PER_DOCUMENT, li
     return best.withColumn("rank_no", F.row_number().over(Window.orderBy(*order)))
 
 
-def term_frequencies(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """RET-02, JOIN-07, AGG-04: ord 0 with the number of chunks, then each term with the number of chunks it matches, 0 included. One pass."""
-    counts = chunks.agg(F.count("*").alias("n0"), *[F.count_if(matches(F.col("chunk_text"), term_pattern(t))).alias(f"n{i + 1}") for i, t in enumerate(terms)])
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("term"), F.col(f"n{i}").alias("matched")) for i, t in enumerate([None, *terms])])
-    return counts.select(F.inline(rows))
+def hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """chunk_id, document_id, hits: which of the terms a chunk's text matches, in order. All that frequencies and coverage need of a text."""
+    return chunks.select("chunk_id", "document_id", F.array(*[matches(F.col("chunk_text"), term_pattern(t)) for t in terms]).alias("hits"))
+
+
+def term_frequencies(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """RET-02, JOIN-07, AGG-04: ord 0 with the number of chunks, then each term with the number of chunks it matches, 0 included. rows: see hits(). One pass."""
+    counts = rows.agg(F.count("*").alias("n0"), *[F.count_if(F.get("hits", F.lit(i))).alias(f"n{i + 1}") for i in range(len(terms))])
+    found = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t).alias("term"), F.col(f"n{i}").alias("matched")) for i, t in enumerate([None, *terms])])
+    return counts.select(F.inline(found))
 
 
 def weighted_terms(frequencies: DataFrame) -> DataFrame:
@@ -45,11 +62,11 @@ def weighted_terms(frequencies: DataFrame) -> DataFrame:
     return frequencies.filter("ord > 0 AND matched > 0").crossJoin(F.broadcast(total)).select("ord", "term", idf(F.col("total"), F.col("matched")).alias("weight"))
 
 
-def coverage(chunks: DataFrame, terms: list[str], weights: DataFrame) -> DataFrame:
-    """AGG-11: chunk_id, document_id, coverage: share of the terms' weight that a chunk's text matches. weights: one row a term at most."""
+def coverage(rows: DataFrame, terms: list[str], weights: DataFrame) -> DataFrame:
+    """AGG-11: chunk_id, document_id, coverage: share of the terms' weight that a chunk matches. rows: see hits(); weights: one row a term at most."""
     per = weights.agg(F.sum("weight").alias("whole"), *[F.coalesce(F.max(F.when(F.col("ord") == i + 1, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(len(terms))])
-    hit = reduce(lambda a, b: a + b, [F.when(matches(F.col("chunk_text"), term_pattern(t)), F.col(f"w{i}")).otherwise(F.lit(0.0)) for i, t in enumerate(terms)], F.lit(0.0))
-    return chunks.crossJoin(F.broadcast(per)).select("chunk_id", "document_id", F.when(F.col("whole") > 0, F.round(hit / F.col("whole"), 6)).otherwise(F.lit(0.0)).alias("coverage"))
+    hit = reduce(lambda a, b: a + b, [F.when(F.get("hits", F.lit(i)), F.col(f"w{i}")).otherwise(F.lit(0.0)) for i in range(len(terms))], F.lit(0.0))
+    return rows.crossJoin(F.broadcast(per)).select("chunk_id", "document_id", F.when(F.col("whole") > 0, F.round(hit / F.col("whole"), 6)).otherwise(F.lit(0.0)).alias("coverage"))
 
 
 def lexical_candidates(covered: DataFrame, near: DataFrame, limit: int, least: float = MIN_COVERAGE) -> DataFrame:
@@ -72,11 +89,6 @@ def fused(near: DataFrame, lexical: DataFrame, all_vectors: DataFrame, limit: in
     return capped(kept, F.desc("score"), F.desc("similarity"), F.col("chunk_id"), limit=limit)
 
 
-def scored_vectors(vectors: DataFrame, query: list[float]) -> DataFrame:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select("chunk_id", "document_id", similarity(1 - cosine(F.col("vector"), q)).alias("similarity"))
-
-
 def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """AGG-22: coverage, hit at 1 and 3, mean reciprocal rank over queries. ranked: query_id, item_id, rank_no; relevant: query_id, item_id."""
     first = relevant.join(ranked.filter(F.col("rank_no") <= k), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.min("rank_no").alias("first"))
@@ -126,3 +138,37 @@ def grouped_sources(rows: DataFrame) -> DataFrame:
     """AGG-17, JOIN-19: per document its chunks (each once), best score, and place by first rank."""
     each = rows.groupBy("query_id", "document_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.max("score").alias("best"), F.min("rank_no").alias("first_rank"))
     return each.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank", "document_id")))
+
+
+def rechecked(ranked: DataFrame, readable: DataFrame) -> DataFrame:
+    """RET-07: ranked candidates that a fresh look at the rights still allows, in the same order with new ranks (per query_id)."""
+    rows = ranked.join(readable.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return rows.withColumn("rank_no", F.row_number().over(Window.partitionBy("query_id").orderBy("rank_no")))
+
+
+def prompts(questions: DataFrame, cited: DataFrame, history: DataFrame, instruction: str, closing: str, most: int = 600) -> DataFrame:
+    """RET-09, RET-10: query_id, prompt: instruction, earlier turns, numbered citations, question.
+
+    questions: query_id, question. cited: see citations(). history: query_id, turn, question, answer, each shortened to `most`.
+    """
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy("turn"))
+    said = history.withColumn("n", turn).withColumn("part", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] Q: "), shortened(F.col("question"), most), F.lit("\nA: "), shortened(F.col("answer"), most), F.lit("\n")))
+    joined = lambda d, order, text, name: d.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "").alias(name))
+    lines = citations(cited).withColumn("part", F.concat("line", F.lit("\n")))
+    rows = questions.join(joined(said, "n", "part", "earlier"), "query_id", "left").join(joined(lines, "rank_no", "part", "context"), "query_id", "left")
+    earlier = F.coalesce(F.concat("earlier", F.lit("\n")), F.lit(""))
+    return rows.select("query_id", F.concat(F.lit(instruction), earlier, F.coalesce("context", F.lit("")), F.lit("\nQuestion: "), "question", F.lit(closing)).alias("prompt"))
+
+
+def capped_units(text: Column, most: int = 1000) -> Column:
+    """RET-15: the first `most` UTF-16 units of text; a pair that the end would cut goes as a whole."""
+    units = F.encode(text, "UTF-16BE")
+    cut = F.substring(units, 1, 2 * most)
+    split = F.hex(F.substring(cut, 2 * most - 1, 1)).rlike("^D[89AB]$")
+    return F.when(F.octet_length(units) <= 2 * most, text).otherwise(F.decode(F.when(split, F.substring(units, 1, 2 * most - 2)).otherwise(cut), "UTF-16BE"))
+
+
+def best_by_group(vectors: DataFrame, query: list[float], key: str) -> DataFrame:
+    """AGG-12: for each group its best similarity to the query and its number of vectors."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return vectors.groupBy(key).agg(F.max(cosine(F.col("vector"), q)).alias("best"), F.count("*").alias("n"))

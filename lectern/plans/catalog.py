@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import analytics, chunking, limits, permissions, queues, reconcile, search
+from lectern.operators import analytics, chunking, lifecycle, limits, permissions, queues, reconcile, search
+from lectern.operators.lineage import cut
 from lectern.plans.derived import AS_OF, Tables, sql
 from lectern.sources import files as sources
 from lectern.streaming import live
@@ -67,19 +68,19 @@ def readable_in_collection(t: Tables) -> DataFrame:
     return readable(t).join(t.collection_documents.filter("collection_id = 3004").select(F.col("document_id").alias("id")), "id", "left_semi")
 
 
-COLLECTIONS = f"""{ME}, shelves AS (SELECT id, name, parent_id, description FROM collections c WHERE owner_user_id = {USER} OR visibility = 'PUBLIC'
+COLLECTIONS = f"""{ME}, shelves AS (SELECT id, name, parent_id, description, created_day FROM collections c WHERE status = 'ACTIVE' AND (owner_user_id = {USER} OR visibility = 'PUBLIC'
    OR id IN (SELECT collection_id FROM collection_grants WHERE target_type = 'USER' AND user_id = {USER} AND can_read AND {LIVE})
-   OR id IN (SELECT descendant_id FROM tree JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE can_read AND {LIVE} AND {REACHED}))"""
+   OR id IN (SELECT descendant_id FROM tree JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE can_read AND {LIVE} AND {REACHED})))"""
 
 
-@query(f"WITH RECURSIVE {TREE}, {COLLECTIONS}, k AS (SELECT id, name, parent_id FROM shelves WHERE lower(name) LIKE '%an%' OR lower(description) LIKE '%an%') SELECT *, (SELECT count(*) FROM k) AS total_count FROM k ORDER BY id DESC LIMIT 10 OFFSET 2")
+@query(f"WITH RECURSIVE {TREE}, {COLLECTIONS}, k AS (SELECT id, name, parent_id, created_day FROM shelves WHERE lower(name) LIKE '%a%' OR lower(description) LIKE '%a%') SELECT *, (SELECT count(*) FROM k) AS total_count FROM k ORDER BY created_day, id LIMIT 10 OFFSET 2")
 def readable_collections(t: Tables) -> DataFrame:
-    return permissions.page(permissions.readable_collections(t, USER, now(), tree(t), "an"), F.desc("id"), limit=10, offset=2)
+    return permissions.page(permissions.readable_collections(t, USER, now(), tree(t), "a"), F.col("created_day"), F.col("id"), limit=10, offset=2)
 
 
-@query(f"WITH RECURSIVE {TREE}, {COLLECTIONS} SELECT id, name FROM shelves WHERE parent_id = 2003")
+@query(f"WITH RECURSIVE {TREE}, {COLLECTIONS} SELECT id, name FROM shelves WHERE parent_id = 1003")
 def readable_children(t: Tables) -> DataFrame:
-    return permissions.readable_collections(t, USER, now(), tree(t)).filter("parent_id = 2003").select("id", "name")
+    return permissions.readable_collections(t, USER, now(), tree(t)).filter("parent_id = 1003").select("id", "name")
 
 
 @query(f"WITH RECURSIVE {TREE} SELECT * FROM tree")
@@ -207,12 +208,24 @@ def chunk_restore(t: Tables) -> DataFrame:
     return chunking.restored(chunks(t)).select("document_id", F.sha2("text", 256).alias("restored_hash"))
 
 
-@query(f"WITH {CHUNKS}, k AS (SELECT * FROM chunks WHERE chunk_index <> 1) SELECT document_id, chunk_index, gap, gain FROM (SELECT document_id, chunk_index, char_start - lag(char_end) OVER w AS gap, char_end - lag(char_end) OVER w AS gain FROM k WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)) WHERE gap > 1 OR gain <= 0")
+@query(f"""WITH {CHUNKS}, k AS (SELECT document_id, chunk_index, char_end, length(chunk_text) AS size, char_start + CASE WHEN chunk_index = 3 THEN 1 ELSE 0 END AS char_start FROM chunks WHERE chunk_index <> 1 AND NOT (chunk_index = 0 AND document_id % 7 = 3)),
+  p AS (SELECT *, row_number() OVER w - 1 AS place, coalesce(lag(char_end) OVER w, 0) AS before FROM k WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)),
+  r AS (SELECT document_id, chunk_index, CASE WHEN chunk_index <> place THEN 'INDEX' WHEN char_end - char_start <> size OR place = 0 AND char_start <> 0 THEN 'OFFSET' WHEN char_start > before + 1 OR char_end <= before THEN 'GAP' END AS reason FROM p)
+SELECT * FROM r WHERE reason IS NOT NULL""")
 def chunk_contiguity(t: Tables) -> DataFrame:
-    return chunking.discontinuities(chunks(t).filter("chunk_index <> 1"))
+    """Over chunks of which some are taken out and some moved by one place."""
+    parts = chunks(t).filter("chunk_index <> 1 AND NOT (chunk_index = 0 AND document_id % 7 = 3)").withColumn("char_start", F.col("char_start") + (F.col("chunk_index") == 3).cast("int"))
+    return chunking.discontinuities(parts)
 
 
-@query()
+FULL = "r.n + 1 > 4 OR r.ch + c.ch > 4000 OR r.tk + c.tk > 900"
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT document_id, chunk_index, length(chunk_text) AS ch, len(list_filter(regexp_split_to_array(chunk_text, '\\s+'), lambda x: x <> '')) AS tk FROM chunks),
+r AS (SELECT document_id, chunk_index, 0 AS batch_no, 1 AS n, ch, tk FROM c WHERE chunk_index = 0 UNION ALL
+  SELECT c.document_id, c.chunk_index, r.batch_no + ({FULL})::INT, CASE WHEN {FULL} THEN 1 ELSE r.n + 1 END, CASE WHEN {FULL} THEN c.ch ELSE r.ch + c.ch END, CASE WHEN {FULL} THEN c.tk ELSE r.tk + c.tk END
+  FROM r JOIN c ON c.document_id = r.document_id AND c.chunk_index = r.chunk_index + 1)
+SELECT document_id, chunk_index, batch_no FROM r""")
 def chunk_batches(t: Tables) -> DataFrame:
     return chunking.plan_batches(chunks(t))
 
@@ -249,12 +262,12 @@ def question_vector(t: Tables) -> list[float]:
 NEAR = "near AS (SELECT e.vec_id AS document_id, e.vec_id * 1000 AS chunk_id, label, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings e)"
 
 
-@query(f"""WITH RECURSIVE {TREE}, {READABLE}, {NEAR}, c AS (SELECT n.*, row_number() OVER (PARTITION BY label ORDER BY s DESC, chunk_id) AS mine FROM (SELECT * FROM near WHERE document_id IN (SELECT id FROM readable) ORDER BY s DESC, chunk_id LIMIT 40) n WHERE s >= 0.30),
-r AS (SELECT chunk_id, label AS document_id, s FROM c WHERE mine <= 2 ORDER BY s DESC, chunk_id LIMIT 10) SELECT chunk_id, document_id::BIGINT AS document_id, round(s, 4) AS similarity, row_number() OVER (ORDER BY s DESC, chunk_id) AS rank_no FROM r""")
+@query(f"""WITH RECURSIVE {TREE}, {READABLE}, {NEAR}, c AS (SELECT n.*, row_number() OVER (PARTITION BY document_id ORDER BY s DESC, chunk_id) AS mine FROM (SELECT * FROM near WHERE document_id IN (SELECT id FROM readable) ORDER BY s DESC, chunk_id LIMIT 40) n WHERE s >= 0.05),
+r AS (SELECT chunk_id, document_id, s FROM c WHERE mine <= 2 ORDER BY s DESC, chunk_id LIMIT 10) SELECT chunk_id, document_id::BIGINT AS document_id, round(s, 4) AS similarity, row_number() OVER (ORDER BY s DESC, chunk_id) AS rank_no FROM r""")
 def vector_topk_permitted(t: Tables) -> DataFrame:
-    """The nearest chunks in the user's scope, at most two of one label."""
-    scope = search.in_scope(vectors(t), readable(t)).withColumn("document_id", F.col("label").cast("long"))
-    near = search.vector_candidates(scope, question_vector(t), 40).filter(F.col("similarity") >= search.MIN_SIMILARITY)
+    """The nearest chunks in the user's scope, at most two of one document; these vectors lie far apart, so the least similarity is low."""
+    scope = search.in_scope(vectors(t), readable(t))
+    near = search.vector_candidates(scope, question_vector(t), 40).filter(F.col("similarity") >= 0.05)
     return search.capped(near, F.desc("similarity"), F.col("chunk_id")).withColumn("similarity", F.round(F.col("similarity").cast("double"), 4))
 
 
@@ -265,25 +278,26 @@ WEIGHTS = f"f AS (SELECT i AS ord, [{', '.join(repr(w) for w in TERMS)}][i] AS t
 COVERED = "v AS (SELECT chunk_id, document_id, CASE WHEN (SELECT sum(weight) FROM w) > 0 THEN round(coalesce((SELECT sum(weight) FROM w WHERE hits[ord]), 0) / (SELECT sum(weight) FROM w), 6) ELSE 0 END AS coverage FROM scope)"
 
 
-def scoped_chunks(t: Tables) -> DataFrame:
-    return search.in_scope(chunks(t).select("chunk_id", "document_id", "chunk_text"), readable(t))
+def scoped_hits(t: Tables, permitted: DataFrame) -> DataFrame:
+    return search.hits(search.in_scope(chunks(t).select("chunk_id", "document_id", "chunk_text"), permitted), fn.query_terms(QUESTION))
 
 
 @query(f"WITH RECURSIVE {TREE}, {READABLE}, {SCOPE}, {WEIGHTS} SELECT ord::INT AS ord, term, matched FROM f UNION ALL SELECT 0, NULL, (SELECT count(*) FROM scope)")
 def term_frequency(t: Tables) -> DataFrame:
-    return search.term_frequencies(scoped_chunks(t), fn.query_terms(QUESTION))
+    return search.term_frequencies(scoped_hits(t, readable(t)), fn.query_terms(QUESTION))
 
 
-def _covered(t: Tables) -> DataFrame:
-    terms, rows = fn.query_terms(QUESTION), scoped_chunks(t)
+def _covered(t: Tables, permitted: DataFrame) -> DataFrame:
+    terms, rows = fn.query_terms(QUESTION), cut(scoped_hits(t, permitted))
     return search.coverage(rows, terms, search.weighted_terms(search.term_frequencies(rows, terms)))
 
 
 @query(f"""WITH RECURSIVE {TREE}, {READABLE}, {SCOPE}, {WEIGHTS}, {COVERED}, {NEAR}, n AS (SELECT chunk_id FROM near WHERE document_id IN (SELECT id FROM readable) ORDER BY s DESC, chunk_id LIMIT 40)
 SELECT chunk_id, document_id, round(coverage, 4) AS coverage FROM ((SELECT * FROM v WHERE coverage >= 0.5 ORDER BY coverage DESC, chunk_id LIMIT 40) UNION SELECT * FROM v WHERE coverage > 0 AND chunk_id IN (SELECT chunk_id FROM n)) u""")
 def lexical_candidates(t: Tables) -> DataFrame:
-    near = search.vector_candidates(search.in_scope(vectors(t), readable(t)), question_vector(t), 40)
-    return search.lexical_candidates(_covered(t), near, 40).withColumn("coverage", F.round("coverage", 4))
+    permitted = cut(readable(t))
+    near = search.vector_candidates(search.in_scope(vectors(t), permitted), question_vector(t), 40)
+    return search.lexical_candidates(_covered(t, permitted), near, 40).withColumn("coverage", F.round("coverage", 4))
 
 
 @query(f"""WITH RECURSIVE {TREE}, {READABLE}, {SCOPE}, {WEIGHTS}, {COVERED}, {NEAR}, a AS (SELECT chunk_id, document_id, round(greatest(s, 0), 6) AS s, s AS raw FROM near WHERE document_id IN (SELECT id FROM readable)),
@@ -292,10 +306,11 @@ b AS (SELECT coalesce(n.chunk_id, l.chunk_id) AS chunk_id, coalesce(n.document_i
 k AS (SELECT *, round(s + 0.1 * c, 6) AS score FROM b WHERE s >= 0.45 OR c >= 0.5), m AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, s DESC, chunk_id) AS mine FROM k),
 r AS (SELECT * FROM m WHERE mine <= 2 ORDER BY score DESC, s DESC, chunk_id LIMIT 10) SELECT chunk_id, document_id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, s DESC, chunk_id) AS rank_no FROM r""")
 def hybrid_fusion(t: Tables) -> DataFrame:
-    scope = search.in_scope(vectors(t), readable(t))
-    near = search.vector_candidates(scope, question_vector(t), 40)
-    lexical = search.lexical_candidates(_covered(t), near, 40)
-    out = search.fused(near, lexical, search.scored_vectors(scope, question_vector(t)), 10)
+    permitted = cut(readable(t))
+    scope = cut(search.scored(search.in_scope(vectors(t), permitted), question_vector(t)))
+    near = search.nearest(scope, 40)
+    lexical = search.lexical_candidates(_covered(t, permitted), near, 40)
+    out = search.fused(near, lexical, scope.select("chunk_id", fn.similarity(1 - F.col("raw")).alias("similarity")), 10)
     return out.select("chunk_id", "document_id", F.round("score", 4).alias("score"), "rank_no")
 
 
@@ -391,9 +406,22 @@ def dead_workers(t: Tables) -> DataFrame:
     return queues.worker_status(t.workers, F.expr("TIMESTAMP_NTZ '2001-08-01 22:00:00'")).select("id", "effective_status")
 
 
-@query("SELECT id, version_id, CASE WHEN status <> 'FAILED' THEN 'NOT_FAILED' WHEN bool_or(status IN ('PENDING', 'PROCESSING')) OVER w THEN 'LIVE_JOB_EXISTS' WHEN id <> max(id) OVER w THEN 'NOT_LATEST' ELSE 'ELIGIBLE' END AS verdict FROM jobs WINDOW w AS (PARTITION BY version_id)")
+JOBS = "version_jobs AS (SELECT id, (SELECT min(doc_id) FROM documents) * 10 + (id % (SELECT count(*) FROM documents)) * 10 + id % 2 + 1 AS version_id, status, CASE WHEN id % 4 = 0 THEN id * 3 END AS source_event_id FROM jobs)"
+
+
+def version_jobs(t: Tables) -> DataFrame:
+    """Jobs spread over the versions of all documents."""
+    n = t.documents.agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    rows = t.jobs.select("id", "status").crossJoin(F.broadcast(n))
+    return rows.select("id", (F.col("low") * 10 + (F.col("id") % F.col("n")) * 10 + F.col("id") % 2 + 1).alias("version_id"), "status", F.when(F.col("id") % 4 == 0, F.col("id") * 3).alias("source_event_id"))
+
+
+@query(f"""WITH {JOBS}, l AS (SELECT document_id, arg_max(id, version_no) AS latest FROM versions GROUP BY document_id), a AS (SELECT DISTINCT version_id FROM version_jobs WHERE status IN ('PENDING', 'PROCESSING'))
+SELECT j.id, j.version_id, CASE WHEN j.status <> 'FAILED' THEN 'JOB_NOT_FAILED' WHEN v.status <> 'FAILED' THEN 'VERSION_NOT_FAILED' WHEN f.status = 'DELETED' THEN 'DOCUMENT_DELETED' WHEN f.status NOT IN ('INDEXED', 'INDEXING', 'FAILED') THEN 'DOCUMENT_STATUS_INVALID'
+  WHEN c.document_id IS DISTINCT FROM f.id THEN 'CURRENT_VERSION_INCONSISTENT' WHEN latest IS NULL THEN 'DATA_INCONSISTENT' WHEN latest <> j.version_id THEN 'SUPERSEDED_VERSION' WHEN a.version_id IS NOT NULL THEN 'LIVE_JOB_EXISTS' ELSE 'ELIGIBLE' END AS verdict
+FROM version_jobs j JOIN versions v ON v.id = j.version_id LEFT JOIN files f ON f.id = v.document_id LEFT JOIN versions c ON c.id = f.current_version_id LEFT JOIN l ON l.document_id = v.document_id LEFT JOIN a ON a.version_id = j.version_id""")
 def manual_retry(t: Tables) -> DataFrame:
-    return queues.retry_verdict(t.jobs)
+    return lifecycle.retry_verdict(version_jobs(t), t.versions, t.files)
 
 
 @query(f"SELECT count(*) FILTER ({DUE}) AS claimable, count(*) FILTER (status = 'PENDING' AND next_retry_at > {AS_OF}) AS delayed, count(*) FILTER (status = 'PROCESSING') AS processing, count(*) FILTER (status = 'FAILED') AS failed, min(coalesce(next_retry_at, created_at)) FILTER ({DUE}) AS oldest_due_at FROM jobs")
@@ -442,15 +470,15 @@ def unreferenced_objects(t: Tables) -> DataFrame:
 
 # -- consistency
 
-FACTS = """x AS (SELECT id AS version_id, CASE WHEN id % 7 = 0 THEN 0 ELSE id % 5 + 1 END AS chunk_count, CASE WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS active_vectors, CASE WHEN id % 11 = 0 THEN 0 WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS model_vectors, id % 5 + 1 AS all_vectors, id % 2 = 0 AS live_job FROM versions),
-facts AS (SELECT v.id, v.status, v.age_minutes, f.status AS document_status, f.current_version_id, x.*, f.current_version_id IS NOT DISTINCT FROM v.id AS is_current FROM versions v JOIN files f ON f.id = v.document_id JOIN x ON x.version_id = v.id)"""
+FACTS = """x AS (SELECT id AS version_id, CASE WHEN id % 7 = 0 THEN 0 ELSE id % 5 + 1 END AS chunk_count, CASE WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS active_vectors, CASE WHEN id % 11 = 0 THEN 0 WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS model_vectors, CASE WHEN id % 13 < 4 AND id % 3 > 0 THEN id % 4 ELSE id % 5 + 1 END AS all_vectors, id % 4 = 0 AS live_job FROM versions),
+facts AS (SELECT v.id, v.status, v.age_minutes, f.status AS document_status, f.current_version_id, x.*, f.current_version_id IS NOT DISTINCT FROM v.id AS is_current, sum(x.active_vectors) OVER (PARTITION BY v.document_id) AS document_vectors FROM versions v JOIN files f ON f.id = v.document_id JOIN x ON x.version_id = v.id)"""
 
 
 def _facts(t: Tables) -> DataFrame:
     v = t.versions
     chunk_counts = v.selectExpr("id AS version_id", "CASE WHEN id % 7 = 0 THEN 0 ELSE id % 5 + 1 END AS chunk_count").filter("chunk_count > 0")
-    vector_counts = v.selectExpr("id AS version_id", "CASE WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS active_vectors", "CASE WHEN id % 11 = 0 THEN 0 WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS model_vectors", "id % 5 + 1 AS all_vectors")
-    return reconcile.facts(v, t.files, chunk_counts, vector_counts, v.filter("id % 2 = 0").selectExpr("id AS version_id"))
+    vector_counts = v.selectExpr("id AS version_id", "CASE WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS active_vectors", "CASE WHEN id % 11 = 0 THEN 0 WHEN id % 3 = 0 THEN id % 5 + 1 ELSE id % 4 END AS model_vectors", "CASE WHEN id % 13 < 4 AND id % 3 > 0 THEN id % 4 ELSE id % 5 + 1 END AS all_vectors")
+    return reconcile.facts(v, t.files, chunk_counts, vector_counts, v.filter("id % 4 = 0").selectExpr("id AS version_id"))
 
 
 BUSY = "status IN ('UPLOADED', 'PARSING', 'CHUNKED', 'EMBEDDING')"
@@ -463,7 +491,7 @@ UNION ALL SELECT id, 'MISSING_CHUNKS', 'CRITICAL', FALSE FROM facts WHERE status
 UNION ALL SELECT id, CASE WHEN model_vectors = 0 AND all_vectors >= chunk_count THEN 'MODEL_MISMATCH' ELSE 'MISSING_EMBEDDINGS' END, 'CRITICAL', {PART} FROM facts WHERE {SHORT}
 UNION ALL SELECT id, 'INVALID_CURRENT_VERSION', 'CRITICAL', FALSE FROM facts WHERE document_status = 'INDEXED' AND (current_version_id IS NULL OR is_current AND status <> 'INDEXED')
 UNION ALL SELECT id, 'STALLED_VERSION', CASE WHEN live_job THEN 'WARNING' ELSE 'ERROR' END, FALSE FROM facts WHERE {BUSY} AND age_minutes > 60
-UNION ALL SELECT id, 'DELETED_DOCUMENT_RESIDUE', 'CRITICAL', FALSE FROM facts WHERE document_status = 'DELETED' AND is_current AND active_vectors > 0""")
+UNION ALL SELECT id, 'DELETED_DOCUMENT_RESIDUE', 'CRITICAL', FALSE FROM facts WHERE document_status = 'DELETED' AND is_current AND document_vectors > 0""")
 def consistency_issues(t: Tables) -> DataFrame:
     return reconcile.inspect(_facts(t))
 
@@ -583,7 +611,7 @@ def value_changes(t: Tables) -> DataFrame:
     return analytics.changes(t.events.select("user_id", F.col("event_id").alias("ts"), F.col("event_type").alias("value")), "user_id")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (status = 'DONE') AS done, round(count(*) FILTER (status = 'DONE') * 1000 / nullif(count(*), 0))::BIGINT AS per_mille FROM attempts")
+@query("SELECT count(*) FILTER (status = 'DONE') AS done, count(*) FILTER (status = 'FAILED') AS failed, round(count(*) FILTER (status = 'DONE') * 1000 / nullif(count(*) FILTER (status IN ('DONE', 'FAILED')), 0)) / 10 AS per_cent FROM attempts")
 def success_rate(t: Tables) -> DataFrame:
     return analytics.success_rate(t.attempts)
 
@@ -619,12 +647,18 @@ def _calls(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("at_ms"), F.col("event_id").alias("call_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS call_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nth FROM events),
+r AS (SELECT key, call_id, nth, at_ms AS opened, 1 AS used FROM c WHERE nth = 1 UNION ALL
+  SELECT c.key, c.call_id, c.nth, CASE WHEN c.at_ms - opened >= {36 * 3_600_000} THEN c.at_ms ELSE opened END, CASE WHEN c.at_ms - opened >= {36 * 3_600_000} THEN 1 ELSE used + 1 END FROM r JOIN c ON c.key = r.key AND c.nth = r.nth + 1)
+SELECT key, call_id, used <= 3 AS allowed FROM r""")
 def rate_limit(t: Tables) -> DataFrame:
     return limits.rate_limit(_calls(t), 3, 36 * 3_600_000)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS poll_no, value > 60 AS found, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+r AS (SELECT key, poll_no, nth, CASE WHEN found THEN 500 ELSE 1000 END AS wait_ms FROM c WHERE nth = 1 UNION ALL
+  SELECT c.key, c.poll_no, c.nth, CASE WHEN c.found THEN 500 ELSE least(wait_ms * 2, 8000) END FROM r JOIN c ON c.key = r.key AND c.nth = r.nth + 1)
+SELECT key, poll_no, wait_ms FROM r""")
 def idle_waits(t: Tables) -> DataFrame:
     return limits.idle_waits(t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("poll_no"), (F.col("value") > 60).alias("found")))
 
@@ -636,7 +670,7 @@ def event_windows(t: Tables) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("SELECT to_json(n)::VARCHAR AS value FROM nation n")
 def json_rows(t: Tables) -> DataFrame:
     return sources.as_json(t.nation)
 
@@ -644,3 +678,6 @@ def json_rows(t: Tables) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permission-filtered hybrid retrieval."""
     return hybrid_fusion(Tables(spark, sf_dir))
+
+
+from lectern.plans import lifecycle as _more  # noqa: E402, F401  registers its queries here

@@ -25,11 +25,11 @@ DERIVED = {
     "versions": """SELECT doc_id * 10 + 1 AS id, doc_id AS document_id, 1 AS version_no, 'INDEXED' AS status, 400 AS age_minutes FROM documents UNION ALL
         SELECT doc_id * 10 + 2 AS id, doc_id AS document_id, 2 AS version_no,
         CASE WHEN doc_id % 17 = 0 THEN 'EMBEDDING' WHEN doc_id % 19 = 0 THEN 'FAILED' WHEN doc_id % 37 = 0 THEN 'PARSING' ELSE 'INDEXED' END AS status, CAST(doc_id % 90 AS INT) AS age_minutes FROM documents""",
-    "collections": """SELECT 1000 + r_regionkey AS id, CAST(NULL AS INT) AS parent_id, r_name AS name, 'by region' AS description, 1 AS owner_user_id, 'PUBLIC' AS visibility FROM region UNION ALL
+    "collections": """SELECT 1000 + r_regionkey AS id, CAST(NULL AS INT) AS parent_id, r_name AS name, 'by region' AS description, 1 AS owner_user_id, 'PUBLIC' AS visibility, 'ACTIVE' AS status, CAST(r_regionkey AS INT) AS created_day FROM region UNION ALL
         SELECT 2000 + n_nationkey AS id, 1000 + n_regionkey AS parent_id, n_name AS name, CAST(NULL AS STRING) AS description, n_nationkey % 7 + 1 AS owner_user_id,
-        CASE n_nationkey % 3 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'DEPARTMENT' ELSE 'PUBLIC' END AS visibility FROM nation UNION ALL
+        CASE n_nationkey % 3 WHEN 0 THEN 'PRIVATE' WHEN 1 THEN 'DEPARTMENT' ELSE 'PUBLIC' END AS visibility, CASE WHEN n_nationkey % 8 = 7 THEN 'DELETED' ELSE 'ACTIVE' END AS status, CAST(n_nationkey % 5 AS INT) AS created_day FROM nation UNION ALL
         SELECT 3000 + n_nationkey AS id, 2000 + n_nationkey AS parent_id, concat('Shelf ', n_name) AS name, 'shelf' AS description, n_nationkey % 11 + 1 AS owner_user_id,
-        CASE n_nationkey % 2 WHEN 0 THEN 'PRIVATE' ELSE 'COLLECTION' END AS visibility FROM nation""",
+        CASE n_nationkey % 2 WHEN 0 THEN 'PRIVATE' ELSE 'COLLECTION' END AS visibility, 'ACTIVE' AS status, CAST(n_nationkey % 3 AS INT) AS created_day FROM nation""",
     "collection_documents": "SELECT CAST(3000 + doc_id % 25 AS INT) AS collection_id, doc_id AS document_id FROM documents",
     "document_grants": """SELECT doc_id AS document_id, CASE doc_id % 3 WHEN 0 THEN 'USER' WHEN 1 THEN 'DEPARTMENT' ELSE 'ROLE' END AS target_type,
         CASE WHEN doc_id % 3 = 0 THEN doc_id % 13 + 1 END AS user_id, CASE WHEN doc_id % 3 = 1 THEN doc_id % 25 END AS department_id, CASE WHEN doc_id % 3 = 2 THEN doc_id % 5 + 1 END AS role_id,

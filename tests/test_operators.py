@@ -65,10 +65,10 @@ def test_text_functions(spark):
 def test_scope_hides_other_documents(spark):
     chunks = spark.createDataFrame([(1, 1, "red cat"), (2, 2, "red dog"), (3, 3, "blue")], "chunk_id long, document_id long, chunk_text string")
     some = search.in_scope(chunks, spark.createDataFrame([(1,), (3,)], "id long"))
-    counts = {r.ord: r.matched for r in search.term_frequencies(some, ["red", "dog"]).collect()}
+    counts = {r.ord: r.matched for r in search.term_frequencies(search.hits(some, ["red", "dog"]), ["red", "dog"]).collect()}
     assert counts == {0: 2, 1: 1, 2: 0}
     none = search.in_scope(chunks, spark.createDataFrame([], "id long"))
-    assert {r.matched for r in search.term_frequencies(none, ["red"]).collect()} == {0}
+    assert {r.matched for r in search.term_frequencies(search.hits(none, ["red"]), ["red"]).collect()} == {0}
 
 
 def test_fusion_thresholds_bonus_and_cap(spark):
@@ -123,6 +123,43 @@ def test_empty_tables(spark):
     now = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
     assert queues.claim(jobs, now, 3).count() == 0
     assert queues.queue_snapshot(jobs, now).first().claimable == 0
-    assert analytics.success_rate(jobs.select("status")).first().per_mille is None
+    assert analytics.success_rate(jobs.select("status")).first().per_cent is None
     tree = permissions.closure(spark, spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id int, parent_id int"))
     assert {tuple(r) for r in tree.collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (1, 2, 1), (2, 3, 1), (1, 3, 2)}
+
+
+def test_closure_of_a_deep_tree(spark):
+    chain = spark.range(30).selectExpr("cast(id AS int) AS id", "cast(CASE WHEN id > 0 THEN id - 1 END AS int) AS parent_id")
+    out = permissions.closure(spark, chain)
+    assert (out.count(), out.agg({"depth": "max"}).first()[0]) == (465, 29)
+
+
+def test_retry_reasons_come_in_their_order(spark):
+    from lectern.operators import lifecycle
+
+    versions = [(11, 1, 1, "FAILED"), (12, 1, 2, "FAILED"), (21, 2, 1, "FAILED"), (31, 3, 1, "FAILED"), (41, 4, 1, "FAILED"), (51, 5, 1, "INDEXED"), (61, 6, 1, "FAILED")]
+    docs = [(1, "FAILED", 11), (2, "DELETED", 21), (3, "ARCHIVED", 31), (4, "FAILED", 61), (5, "INDEXED", 51), (6, "FAILED", None)]
+    jobs = [(1, 11, "FAILED"), (2, 12, "FAILED"), (3, 12, "PENDING"), (4, 21, "FAILED"), (5, 31, "FAILED"), (6, 41, "FAILED"), (7, 51, "FAILED"), (8, 61, "FAILED")]
+    frames = [spark.createDataFrame(versions, "id long, document_id long, version_no int, status string"), spark.createDataFrame(docs, "id long, status string, current_version_id long")]
+    out = {r.id: r.verdict for r in lifecycle.retry_verdict(spark.createDataFrame(jobs, "id long, version_id long, status string"), *frames).collect()}
+    inconsistent = "CURRENT_VERSION_INCONSISTENT"
+    assert out == {1: "SUPERSEDED_VERSION", 2: "LIVE_JOB_EXISTS", 3: "JOB_NOT_FAILED", 4: "DOCUMENT_DELETED", 5: "DOCUMENT_STATUS_INVALID", 6: inconsistent, 7: "VERSION_NOT_FAILED", 8: inconsistent}
+
+
+def test_encoder_is_checked(spark):
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "document_id long, chunk_index int, chunk_text string")
+    assert [r.vector for r in chunking.embedded(parts, lambda texts: [[float(len(t)), 2.0] for t in texts], "m", 2).collect()] == [[1.0, 2.0]] * 2
+    for wrong in (lambda texts: [], lambda texts: [[1.0]] * len(texts), lambda texts: [[1.0, float("nan")]] * len(texts)):
+        with pytest.raises(Exception, match="finite vectors"):
+            chunking.embedded(parts, wrong, "m", 2).collect()
+
+
+def test_utf16_cap_keeps_pairs_whole(spark):
+    row = spark.range(1).select(search.capped_units(F.lit("ab😀c"), 3).alias("split"), search.capped_units(F.lit("ab😀c"), 4).alias("pair"), search.capped_units(F.lit("abc"), 3).alias("all")).first()
+    assert tuple(row) == ("ab", "ab😀", "abc")
+
+
+def test_embedding_input_drops_leading_headings(spark):
+    rows = spark.createDataFrame([(1, ["a" * 150, "b" * 60, "c"], "t"), (2, ["x" * 300], "t"), (3, [], "t")], "id int, h array<string>, t string")
+    out = {r.id: r.i for r in rows.select("id", chunking.embedding_input(F.col("h"), F.col("t")).alias("i")).collect()}
+    assert out == {1: "b" * 60 + " > c\nt", 2: "x" * 200 + "\nt", 3: "t"}

@@ -1,15 +1,19 @@
 """WARC derivatives: a metadata record and a plain-text conversion record for each response.
 
 Both derived records name the response in WARC-Refers-To, keep its target, date and payload digest, and carry a digest
-of their own block. The metadata block holds the response's identifiers, digests, status line and HTTP headers, and
-what the page says of itself (title, language, number of links), as application/warc-fields. The conversion block is
-the page's text. Identifiers are name-based UUIDs, so that reruns agree.
+of their own block. The metadata block holds the response's identifiers, digests, status line, all its HTTP headers in
+their order - repeated ones as often as they occur - and its other WARC headers, and what the page says of itself
+(title, language, number of links), as application/warc-fields. The conversion block is the page's text, after chunked
+transfer and gzip or deflate are undone. Identifiers are name-based UUIDs, so that reruns agree.
 
-read_warc() and serialised() are the source and the wire form: records survive the round trip byte by byte.
+read_warc() and serialised() are the source and the wire form: records survive the round trip byte by byte, headers
+that no column holds as lines in `extra`. A file is unzipped as its records are read; what a worker holds are the
+file's stored bytes (up to 2 GB, Spark's limit for a binary value) and a batch of records.
 
 Defined results: a null url leaves out the target; a null or empty page gives an empty payload and an empty text.
-A block without an end of HTTP headers is all payload. Repeated rows give records of equal identifiers. An empty table
-gives an empty result; further columns are ignored.
+A block without an end of HTTP headers is all payload; a body that doesn't decode is taken as it is. A record whose
+Content-Length is no number has an empty block, and reading goes on at the next record. Repeated rows give records of
+equal identifiers. An empty table gives an empty result; further columns are carried unless a record has one of that name.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,17 +62,57 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def http_parts(block: bytes) -> tuple[str, str, bytes]:
-    """Status line, header lines and payload of an HTTP response."""
+def header_pairs(lines: list[str]) -> list[tuple[str, str]]:
+    """Names and values of header lines in order; a line that begins with a blank goes on with the one before."""
+    found: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and found:
+            found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
+        elif line.strip():
+            name, _, value = line.partition(":")
+            found.append((name.strip(), value.strip()))
+    return found
+
+
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers and payload of an HTTP response."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
-        return "", "", block
+        return "", [], block
     status, _, headers = head.decode("latin-1").partition(END)
-    return status, headers, payload
-
-
-def decoded(payload: bytes, headers: str) -> str:
-    found = CHARSET.search(headers.encode("latin-1")) or CHARSET.search(payload[:2048])
+    return status, header_pairs(headers.split(END)), payload
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; as it is where the chunks don't parse."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = data[at:end].partition(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return data
+        if (n := int(size, 16)) == 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out) if out else data
+
+
+def body(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
+    """The page's bytes: transfer and content codings undone, as far as they are known and hold."""
+    value = lambda name: ",".join(v for k, v in headers if k.lower() == name).lower()
+    if "chunked" in value("transfer-encoding"):
+        payload = unchunked(payload)
+    for bits in {"gzip": (47,), "x-gzip": (47,), "deflate": (47, -15)}.get(value("content-encoding"), ()):
+        try:
+            return zlib.decompressobj(bits).decompress(payload)
+        except zlib.error:
+            continue
+    return payload
+
+
+def decoded(payload: bytes, headers: list[tuple[str, str]]) -> str:
+    kind = ";".join(v for k, v in headers if k.lower() == "content-type")
+    found = CHARSET.search(kind.encode("latin-1", "replace")) or CHARSET.search(payload[:2048])
     try:
         return payload.decode(found[1].decode() if found else "utf-8", "replace")
     except LookupError:
@@ -76,52 +122,56 @@ def decoded(payload: bytes, headers: str) -> str:
 def derivatives(source: dict) -> Iterator[dict]:
     """The metadata and the conversion record of one response (see RECORD for the fields)."""
     status, headers, payload = http_parts(source["block"])
-    page = decoded(payload, headers)
+    page = decoded(body(payload, headers), headers)
     title, language = TITLE.search(page), LANGUAGE.search(page)
     block_digest, payload_digest = source.get("block_digest") or digest(source["block"]), source.get("payload_digest") or digest(payload)
-    fields = {
-        "source-record-id": source["record_id"], "source-block-digest": block_digest, "source-payload-digest": payload_digest, "http-status": status,
-        **{f"http-header-{k.strip().lower()}": v.strip() for k, _, v in (x.partition(":") for x in headers.split(END) if x)},
-        "title": BLANKS.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else "", "language": language[1] if language else "", "links": str(len(LINK.findall(page))),
-    }
-    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}{END}" for k, v in fields.items()).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
+    fields = [
+        ("source-record-id", source["record_id"]), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("http-status", status),
+        *((f"http-header-{k.lower()}", v) for k, v in headers), *((f"source-header-{k.lower()}", v) for k, v in header_pairs((source.get("extra") or "").split(END))),
+        ("title", " ".join(BLANKS.sub(" ", html.unescape(title[1])).split()) if title else ""), ("language", language[1] if language else ""), ("links", str(len(LINK.findall(page)))),
+    ]
+    blocks = {"metadata": ("application/warc-fields", "".join(f"{k}: {v}{END}" for k, v in fields).encode()), "conversion": ("text/plain; charset=utf-8", plain_text(page).encode())}
     for kind, (content_type, block) in blocks.items():
         yield {
             "record_type": kind, "record_id": record_id(f"{source['record_id']}|{kind}"), "refers_to": source["record_id"], "target_uri": source["target_uri"], "date": source["date"],
-            "content_type": content_type, "block_digest": digest(block), "payload_digest": payload_digest, "block": block,
+            "content_type": content_type, "block_digest": digest(block), "payload_digest": payload_digest, "extra": None, "block": block,
         }
 
 
-#: Field of a record: its header, for those that have one.
-RECORD = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "block": None}
-SCHEMA = ", ".join(f"{k} {'string' if v else 'binary'}" for k, v in RECORD.items())
-ARROW = pa.schema([(k, pa.string() if v else pa.binary()) for k, v in RECORD.items()])
+#: Field of a record: its header, for those that have one of their own. extra holds the lines of all other headers.
+RECORD = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest", "extra": None, "block": None}
+SCHEMA = ", ".join(f"{k} {'binary' if k == 'block' else 'string'}" for k in RECORD)
+ARROW = pa.schema([(k, pa.binary() if k == "block" else pa.string()) for k in RECORD])
+#: Bytes of records that a task hands on at a time.
+BATCH_BYTES = 16 << 20
 
 
 def serialised(record: dict) -> bytes:
     head = "".join(f"{name}: {record[k]}{END}" for k, name in RECORD.items() if name and record.get(k) is not None)
-    return f"WARC/1.1{END}{head}Content-Length: {len(record['block'])}{END}{END}".encode() + record["block"] + b"\r\n\r\n"
+    extra = f"{record['extra']}{END}" if record.get("extra") else ""
+    return f"WARC/1.1{END}{head}{extra}Content-Length: {len(record['block'])}{END}{END}".encode() + record["block"] + b"\r\n\r\n"
 
 
 def parsed(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped (as a whole or record by record). Header names in any case."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    names, at = {v.lower(): k for k, v in RECORD.items() if v}, 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    """Records of a WARC file, plain or gzipped (as a whole or record by record), one after the other. Header names in any case."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    names = {v.lower(): k for k, v in RECORD.items() if v}
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        lines: list[str] = []
+        while (line := stream.readline()).strip():
+            lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
         fields: dict = dict.fromkeys(RECORD)
-        length = 0
-        for line in data[at:end].decode("utf-8", "replace").split(END)[1:]:
-            name, _, value = line.partition(":")
-            if name.strip().lower() == "content-length":
-                length = int(value)
-            elif key := names.get(name.strip().lower()):
-                fields[key] = value.strip()
-        at = end + 4 + length
-        yield fields | {"block": data[end + 4 : at]}
+        length, extra = 0, []
+        for name, value in header_pairs(lines):
+            if name.lower() == "content-length":
+                length = int(value) if re.fullmatch("[0-9]{1,18}", value) else 0
+            elif (key := names.get(name.lower())) and fields[key] is None:
+                fields[key] = value
+            else:
+                extra.append(f"{name}: {value}")
+        yield fields | {"extra": END.join(extra) or None, "block": stream.read(length)}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -130,7 +180,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                yield pa.RecordBatch.from_pylist(list(parsed(content.as_py())), ARROW)
+                held, size = [], 0
+                for record in parsed(content.as_py()):
+                    held.append(record)
+                    size += len(record["block"])
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, ARROW)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, ARROW)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
 
@@ -165,12 +222,12 @@ def _record_id(name: Column) -> Column:
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of fetched pages (page_id, url, html); page_id is carried. derive() adds missing digests."""
-    body = F.coalesce("html", F.lit("")).cast("binary")
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length(body).cast("string"), F.lit(END + END))
+    page = F.coalesce("html", F.lit("")).cast("binary")
+    head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length(page).cast("string"), F.lit(END + END))
     name = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
     made = {
         "record_type": F.lit("response"), "record_id": _record_id(name), "target_uri": F.col("url"), "date": F.lit(date), "content_type": F.lit("application/http; msgtype=response"),
-        "block": F.concat(head.cast("binary"), body),
+        "block": F.concat(head.cast("binary"), page),
     }
     return pages.select("page_id", *[made.get(k, F.lit(None).cast("string")).alias(k) for k in RECORD])
 

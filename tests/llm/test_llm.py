@@ -334,3 +334,141 @@ def test_rows_of_one_id_keep_their_own_bytes_and_lines(spark):
     rows = [(2, "a\nb\nc"), (None, "x\na\nb\nc"), (None, "p\nq\nr\ns"), (5, "a\nb\nc"), (5, "k\nl\nm")]
     out = sorted((r.doc_id or -1, r.text) for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert out == sorted([(2, "a\nb\nc"), (-1, "x"), (-1, "p\nq\nr\ns"), (5, ""), (5, "k\nl\nm")])
+
+
+def read_records(data):
+    """An own reader: cuts records at their lengths, without the operator's code."""
+    out, at = [], 0
+    while at < len(data):
+        head, _, rest = data[at:].partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")[1:]
+        n = int(next(x for x in lines if x.lower().startswith("content-length:")).split(":")[1])
+        out.append(([tuple(y.strip() for y in x.split(":", 1)) for x in lines], rest[:n]))
+        at += len(head) + 4 + n + 4
+    return out
+
+
+def test_warc_keeps_all_headers_and_decodes_bodies(spark, tmp_path):
+    import gzip
+
+    def record(kind, http, extra=""):
+        return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:a:{len(http)}>\r\nWARC-Target-URI: http://x/\r\nWARC-IP-Address: 1.2.3.4\r\n{extra}Content-Length: {len(http)}\r\n\r\n").encode() + http + b"\r\n\r\n"
+
+    zipped = gzip.compress(b"<p>zip</p>")
+    pages = [
+        b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nX: one\r\n two\r\nSet-Cookie: b=2\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n",
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + zipped,
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot zipped",
+        b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nno chunks here",
+        b"no http at all",
+        b"HTTP/1.1 200 OK\r\n\r\n<head><title>t</title></head>" + b"<p>long text</p>" * 200_000,
+    ]
+    bad = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:bad>\r\nContent-Length: many\r\n\r\nlost\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(bad + b"".join(record("response", p) for p in pages) + record("request", b"GET /"))
+    read = warc.read_warc(spark, str(tmp_path / "a.warc"))
+    assert read.count() == 8 and {r.extra for r in read.filter("record_id <> '<urn:bad>'").collect()} == {"WARC-IP-Address: 1.2.3.4"}
+    out = warc.derive(read).collect()
+    text = {r.refers_to: bytes(r.block).decode() for r in out if r.record_type == "conversion"}
+    want = ["abcde", "zip", "not zipped", "no chunks here", "no http at all", "\n".join(["long text"] * 200_000)]
+    assert [text[f"<urn:a:{len(p)}>"] for p in pages] == want and text["<urn:bad>"] == ""
+    meta = next(bytes(r.block).decode() for r in out if r.record_type == "metadata" and r.refers_to == f"<urn:a:{len(pages[0])}>")
+    lines = meta.split("\r\n")
+    assert [x for x in lines if "cookie" in x] == ["http-header-set-cookie: a=1", "http-header-set-cookie: b=2"] and "http-header-x: one two" in lines and "source-header-warc-ip-address: 1.2.3.4" in lines
+    wire = b"".join(warc.serialised(r.asDict() | {"block": bytes(r.block)}) for r in read.collect())
+    again = read_records(wire)
+    assert [b for _, b in again][1:7] == pages and all(("WARC-IP-Address", "1.2.3.4") in h for h, _ in again[1:])
+
+
+def test_large_filters_go_slice_by_slice(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") < 29_000, F.col("id")).otherwise(F.col("id") % 500).cast("string").alias("k"), F.col("id").alias("doc_id"))
+    tested = exact_dedup.possibly_repeated(rows, "k", 30_000, max_filter_bytes=3 * 4200)
+    assert tested.count() == 30_000 and tested.filter("NOT maybe").groupBy("k").count().filter("count > 1").count() == 0
+    assert tested.filter("maybe").count() < 6000 and "Exchange hashpartitioning(k" not in tested._jdf.queryExecution().toString()
+    known = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    kept = exact_dedup.possibly_in(rows, "k", known, 100)
+    assert kept.filter("cast(k AS long) < 100").count() == rows.filter("cast(k AS long) < 100").count() and kept.count() < 2000
+
+
+def test_shards_follow_the_tree(spark, docs):
+    plan = mixing.Mix(spark, docs, block_words=200, shard_blocks=4)
+    out = mixing.mixed_shards(spark, docs, block_words=200, shard_blocks=4).collect()
+    want = Counter((r.doc_id, d["copy"], d["shard"]) for r in plan.drawn(plan.placed).collect() for d in r.draws)
+    assert Counter((r.doc_id, r.copy, r.shard) for r in out) == want
+    # by hand: each source's blocks in the order of their hashes, pass after pass, dealt to shards by the leaves' quotas
+    leaves, blocks = defaultdict(list), defaultdict(list)
+    for r in plan.shards.orderBy("shard").collect():
+        leaves[r.source_key] += [r.shard] * r.quota
+    turn = lambda s, b: int(hashlib.md5(f"mix turn|{s}|{b}".encode()).hexdigest()[:15], 16)
+    draws = {(r.source_key, r.block): [tuple(d) for d in r.draws] for r in plan.blocks.collect()}
+    for s, b in {(r.source_key, r.block) for r in plan.placed.select("source_key", "block").collect()}:
+        blocks[s].append((turn(s, b), b))
+    for s, order in blocks.items():
+        dealt = [(copy, b) for copy in (1, 2, 3, 4) for _, b in sorted(order) if any(c == copy for c, _ in draws.get((s, b), []))]
+        assert {(c, b): leaves[s][i] for i, (c, b) in enumerate(dealt)} == {(c, b): shard for (s2, b), d in draws.items() if s2 == s for c, shard in d}
+    places = defaultdict(list)
+    for r in out:
+        places[r.shard].append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_long_hosts(spark):
+    host = ".".join(["a"] * 20_001)
+    pages = spark.createDataFrame([(1, f"http://{host}.example.com/de/x"), (2, f"http://{host}.net/"), (None, "http://org/fr/")], "page_id long, url string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(spark, pages, url_filter.contract_rules(spark)).collect()}
+    assert out == {1: ("example.com/de/", "block"), 2: ("net/", "block"), None: ("org/fr/", "allow")}
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(1000):
+        words_ = list(base)
+        for k in r.choice(120, 3, replace=False):
+            words_[k] = f"x{i}_{k}"
+        texts.append(" ".join(words_))
+    seen, verify = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda spark, pairs, *rest: (seen.append(pairs.count()), verify(spark, pairs, *rest))[1])
+    frame = spark.createDataFrame(list(enumerate([*texts, " ".join(base), "something else entirely"])), "doc_id long, text string")
+    out = {x.doc_id: x.component_id for x in near_dedup.jaccard_classes(spark, frame, 3, 80).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(118)} for t in [*texts, " ".join(base)]]
+    linked = [i for i in range(1000) if 100 * len(sets[i] & sets[1000]) >= 80 * len(sets[i] | sets[1000])]
+    assert len(linked) > 900 and len({out[i] for i in linked}) == 1 and out[1001] == 1001
+    assert sum(seen) < 12 * len(texts)
+
+
+def test_links_of_rows_without_ids(spark):
+    long_ = " ".join(f"w{i}" for i in range(80))
+    rows = [(5, long_), (None, long_ + " x"), (None, "a b c d e f"), (7, "q r s t u"), (7, long_ + " y"), (3, None)]
+    out = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in near_dedup.jaccard_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(-1, 2, -1), (-1, 77, 5), (3, 0, 3), (5, 76, 5), (7, 1, 7), (7, 77, 5)]
+
+
+def test_pipeline_of_nothing_and_of_odd_rows(spark, nothing, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = nothing.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+    assert pipeline.packed(spark, docs, "").count() == 0
+    odd = [(None, "one text of some words " * 3, "en", None), (None, None, None, "a"), (4, "other", "de", "a"), (4, "other", "de", "a")]
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).withColumn("gone", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_pipeline_run_equals_its_stages(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.row.doc_id for r in quality.quality(docs, "doc_id").filter("kept").collect()}
+    last = {t: d for d, t in sorted(texts.items()) if d in kept}
+    single = {d for d, (_, root) in classes({d: t for t, d in last.items()}, 5, 80).items() if d == root}
+    size = {d: len(words(texts[d])) for d in single}
+    out = pipeline.run(spark, SF).collect()
+    times = Counter(r.doc_id for r in out if r.start == 0)
+    assert set(times) <= single and max(times.values()) <= 3
+    source = {r.doc_id: r.source for r in docs.collect()}
+    total = sum(size.values())
+    assert abs(sum(size[d] * n for d, n in times.items()) - total) <= len(set(source.values())) * max(size.values())

@@ -46,7 +46,8 @@ KEY_ROWS = 2000
 PARITY_BITS = 1024
 #: Rounds of representatives; they end earlier once a round finds few links for the sets in play.
 ROUNDS, FEW_LINKS = 4, 0.01
-MEMO = 400_000
+#: Words that a worker remembers, and documents that it holds the shingles of at a time.
+MEMO, SLICE = 150_000, 500
 
 
 class Shingler:
@@ -136,7 +137,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, classes: np.ndarray) -> Data
         from xxhash import xxh3_128_digest
 
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sizes, signatures, shapes, bands, firsts, bits, low, fines = [], [], [], [], [], [], [], []
             for text in batch.column(2):
                 s = shingler.shingles(text.as_py())

@@ -20,6 +20,9 @@ FIRST, LAST = -(1 << 63), (1 << 63) - 1
 #: Broadcast sides must be proven smaller than this: rows times the bytes of their columns and of a hash table's entry.
 BROADCAST_BYTES, ENTRY_BYTES = 64 << 20, 48
 
+#: Rows of a batch that goes to a Python worker. Texts cross over in batches, which both sides hold whole, once a task.
+BATCH_ROWS = 1000
+
 #: Tables that written() has made, by the owner that scratch() named.
 _tables: dict[str, list[str]] = {}
 _owners: list[str] = [""]
@@ -50,10 +53,26 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(spark).rstrip('/')}/lectern/{uuid.uuid4().hex}"
     _tables.setdefault(_owners[-1], []).append(path)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send at most BATCH_ROWS rows at a time to Python workers; the session's own setting returns afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession, owner: str = "", *sources: DataFrame) -> None:
     """Removes the tables that written() has made for the owner, but for those that the sources still read."""
     paths = _tables.pop(owner, [])

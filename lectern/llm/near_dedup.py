@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, table, with_hot_keys, with_row_keys, written
+from lectern.llm.common import bounded, documents, small_batches, table, with_hot_keys, with_row_keys, written
 from lectern.llm.exact_dedup import possibly_in
 from lectern.llm.packing import mixed
 
@@ -103,8 +103,9 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
     total = np.zeros((1 << (CELL_BITS - PIECE_BITS), 1 << PIECE_BITS), np.uint64)
     parts = documents(docs, "text").mapInArrow(count, "piece int, counts binary").repartition(len(total), "piece")
-    for row in parts.mapInArrow(add, "piece int, counts binary").collect():
-        total[row.piece] += np.frombuffer(row.counts, np.uint64)
+    with small_batches(docs.sparkSession):
+        for row in parts.mapInArrow(add, "piece int, counts binary").collect():
+            total[row.piece] += np.frombuffer(row.counts, np.uint64)
     return total.ravel()
 
 

@@ -127,15 +127,26 @@ def _packed(hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
 
 
 def repeated_hashes(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """hash: those that occur twice or more in parts (bucket, hashes); see _packed(). A bucket holds 1 hash a task at most twice."""
+    """hash: those that occur twice or more in parts (bucket, hashes); see _packed(). A task sorts one bucket at a time, which holds a hash of each task before it at most twice."""
+
+    def again(held: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(every[1:][every[1:] == every[:-1]]).view(np.int64))], ["hash"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(h.as_py(), np.uint64) for batch in batches for h in batch.column(1)]
-        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        again = np.unique(every[1:][every[1:] == every[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64))], ["hash"])
+        held: list[np.ndarray] = []
+        last = None
+        for batch in batches:
+            for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != last:
+                    yield again(held)
+                    held = []
+                last = bucket
+                held.append(np.frombuffer(hashes.as_py(), np.uint64))
+        if held:
+            yield again(held)
 
-    dealt = parts.repartition(F.col("bucket")).mapInArrow(find, "hash long")
+    dealt = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(find, "hash long")
     return written(spark, dealt)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,13 +76,32 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 def release(spark: SparkSession, owner: str = "", *sources: DataFrame) -> None:
     """Removes the tables that written() has made for the owner, but for those that the sources still read."""
     paths = _tables.pop(owner, [])
+    if still := _removed(spark, paths, sources):
+        _tables[owner] = still
+
+
+def _removed(spark: SparkSession, paths: list[str], sources: Iterable[DataFrame]) -> list[str]:
+    """Removes the tables at paths but for those that the sources read; which those are."""
     read = {f.rpartition("/lectern/")[2].partition("/")[0] for s in sources for f in s.inputFiles()} if paths else set()
-    for path in paths:
-        if path.rpartition("/")[2] in read:
-            _tables.setdefault(owner, []).append(path)
-        else:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    still = [path for path in paths if path.rpartition("/")[2] in read]
+    for path in set(paths) - set(still):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return still
+
+
+@contextmanager
+def interim(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At the end of the block, removes what written() made inside but for the tables that the frames in the given list read.
+
+    All that the block leaves to later plans must be written and stand in that list. After an error all tables stay
+    until their owner's release.
+    """
+    owner, keep = _owners[-1], []
+    before = len(_tables.setdefault(owner, []))
+    yield keep
+    made = _tables[owner]
+    made[before:] = _removed(spark, made[before:], keep)
 
 
 @contextmanager

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, small_batches, table, with_hot_keys, with_row_keys, written
+from lectern.llm.common import bounded, documents, interim, small_batches, table, with_hot_keys, with_row_keys, written
 from lectern.llm.exact_dedup import possibly_in
 from lectern.llm.packing import mixed
 
@@ -275,14 +275,16 @@ class Classes:
 
     def add(self, pairs: DataFrame) -> int:
         """Verifies pairs (a, b) of unlike classes and contracts the links among them; how many there were."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = verified(self.spark, likely(self.spark, pairs, self.sets, self.percent), self.texts, self.n, self.percent)
-        found = links.count()
-        if found:
-            edges = _labelled(_labelled(links, self.label, "a", "x"), self.label, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            merged = components(self.spark, edges)
-            moved = self.label.join(merged.select(F.col("doc").alias("root"), F.col("root").alias("to")), "root", "left").select("doc", F.coalesce("to", "root").alias("root"))
-            self.label = written(self.spark, moved.union(merged))
+        with interim(self.spark) as keep:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            links = verified(self.spark, likely(self.spark, pairs, self.sets, self.percent), self.texts, self.n, self.percent)
+            found = links.count()
+            if found:
+                edges = _labelled(_labelled(links, self.label, "a", "x"), self.label, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+                merged = components(self.spark, edges)
+                moved = self.label.join(merged.select(F.col("doc").alias("root"), F.col("root").alias("to")), "root", "left").select("doc", F.coalesce("to", "root").alias("root"))
+                self.label = written(self.spark, moved.union(merged))
+                keep.append(self.label)
         return found
 
 
@@ -357,7 +359,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, n: int = 5, percent: i
     total = same.count()
     only = lambda docs, n: sets.join(bounded(docs, n, 8), "doc", "left_semi")
     groups = written(spark, only(same.select("doc"), total).groupBy("shape").agg(F.min("doc").alias("head"), F.count("*").alias("n")))
-    met = written(spark, _postings(spark, only(groups.select(F.col("head").alias("doc")), groups.count()), groups))
+    with interim(spark) as keep:
+        met = written(spark, _postings(spark, only(groups.select(F.col("head").alias("doc")), groups.count()), groups))
+        keep.append(met)
     scores = met.filter(~F.col("up")).groupBy("head").agg(F.count("place").alias("score"))
     near = met.select("head").distinct().join(groups.select("shape", "head"), "head").join(scores, "head", "left").select("shape", "head", F.coalesce("score", F.lit(0)).alias("score"))
     near = written(spark, near)

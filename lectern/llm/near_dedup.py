@@ -92,13 +92,15 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
                 total += np.bincount(np.concatenate(cells).astype(np.int64), minlength=len(total)).astype(np.uint32)
         if total.any():
             pieces = total.reshape(-1, 1 << PIECE_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "counts"])
+            narrow = [p.astype(np.min_scalar_type(p.max())).tobytes() for p in pieces]  # one to four bytes a counter
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(narrow, pa.binary())], ["piece", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
+                raw = counts.as_py()
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(raw, f"u{len(raw) >> PIECE_BITS}").astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
 
     total = np.zeros((1 << (CELL_BITS - PIECE_BITS), 1 << PIECE_BITS), np.uint64)

@@ -58,6 +58,13 @@ def written(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Path of a folder yet to be made in the shared folder; release() removes it like a table of written()."""
+    path = f"{shared_folder(spark).rstrip('/')}/lectern/{uuid.uuid4().hex}"
+    _tables.setdefault(_owners[-1], []).append(path)
+    return path
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Jobs that run inside send at most BATCH_ROWS rows at a time to Python workers; the session's own setting returns afterwards."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filter, warc
+from lectern.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, periodic_runs, quality, resampling, substring_dedup, token_counts, token_files, url_filter, warc
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -17,6 +17,9 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op9_long_line_dedup": line_dedup.op9_long_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 SQL = {
@@ -26,4 +29,6 @@ SQL = {
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op9_long_line_dedup": line_dedup.OP9_LONG_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
 }

@@ -6,17 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.quantiles import percentiles  # noqa: F401
+from lectern.operators.series import changes, increases, rates  # noqa: F401
+
 
 def mean_millis(rows: DataFrame, start: str, end: str) -> DataFrame:
     """AGG-07: mean time from start to end in whole milliseconds; null without rows."""
     return rows.agg(F.round(F.avg(F.timestamp_diff("MICROSECOND", start, end) / 1000)).cast("long").alias("mean_ms"))
 
 
-def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """AGG-20/21: nearest-rank p95 and interpolated median, both exact."""
-    return rows.groupBy(*keys).agg(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.count("*").alias("n"))
-
-
 def buckets(events: DataFrame, unit: str = "second") -> DataFrame:
     """AGG-19, FN-13: good and bad calls in each unit of time. events: ts, ok."""
     return events.groupBy(F.date_trunc(unit, "ts").alias("bucket")).agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
@@ -57,17 +55,6 @@ def align(left: DataFrame, right: DataFrame, unit: str = "second") -> DataFrame:
     return cut(left, "left_value").join(cut(right, "right_value"), "bucket", "full_outer")
 
 
-def increases(series: DataFrame, *keys: str) -> DataFrame:
-    """STR-17: counter growth between neighbouring samples; after a reset the new value counts. series: keys, ts, value."""
-    before = F.lag("value").over(Window.partitionBy(*keys).orderBy("ts"))
-    return series.withColumn("increase", F.when(F.col("value") >= before, F.col("value") - before).when(before.isNull(), F.lit(0.0)).otherwise(F.col("value")))
-
-
-def rates(series: DataFrame, width: str, slide: str, *keys: str) -> DataFrame:
-    """STR-17: growth in sliding ranges."""
-    return increases(series, *keys).groupBy(F.window("ts", width, slide), *keys).agg(F.sum("increase").alias("increase")).select(F.col("window.end").alias("at"), *keys, "increase")
-
-
 def held(rows: DataFrame, *keys: str, steps: int) -> DataFrame:
     """STR-17 (for), STR-31: keys and times from which the condition `firing` has held for so many samples."""
     back = Window.partitionBy(*keys).orderBy("at").rowsBetween(-(steps - 1), 0)
@@ -88,12 +75,6 @@ def histogram_quantile(rows: DataFrame, q: float, *keys: str) -> DataFrame:
     return hit.select(*keys, F.round(F.col("low") + (F.col("le") - F.col("low")) * (F.col("rank") - F.col("under")) / (F.col("count") - F.col("under")), 6).alias("quantile"))
 
 
-def changes(series: DataFrame, *keys: str) -> DataFrame:
-    """STR-21: how often the value differs from the sample before."""
-    before = F.lag("value").over(Window.partitionBy(*keys).orderBy("ts"))
-    return series.withColumn("changed", (before != F.col("value")).cast("int")).groupBy(*keys).agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
-
-
 def success_rate(rows: DataFrame, done: str = "DONE", failed: str = "FAILED") -> DataFrame:
     """AGG-15: processed, failed, and the share of processed among both in per cent with one decimal; null without either. rows: status."""
     n, bad = F.count_if(F.col("status") == done), F.count_if(F.col("status") == failed)

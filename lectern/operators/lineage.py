@@ -1,18 +1,56 @@
-"""Cutting lineage where a result is read several times."""
+"""Cutting lineage: results that are read several times, as tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Paths of the tables that written() has made, by owner, and tables that kept() has made, by session and key.
+_tables: dict[str, list[str]] = {}
+_kept: dict[Hashable, DataFrame] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session on this machine alone gets one of its own where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    context = spark.sparkContext
+    if (known := context.getCheckpointDir()) is not None:
+        return known.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def written(df: DataFrame, owner: str = "") -> DataFrame:
+    """df as a Parquet table of its own: a lost executor costs a task of the readers, not the work before. release() removes an owner's tables."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lectern-tables/{uuid.uuid4().hex}"
+    _tables.setdefault(owner, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as checkpointed in the folder that spark.checkpoint.dir names; only a session on this machine alone gets one of its own where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if at is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
+    """written(), for results that live as long as the session's folder."""
+    return written(df)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Removes the owner's tables; nothing may read them any more."""
+    for path in _tables.pop(owner, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(spark: SparkSession, key: Hashable, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build() gives, written once a session for each key: for what a database keeps as a maintained table."""
+    full = (spark.sparkContext.applicationId, key)
+    if full not in _kept:
+        _kept[full] = written(build())
+    return _kept[full]

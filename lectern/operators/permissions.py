@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import tree as trees
+
 
 def active(as_of: Column, expires: str = "expires_at") -> Column:
     """FIL-02: not expired at as_of."""
@@ -25,20 +27,9 @@ def optional(column: str, value) -> Column:
     return F.lit(True) if value is None else F.col(column) == value
 
 
-def closure(spark: SparkSession, nodes: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
-    """SET-10: ancestor_id, descendant_id, depth of a tree (id, parent_id), each node with itself at depth 0.
-
-    Spark's recursive common table expression joins the frontier to the nodes, level by level. max_depth only stops
-    cycles; the session's limit on rows of a recursion is lifted, as a closure may have any number of them.
-    """
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"""WITH RECURSIVE up(ancestor_id, descendant_id, depth) MAX RECURSION LEVEL {max_depth} AS (
-              SELECT id, id, 0 FROM {{nodes}} UNION ALL
-              SELECT n.parent_id, up.descendant_id, up.depth + 1 FROM up JOIN {{nodes}} n ON n.id = up.ancestor_id WHERE n.parent_id IS NOT NULL)
-            SELECT ancestor_id, descendant_id, depth FROM up""",
-        nodes=nodes,
-    )
+def closure(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """SET-10: the closure of a tree (id, parent_id); see lectern.operators.tree."""
+    return trees.closure(nodes)
 
 
 def ancestors(tree: DataFrame, node: int) -> DataFrame:
@@ -56,18 +47,6 @@ def effective_collections(tree: DataFrame, members: DataFrame, document: int) ->
     return tree.join(members.filter(F.col("document_id") == document), F.col("descendant_id") == F.col("collection_id")).select(F.col("ancestor_id").alias("id")).distinct()
 
 
-def closure_insert(tree: DataFrame, node: int, parent: int | None) -> DataFrame:
-    """SET-11: rows that a new leaf adds: itself, and below each ancestor of its parent."""
-    one = tree.sparkSession.range(1).select(F.lit(node).cast("int").alias("ancestor_id"), F.lit(node).cast("int").alias("descendant_id"), F.lit(0).alias("depth"))
-    above = tree.filter(F.col("descendant_id") == F.lit(parent)).select("ancestor_id", F.lit(node).cast("int").alias("descendant_id"), (F.col("depth") + 1).alias("depth"))
-    return one.unionByName(above)
-
-
-def closure_delete(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """SET-12: what stays of the closure without the given descendants."""
-    return tree.join(nodes.select(F.col("id").alias("descendant_id")), "descendant_id", "left_anti").select("ancestor_id", "descendant_id", "depth")
-
-
 def granted(grants: DataFrame, target: str, user: DataFrame, roles: DataFrame, as_of: Column, right: str = "can_read") -> DataFrame:
     """AGG-02, PERM-07: unexpired grants with the right that reach the user by name, department or role. user has one row."""
     live = grants.filter((F.col("target_type") == target) & F.col(right) & active(as_of))
@@ -183,6 +162,49 @@ def collection_summary(t, user_id: int, as_of: Column, tree: DataFrame) -> DataF
     return _summed(parts, "collection_id")
 
 
+def _ordered(parts: list[tuple[str, DataFrame]], key: str, owned: DataFrame) -> DataFrame:
+    """key, the three flags and sources, in the order of the parts (id and flags); an owner has all rights and no other source."""
+    rank = {name: k for k, (name, _) in enumerate(parts, 1)}
+    each = [p.filter("can_read OR can_write OR can_admin").select("id", *FLAGS, F.lit(rank[name]).alias("rank")) for name, p in parts]
+    own = owned.select("id", *[F.lit(True).alias(f) for f in FLAGS], F.lit(0).alias("rank"))
+    reached = reduce(DataFrame.union, each).join(owned.select("id"), "id", "left_anti").union(own)
+    names = F.array(F.lit("OWNER"), *[F.lit(name) for name, _ in parts])
+    sources = F.array_join(F.transform(F.array_sort(F.collect_set("rank")), lambda r: F.get(names, r)), ",")
+    return reached.groupBy(F.col("id").alias(key)).agg(*[F.max(f).alias(f) for f in FLAGS], sources.alias("sources"))
+
+
+def _on_documents(t, kind: str, user: DataFrame, as_of: Column, tree: DataFrame) -> DataFrame:
+    """id and flags of documents that the user's grants of the kind reach: on the document, on a collection that holds it, or on one above."""
+    direct = _reaching(t.document_grants, kind, user, t, as_of).select(F.col("document_id").alias("id"), *FLAGS)
+    return direct.union(_inherited(t, kind, user, as_of, tree).join(t.collection_documents, "collection_id").select(F.col("document_id").alias("id"), *FLAGS))
+
+
+def checked_documents(t, user_id: int, as_of: Column, tree: DataFrame) -> DataFrame:
+    """PERM-01..03: document_id, the three rights and their sources, rule after rule.
+
+    An owner has all rights and is asked nothing more. Else come public and department visibility (reading alone), rights of
+    the user by the checked cache only, and role and department grants, direct or inherited.
+    """
+    user = t.users.filter(F.col("id") == user_id)
+    others = t.files.select("id", "owner_user_id", "visibility")
+    owners = t.users.select(F.col("id").alias("owner_user_id"), F.col("department_id").alias("owner_department"))
+    seen = others.filter(F.col("visibility") == "DEPARTMENT").join(owners, "owner_user_id").join(user.select(F.col("department_id").alias("owner_department")), "owner_department", "left_semi")
+    reading = lambda d: d.select("id", F.lit(True).alias("can_read"), F.lit(False).alias("can_write"), F.lit(False).alias("can_admin"))
+    parts = [("PUBLIC", reading(others.filter(F.col("visibility") == "PUBLIC"))), ("DEPARTMENT_VISIBILITY", reading(seen)), ("USER_CACHE", backed_cache(t, user_id, as_of).withColumnRenamed("document_id", "id"))]
+    parts += [(kind, _on_documents(t, kind, user, as_of, tree)) for kind in ("ROLE", "DEPARTMENT")]
+    return _ordered(parts, "document_id", others.filter(F.col("owner_user_id") == user_id)).join(others.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+
+
+def checked_collections(t, user_id: int, as_of: Column, tree: DataFrame) -> DataFrame:
+    """PERM-04: collection_id, the three rights and their sources; deleted collections give none. Grants to the user hold for the collection itself, those to roles and departments below it as well."""
+    user = t.users.filter(F.col("id") == user_id)
+    live = t.collections.filter(F.col("status") != "DELETED")
+    public = live.filter(F.col("visibility") == "PUBLIC").select("id", F.lit(True).alias("can_read"), F.lit(False).alias("can_write"), F.lit(False).alias("can_admin"))
+    parts = [("PUBLIC", public), ("USER", _reaching(t.collection_grants, "USER", user, t, as_of).select(F.col("collection_id").alias("id"), *FLAGS))]
+    parts += [(kind, _inherited(t, kind, user, as_of, tree).select(F.col("collection_id").alias("id"), *FLAGS)) for kind in ("ROLE", "DEPARTMENT")]
+    return _ordered(parts, "collection_id", live.filter(F.col("owner_user_id") == user_id)).join(live.select(F.col("id").alias("collection_id")), "collection_id", "left_semi")
+
+
 def authoritative_cache(t, as_of: Column) -> DataFrame:
     """PERM-05: cache rows that are valid and still backed by what they were made from."""
     valid = t.access_cache.filter(~F.col("invalidated") & F.col("can_read") & active(as_of)).select("user_id", "document_id", "source_type")

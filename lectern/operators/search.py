@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,12 +22,88 @@ def in_scope(chunks: DataFrame, permitted: DataFrame) -> DataFrame:
     return chunks.join(permitted.select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
+def _blocks(dim: int, names: list[str], make: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch | None]):  # noqa: ANN202
+    """A scan over batches (names, vector): make() gets the vectors as one matrix of unit rows, those of another length or without a direction left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = pc.equal(pc.list_value_length(batch.column(len(names))), dim).fill_null(False)
+            batch = batch.filter(fits)
+            flat = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            norm = np.sqrt(np.einsum("ij,ij->i", flat, flat))
+            solid = np.isfinite(norm) & (norm > 0)
+            if not solid.all():
+                batch, flat, norm = batch.filter(pa.array(solid)), flat[solid], norm[solid]
+            if (out := make(flat / norm[:, None], batch)) is not None:
+                yield out
+
+    return run
+
+
 def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """chunk_id, document_id, raw: cosine of each vector with the query, which is a literal whose norm is folded once."""
-    q, norm = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) ** 2 for x in query))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    own = F.sqrt(total(F.transform("vector", lambda x: x.cast("double") * x.cast("double"))))
-    return vectors.select("chunk_id", "document_id", (total(F.zip_with("vector", q, lambda x, y: x.cast("double") * y)) / (own * F.lit(norm))).alias("raw"))
+    """chunk_id, document_id, raw: cosine of each vector with the query, a block of vectors at a time. Vectors of another length, or of length 0, have none and are left out."""
+    q = np.array(query, np.float64)
+    q = q / np.sqrt(q @ q)
+    make = lambda unit, batch: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unit @ q)], ["chunk_id", "document_id", "raw"])
+    kinds = dict(vectors.dtypes)
+    rows = vectors.select("chunk_id", "document_id", "vector")
+    return rows.mapInArrow(_blocks(len(q), ["chunk_id", "document_id"], make), f"chunk_id {kinds['chunk_id']}, document_id {kinds['document_id']}, raw double")
+
+
+#: Bytes of the queries that go to all tasks at once; more are taken in blocks. Digits at which cosines count as equal.
+QUERY_BYTES, DIGITS = 64 << 20, 9
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """TOP-01, RET-01 for many queries: query_id, chunk_id, document_id, similarity, rank_no of the k nearest vectors of each, ties by chunk.
+
+    queries: query_id, vector; vectors: chunk_id, document_id, vector; ids are long. Both are unit rows of matrices: a task multiplies its blocks of
+    vectors with all queries and keeps k candidates a query; those alone are shuffled and ranked. Queries that take over
+    query_bytes are dealt into blocks by hash, each a scan of its own.
+    """
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    dim = size.dim or 1
+    parts = max(1, -(-size.n * dim * 8 // query_bytes))
+    found = [_nearest_block(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k, dim) for i in range(parts)]
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
+    return reduce(DataFrame.union, found).withColumn("rank_no", order).filter(F.col("rank_no") <= k)
+
+
+def _nearest_block(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    asked = queries.select("query_id", "vector").filter(F.size("vector") == dim).toArrow()
+    ids = asked.column(0).to_numpy()
+    q = asked.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", q, q))
+    ids, q = ids[norm > 0], (q[norm > 0] / norm[norm > 0, None]).T.copy()
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    names = ["query_id", "chunk_id", "document_id", "similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        least = np.full(len(ids), -2.0)
+        best = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64)]  # query's place, chunk, document, cosine
+
+        def make(unit: np.ndarray, batch: pa.RecordBatch) -> None:
+            nonlocal best, least
+            s = np.round(unit @ q, DIGITS)
+            if len(s) >= k:
+                least = np.maximum(least, np.partition(s, len(s) - k, axis=0)[len(s) - k])
+            row, column = np.nonzero(s >= least)
+            chunk, document = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            both = [np.concatenate(x) for x in zip(best, (column, chunk[row], document[row], s[row, column]), strict=True)]
+            order = np.lexsort((both[1], -both[3], both[0]))
+            both = [x[order] for x in both]
+            first = np.searchsorted(both[0], both[0], side="left")
+            place = np.arange(len(first)) - first
+            best = [x[place < k] for x in both]
+            last = place[place < k] == k - 1
+            least[best[0][last]] = np.maximum(least[best[0][last]], best[3][last])
+
+        for _ in _blocks(dim, names[1:3], make)(batches):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), *map(pa.array, best[1:])], names)
+
+    return vectors.select("chunk_id", "document_id", "vector").mapInArrow(run, "query_id long, chunk_id long, document_id long, similarity double")
 
 
 def nearest(rows: DataFrame, limit: int) -> DataFrame:

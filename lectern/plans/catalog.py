@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import analytics, chunking, lifecycle, limits, permissions, queues, reconcile, search
-from lectern.operators.lineage import cut
+from lectern.operators import analytics, chunking, lifecycle, limits, permissions, quantiles, queues, reconcile, search, series, spine
+from lectern.operators import tree as trees
+from lectern.operators.lineage import cut, kept
 from lectern.plans.derived import AS_OF, Tables, sql
 from lectern.sources import files as sources
 from lectern.streaming import live
@@ -40,7 +41,8 @@ def query(oracle: str | None = None):  # noqa: ANN201
 
 
 def tree(t: Tables) -> DataFrame:
-    return permissions.closure(t.spark, t.collections.select("id", "parent_id"))
+    """The closure of the collections, a maintained table: built once a session and folder."""
+    return kept(t.spark, ("closure", t.sf_dir), lambda: trees.closure(t.collections.select("id", "parent_id")))
 
 
 TREE = "tree(ancestor_id, descendant_id, depth) AS (SELECT id, id, 0 FROM collections UNION ALL SELECT n.parent_id, tree.descendant_id, tree.depth + 1 FROM tree JOIN collections n ON n.id = tree.ancestor_id WHERE n.parent_id IS NOT NULL)"
@@ -105,12 +107,40 @@ def effective_collections(t: Tables) -> DataFrame:
 
 @query(f"WITH RECURSIVE {TREE} SELECT 9000 AS ancestor_id, 9000 AS descendant_id, 0 AS depth UNION ALL SELECT ancestor_id, 9000, depth + 1 FROM tree WHERE descendant_id = 3001")
 def closure_insert(t: Tables) -> DataFrame:
-    return permissions.closure_insert(tree(t), 9000, 3001)
+    new = t.spark.range(9000, 9001).select(F.col("id").cast("int").alias("id"), F.lit(3001).alias("parent_id"))
+    return trees.inserted(tree(t), new).filter("descendant_id = 9000")
 
 
 @query(f"WITH RECURSIVE {TREE} SELECT * FROM tree WHERE descendant_id NOT IN (SELECT descendant_id FROM tree WHERE ancestor_id = 1001)")
 def closure_delete(t: Tables) -> DataFrame:
-    return permissions.closure_delete(tree(t), permissions.descendants(tree(t), 1001))
+    return trees.deleted(tree(t), t.collections.filter("id = 1001"))
+
+
+LEAVES = "leaves AS (SELECT (10000 + c_custkey)::INT AS id, 3000 + c_nationkey AS parent_id FROM customer UNION ALL SELECT (90000000 + s_suppkey)::INT, (10000 + (SELECT min(c_custkey) FROM customer) + s_suppkey % (SELECT count(*) FROM customer))::INT FROM supplier)"
+
+
+@query(f"WITH RECURSIVE {LEAVES}, nodes AS (SELECT id, parent_id FROM collections UNION ALL SELECT * FROM leaves), up(ancestor_id, descendant_id, depth) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT n.parent_id, up.descendant_id, up.depth + 1 FROM up JOIN nodes n ON n.id = up.ancestor_id WHERE n.parent_id IS NOT NULL) SELECT * FROM up")
+def closure_grown(t: Tables) -> DataFrame:
+    """The closure after a subtree of two levels was put below each shelf: a node for each customer, and suppliers below customers."""
+    low = t.customer.agg(F.min("c_custkey").alias("low"), F.count("*").alias("n"))
+    firms = t.supplier.crossJoin(F.broadcast(low)).select((90_000_000 + F.col("s_suppkey")).cast("int").alias("id"), (10_000 + F.col("low") + F.col("s_suppkey") % F.col("n")).cast("int").alias("parent_id"))
+    new = t.customer.select((10_000 + F.col("c_custkey")).cast("int").alias("id"), (3000 + F.col("c_nationkey")).alias("parent_id")).union(firms)
+    return trees.inserted(tree(t), new)
+
+
+@query("WITH RECURSIVE nodes AS (SELECT id, CASE WHEN id >= 3000 THEN 1000 + n_regionkey ELSE parent_id END AS parent_id FROM collections LEFT JOIN nation ON id = 3000 + n_nationkey), up(ancestor_id, descendant_id, depth) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT n.parent_id, up.descendant_id, up.depth + 1 FROM up JOIN nodes n ON n.id = up.ancestor_id WHERE n.parent_id IS NOT NULL) SELECT * FROM up")
+def closure_moved(t: Tables) -> DataFrame:
+    """The closure after all shelves were moved from their nations to the regions."""
+    return trees.moved(tree(t), t.nation.select((3000 + F.col("n_nationkey")).alias("id"), (1000 + F.col("n_regionkey")).alias("parent_id")))
+
+
+LINES = "lines AS (SELECT c_custkey AS id, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS parent_id FROM customer)"
+
+
+@query(f"WITH RECURSIVE {LINES}, up(ancestor_id, descendant_id, depth) AS (SELECT id, id, 0 FROM lines UNION ALL SELECT n.parent_id, up.descendant_id, up.depth + 1 FROM up JOIN lines n ON n.id = up.ancestor_id WHERE n.parent_id IS NOT NULL) SELECT * FROM up")
+def reporting_lines(t: Tables) -> DataFrame:
+    """The closure of deep chains: each user reports to the one before in the same department."""
+    return trees.closure(t.customer.selectExpr("c_custkey AS id", "lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS parent_id"))
 
 
 @query(f"""WITH {ME}, a AS (
@@ -153,6 +183,38 @@ def collection_permissions(t: Tables) -> DataFrame:
     return permissions.collection_summary(t, USER, now(), tree(t))
 
 
+CHECKED = """bool_or(can_read) AS can_read, bool_or(can_write) AS can_write, bool_or(can_admin) AS can_admin, array_to_string(list_transform(list_sort(list(DISTINCT k)), lambda x: ['OWNER', 'PUBLIC', {names}][x + 1]), ',') AS sources
+FROM a WHERE (can_read OR can_write OR can_admin) AND (k = 0 OR id NOT IN (SELECT id FROM a WHERE k = 0)) GROUP BY id"""
+DOCUMENT_SOURCES, COLLECTION_SOURCES = "'DEPARTMENT_VISIBILITY', 'USER_CACHE', 'ROLE', 'DEPARTMENT'", "'USER', 'ROLE', 'DEPARTMENT'"
+
+
+@query(f"""WITH RECURSIVE {TREE}, {ME}, b AS (
+  SELECT id AS document_id, 'OWNER' AS source_type, TRUE AS r, TRUE AS w, TRUE AS x FROM files WHERE owner_user_id = {USER} UNION ALL
+  SELECT document_id, 'DIRECT_DOCUMENT_PERMISSION', can_read, can_write, can_admin FROM document_grants WHERE {MINE} UNION ALL
+  SELECT document_id, 'DIRECT_COLLECTION_PERMISSION', can_read, can_write, can_admin FROM collection_documents JOIN collection_grants USING (collection_id) WHERE {MINE}),
+a AS (
+  SELECT id, 0 AS k, TRUE AS can_read, TRUE AS can_write, TRUE AS can_admin FROM files WHERE owner_user_id = {USER} UNION ALL
+  SELECT id, 1, TRUE, FALSE, FALSE FROM files WHERE visibility = 'PUBLIC' UNION ALL
+  SELECT id, 2, TRUE, FALSE, FALSE FROM files f WHERE visibility = 'DEPARTMENT' AND (SELECT department_id FROM users u WHERE u.id = f.owner_user_id) = (SELECT department_id FROM me) UNION ALL
+  SELECT document_id, 3, can_read AND r, can_write AND w, can_admin AND x FROM access_cache JOIN b USING (document_id, source_type) WHERE user_id = {USER} AND NOT invalidated AND {LIVE} UNION ALL
+  SELECT document_id, CASE target_type WHEN 'ROLE' THEN 4 ELSE 5 END, can_read, can_write, can_admin FROM document_grants WHERE {LIVE} AND {REACHED} UNION ALL
+  SELECT c.document_id, CASE target_type WHEN 'ROLE' THEN 4 ELSE 5 END, can_read, can_write, can_admin FROM collection_documents c JOIN tree ON tree.descendant_id = c.collection_id JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE {LIVE} AND {REACHED})
+SELECT id AS document_id, {CHECKED.format(names=DOCUMENT_SOURCES)}""")
+def checked_documents(t: Tables) -> DataFrame:
+    return permissions.checked_documents(t, USER, now(), tree(t))
+
+
+@query(f"""WITH RECURSIVE {TREE}, {ME}, a AS (SELECT x.* FROM (
+  SELECT id, 0 AS k, TRUE AS can_read, TRUE AS can_write, TRUE AS can_admin FROM collections WHERE owner_user_id = {USER} UNION ALL
+  SELECT id, 1, TRUE, FALSE, FALSE FROM collections WHERE visibility = 'PUBLIC' UNION ALL
+  SELECT collection_id, 2, can_read, can_write, can_admin FROM collection_grants WHERE {MINE} UNION ALL
+  SELECT descendant_id, CASE target_type WHEN 'ROLE' THEN 3 ELSE 4 END, can_read, can_write, can_admin FROM tree JOIN collection_grants g ON g.collection_id = tree.ancestor_id WHERE {LIVE} AND {REACHED}) x
+  JOIN collections c ON c.id = x.id AND c.status = 'ACTIVE')
+SELECT id AS collection_id, {CHECKED.format(names=COLLECTION_SOURCES)}""")
+def checked_collections(t: Tables) -> DataFrame:
+    return permissions.checked_collections(t, USER, now(), tree(t))
+
+
 @query(f"""SELECT user_id, document_id, source_type FROM access_cache c WHERE NOT invalidated AND can_read AND {LIVE} AND (
   source_type = 'OWNER' AND EXISTS (SELECT 1 FROM files f WHERE f.id = c.document_id AND f.owner_user_id = c.user_id)
   OR source_type = 'DIRECT_DOCUMENT_PERMISSION' AND EXISTS (SELECT 1 FROM document_grants g WHERE g.document_id = c.document_id AND g.user_id = c.user_id AND g.target_type = 'USER' AND g.can_read AND (g.expires_at IS NULL OR g.expires_at > {AS_OF}))
@@ -271,6 +333,14 @@ def vector_topk_permitted(t: Tables) -> DataFrame:
     return search.capped(near, F.desc("similarity"), F.col("chunk_id")).withColumn("similarity", F.round(F.col("similarity").cast("double"), 4))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id * 1000 AS chunk_id, e.vec_id AS document_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank_no FROM s) SELECT query_id, chunk_id, document_id, round(similarity, 6) AS similarity, rank_no FROM r WHERE rank_no <= 10""")
+def vector_topk_many(t: Tables) -> DataFrame:
+    """The ten nearest of all vectors for each query, which are the vectors whose id is divisible by 100."""
+    queries = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.nearest_many(vectors(t), queries, 10).withColumn("similarity", F.round("similarity", 6))
+
+
 TERMS = ["where", "is", "the", "station", "and", "what", "of", "thing"]
 HITS = ", ".join(f"regexp_matches(lower(chunk_text), '(^|[^a-z0-9]){w}([^a-z0-9]|$)')" for w in TERMS)
 SCOPE = f"{CHUNKS}, scope AS (SELECT chunk_id, document_id, [{HITS}] AS hits FROM chunks WHERE document_id IN (SELECT id FROM readable))"
@@ -537,6 +607,13 @@ def percentiles(t: Tables) -> DataFrame:
     return analytics.percentiles(t.events, "value", "event_type").select("event_type", F.round("p95", 6).alias("p95"), F.round("median", 6).alias("median"), "n")
 
 
+@query("SELECT l_returnflag, round(quantile_disc(l_extendedprice, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def rank_percentiles(t: Tables) -> DataFrame:
+    """percentiles() with a limit that makes each of the three keys one of many rows: all ranks are looked for in cells."""
+    found = quantiles.percentiles(t.lineitem, "l_extendedprice", "l_returnflag", limit=1000)
+    return found.select("l_returnflag", F.round("p95", 6).alias("p95"), F.round("median", 6).alias("median"), "n")
+
+
 @query("SELECT date_trunc('hour', ts) AS bucket, count(*) FILTER (value < 80) AS good, count(*) FILTER (NOT value < 80) AS bad FROM events GROUP BY 1")
 def status_buckets(t: Tables) -> DataFrame:
     return analytics.buckets(t.events.select("ts", (F.col("value") < 80).alias("ok")), "hour")
@@ -547,6 +624,25 @@ def first_steady(t: Tables) -> DataFrame:
     return analytics.first_steady(t.events.selectExpr("user_id AS key", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step", "value < 80 AS ok"), "key")
 
 
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) // 86400000000 AS unit, value < 95 AS ok FROM events), seen AS (SELECT user_id, unit, bool_and(ok) AS ok FROM s GROUP BY ALL),
+ends AS (SELECT user_id, min(unit) AS low, max(unit) AS high, max(unit) FILTER (NOT ok) AS last_bad FROM s GROUP BY user_id), axis AS (SELECT user_id, unnest(range(low, high + 1)) AS unit FROM ends),
+j AS (SELECT a.user_id, a.unit, coalesce(ok, FALSE) AS ok FROM axis a LEFT JOIN seen USING (user_id, unit)),
+w AS (SELECT j.user_id, unit, bool_and(ok) OVER x AS a, count(*) OVER x AS n FROM j JOIN ends e ON e.user_id = j.user_id AND (last_bad IS NULL OR unit > last_bad) WINDOW x AS (PARTITION BY j.user_id ORDER BY unit ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+SELECT user_id, last_bad, steady_from, steady_from - coalesce(last_bad, low - 1) AS recovery_units FROM ends LEFT JOIN (SELECT user_id, min(unit) AS steady_from FROM w WHERE a AND n = 2 GROUP BY user_id) USING (user_id)""")
+def steady_recovery(t: Tables) -> DataFrame:
+    """For each user the first two days in a row with good events alone, after the last bad one; a day without events isn't good."""
+    rows = t.events.select("user_id", "ts", (F.col("value") < 95).alias("ok"))
+    return spine.steady_from(spine.dense(rows, "user_id", 86_400), rows, "user_id", 86_400, 2)
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value < 80 AND lead(value, 1) OVER o < 80 AND lead(value, 2) OVER o < 80 AS hit, lag(event_id) OVER o AS before, lead(event_id, 2) OVER o AS third FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, arg_min(coalesce(before, -1), event_id) AS not_before, min(event_id) AS reached_at, arg_min(third, event_id) AS confirmed_at FROM s WHERE hit GROUP BY user_id""")
+def confirmed_recovery(t: Tables) -> DataFrame:
+    """For each user the first of three good events in a row, the event before it (-1: none) and the one that confirms it."""
+    rows = t.events.select("user_id", F.col("event_id").alias("ts"), (F.col("value") < 80).alias("ok"))
+    return spine.first_confirmed(rows, "user_id").withColumn("not_before", F.coalesce("not_before", F.lit(-1)))
+
+
 @query(f"SELECT max(ts) FILTER (value < 80 AND ts < {EVENTS_NOW}) AS last_good, min(ts) FILTER (NOT value < 80 AND ts >= {EVENTS_NOW}) AS first_bad, min(ts) FILTER (value < 80 AND ts >= {EVENTS_NOW}) AS next_good FROM events")
 def event_anchors(t: Tables) -> DataFrame:
     return analytics.anchors(t.events.select("ts", (F.col("value") < 80).alias("ok")), F.expr(EVENTS_NOW))
@@ -580,10 +676,21 @@ def _aligned(t: Tables, right: str) -> DataFrame:
 
 @query("WITH s AS (SELECT event_type, ts, event_id, floor(value) AS value, lag(floor(value)) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events), i AS (SELECT event_type, ts, CASE WHEN p IS NULL THEN 0 WHEN value >= p THEN value - p ELSE value END AS g FROM s), w AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) + k * INTERVAL 6 HOUR AS moment, g FROM i, (VALUES (1), (2)) AS v(k)) SELECT moment, event_type, sum(g) AS increase FROM w GROUP BY ALL")
 def rate_windows(t: Tables) -> DataFrame:
-    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("at0"), "event_id", F.floor("value").cast("double").alias("value"))
-    grown = rows.withColumn("p", F.expr("lag(value) OVER (PARTITION BY event_type ORDER BY at0, event_id)"))
-    grown = grown.withColumn("increase", F.when(F.col("p").isNull(), 0.0).when(F.col("value") >= F.col("p"), F.col("value") - F.col("p")).otherwise(F.col("value")))
-    return grown.groupBy(F.window("at0", "12 hours", "6 hours"), "event_type").agg(F.sum("increase").alias("increase")).select(F.col("window.end").cast("timestamp_ntz").alias("moment"), "event_type", "increase")
+    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.floor("value").cast("double").alias("value"))
+    return series.rates(rows, "12 hours", "6 hours", "event_type").select(F.col("at").cast("timestamp_ntz").alias("moment"), "event_type", "increase")
+
+
+@query("""WITH s AS (SELECT event_type, ts, event_id, floor(value) AS value, lag(ts) OVER o AS pts, lag(floor(value)) OVER o AS pv FROM events WINDOW o AS (PARTITION BY event_type ORDER BY ts, event_id)),
+w AS (SELECT *, time_bucket(INTERVAL 6 HOUR, ts - INTERVAL 1 MICROSECOND) + k * INTERVAL 6 HOUR AS moment FROM s, (VALUES (1), (2)) AS v(k)),
+g AS (SELECT moment, event_type, count(*) AS n, min(ts) AS a, max(ts) AS b, arg_min(value, (ts, event_id)) AS v0, arg_max(value, (ts, event_id)) AS v1, sum(CASE WHEN pts > moment - INTERVAL 12 HOUR AND value < pv THEN pv ELSE 0 END) AS lost FROM w GROUP BY ALL HAVING count(*) > 1 AND max(ts) > min(ts)),
+x AS (SELECT *, v1 - v0 + lost AS grown, epoch_us(b) / 1e6 - epoch_us(a) / 1e6 AS span, epoch_us(a) / 1e6 - epoch_us(moment - INTERVAL 12 HOUR) / 1e6 AS before, epoch_us(moment) / 1e6 - epoch_us(b) / 1e6 AS after FROM g),
+y AS (SELECT *, span / (n - 1) AS mean, CASE WHEN grown > 0 AND v0 >= 0 THEN span * v0 / grown END AS zero FROM x)
+SELECT moment, event_type, n AS samples, round(grown * (span + least(CASE WHEN before >= mean * 1.1 THEN mean / 2 ELSE before END, zero) + CASE WHEN after >= mean * 1.1 THEN mean / 2 ELSE after END) / span, 4) AS increase,
+  round(grown * (span + least(CASE WHEN before >= mean * 1.1 THEN mean / 2 ELSE before END, zero) + CASE WHEN after >= mean * 1.1 THEN mean / 2 ELSE after END) / span / 43200, 6) AS rate FROM y""")
+def counter_rates(t: Tables) -> DataFrame:
+    rows = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.floor("value").cast("double").alias("value"))
+    found = series.counter_rates(rows, "12 hours", "6 hours", "event_type")
+    return found.select(F.col("at").cast("timestamp_ntz").alias("moment"), "event_type", "samples", F.round("increase", 4).alias("increase"), F.round("rate", 6).alias("rate"))
 
 
 @query("WITH m AS (SELECT date_trunc('day', ts) AS moment, count(*) FILTER (value > 70) AS failed, count(*) AS total FROM events GROUP BY 1) SELECT moment, round(failed / greatest(total, 0.001), 6) AS share FROM m WHERE total >= 20 AND failed / greatest(total, 0.001) > 0.2")

@@ -55,7 +55,7 @@ class CallLimiter(StatefulProcessor):
         self.window = handle.getValueState("window", "opened long, used int")
         self.waiting = handle.getListState("waiting", "at_ms long, call_id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         came = pd.concat(list(rows))
         at = (came["at"].astype("datetime64[us]").astype("int64") // 1000).tolist()
         self.waiting.appendList(list(zip(at, came["call_id"].tolist(), strict=True)))
@@ -63,8 +63,8 @@ class CallLimiter(StatefulProcessor):
             self.handle.registerTimer(t)
         yield pd.DataFrame({"key": [], "call_id": [], "allowed": []}).astype({"key": "int64", "call_id": "int64", "allowed": "bool"})
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        now = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
         held = sorted((int(a), int(c)) for a, c in self.waiting.get()) if self.waiting.exists() else []
         due, rest = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
         opened, used = map(int, self.window.get()) if self.window.exists() else (None, 0)
@@ -109,14 +109,14 @@ class Debounce(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("changes", "at_ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         at = (pd.concat(list(rows))["at"].astype("datetime64[us]").astype("int64") // 1000).tolist()
         self.held.appendList([(t,) for t in at])
         self.handle.registerTimer(min(at) + self.quiet_ms)
         yield self._pushes(key, [])
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
-        now = timers.getCurrentWatermarkInMs()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
         left, pushes = sorted(int(t[0]) for t in self.held.get()) if self.held.exists() else [], []
         while left and left[0] + self.quiet_ms <= now:
             end = left[0] + self.quiet_ms

@@ -47,11 +47,19 @@ DERIVED = {
         o_orderkey % 10 AS worker_id FROM orders""",
     "workers": """SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'STOPPED' WHEN 1 THEN 'IDLE' ELSE 'RUNNING' END AS status,
         CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE TIMESTAMP_NTZ '2001-08-01 23:00:00' END AS last_heartbeat_at, CAST(s_suppkey % 120 AS INT) AS idle_minutes FROM supplier""",
+    "stored_vectors": """SELECT vec_id AS id, vec_id * 1000 AS chunk_id, vec_id AS document_id, vec_id * 10 + CASE WHEN vec_id % 9 = 4 THEN 1 ELSE 2 END AS document_version_id, CASE WHEN vec_id % 13 = 5 THEN 2 ELSE 1 END AS embedding_model_id,
+        CASE WHEN vec_id % 11 = 3 THEN 'STALE' ELSE 'ACTIVE' END AS status, CASE WHEN vec_id % 29 = 7 THEN 32 ELSE 64 END AS dimension, embedding AS vector FROM embeddings""",
+    "models": "SELECT CAST(r_regionkey AS INT) AS id FROM region WHERE r_regionkey BETWEEN 1 AND 3",
+    "uploads": """SELECT c_custkey % 9 AS user_id, concat('upload-', CAST(c_custkey AS STRING)) AS request_key, c_mktsegment AS input_fingerprint, CASE c_custkey % 5 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'CLEANING' ELSE 'IN_PROGRESS' END AS state,
+        concat('o', CAST(c_custkey % 4 AS STRING)) AS owner_token, CASE WHEN c_custkey % 3 = 0 THEN TIMESTAMP_NTZ '2001-08-02 00:04:00' ELSE TIMESTAMP_NTZ '2001-08-01 23:00:00' END AS lease_expires_at,
+        CASE WHEN c_custkey % 7 > 1 THEN concat('k', CAST(c_custkey % 50 AS STRING)) END AS candidate_key, CASE WHEN c_custkey % 7 > 1 THEN TIMESTAMP_NTZ '2001-08-01 00:00:00' + CAST(c_custkey % 30 AS INT) * INTERVAL '1' HOUR END AS candidate_at,
+        CASE WHEN c_custkey % 7 > 1 AND c_custkey % 8 = 0 THEN concat('c', CAST(c_custkey % 6 AS STRING)) END AS cleanup_token, CASE WHEN c_custkey % 7 > 1 AND c_custkey % 8 = 0 THEN TIMESTAMP_NTZ '2001-08-01 22:00:00' + CAST(c_custkey % 4 AS INT) * INTERVAL '1' HOUR END AS cleanup_lease_at,
+        CASE WHEN c_custkey % 5 = 0 THEN c_custkey END AS document_id FROM customer""",
     "attempts": "SELECT l_orderkey AS job_id, l_linenumber AS attempt_no, l_shipdate AS started_at, l_quantity AS seconds, CASE l_returnflag WHEN 'R' THEN 'FAILED' WHEN 'A' THEN 'TIMEOUT' ELSE 'DONE' END AS status FROM lineitem",
 }
 
 #: What each derived table reads.
-NEEDS = {"users": ("customer",), "user_roles": ("users",), "roles": ("region",), "files": ("documents",), "versions": ("documents",), "collections": ("region", "nation"), "collection_documents": ("documents",), "document_grants": ("documents",), "collection_grants": ("collections",), "access_cache": ("documents",), "jobs": ("orders",), "workers": ("supplier",), "attempts": ("lineitem",)}
+NEEDS = {"users": ("customer",), "user_roles": ("users",), "roles": ("region",), "files": ("documents",), "versions": ("documents",), "collections": ("region", "nation"), "collection_documents": ("documents",), "document_grants": ("documents",), "collection_grants": ("collections",), "access_cache": ("documents",), "jobs": ("orders",), "workers": ("supplier",), "attempts": ("lineitem",), "stored_vectors": ("embeddings",), "models": ("region",), "uploads": ("customer",)}
 
 
 class Tables:

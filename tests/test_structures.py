@@ -197,3 +197,31 @@ def test_axes_without_gaps(spark):
         assert (k in confirmed) == (at is not None)
         if at is not None:
             assert (confirmed[k].reached_at, confirmed[k].confirmed_at, confirmed[k].not_before) == (mine[at][0], mine[at + 2][0], mine[at - 1][0] if at else None)
+
+
+def test_uploads_by_hand(spark):
+    from lectern.operators import uploads
+
+    schema = "user_id long, request_key string, input_fingerprint string, state string, owner_token string, lease_expires_at timestamp_ntz, candidate_key string, candidate_at timestamp_ntz, cleanup_token string, cleanup_lease_at timestamp_ntz, document_id long"
+    from datetime import datetime
+
+    past, now, soon = datetime(2024, 1, 1), datetime(2024, 1, 2), datetime(2024, 1, 2, 0, 3)
+    rows = [(1, "a", "f", "IN_PROGRESS", "o1", soon, None, None, None, None, None), (2, "b", "f", "IN_PROGRESS", "o2", past, "k2", past, None, None, None), (3, "c", "f", "COMPLETED", "o3", past, "k3", past, "t", soon, 7)]
+    table, at = spark.createDataFrame(rows, schema), F.lit(now)
+    state = lambda df: {r.request_key: r for r in df.collect()}
+    asked = lambda *x, cols: spark.createDataFrame(list(x), f"user_id long, request_key string, {cols}")
+    out = state(uploads.registered(table, asked((1, "a", "o1", "k1"), (2, "b", "o2", "k9"), cols="owner_token string, candidate_key string"), at))
+    assert (out["a"].candidate_key, out["a"].done) == ("k1", True) and (out["b"].candidate_key, out["b"].done) == ("k2", False) and out["c"].done is None
+    out = state(uploads.completed(table, asked((1, "a", "other", 5, True), (2, "b", "o2", 6, True), cols="owner_token string, document_id long, claimed boolean")))
+    assert (out["a"].state, out["a"].done) == ("IN_PROGRESS", False) and (out["b"].state, out["b"].document_id, out["b"].candidate_key) == ("COMPLETED", 6, None)
+    assert state(uploads.released(table, asked((1, "a", "o1"), cols="owner_token string"), at))["a"].lease_expires_at == now
+    assert [r.request_key for r in uploads.cleanup_targets(table, at, 3600, 10).collect()] == ["b"]  # c is being cleaned
+    taken = uploads.reserved(table, asked((2, "b", "k2", "n", "c2"), (3, "c", "k3", "n", "c3"), cols="candidate_key string, owner_token string, cleanup_token string"), at, 3600)
+    out = state(taken)
+    assert (out["b"].state, out["b"].owner_token, out["b"].done, out["c"].done) == ("CLEANING", "n", True, False)
+    late = state(uploads.completed(taken, asked((2, "b", "o2", 6, False), cols="owner_token string, document_id long, claimed boolean")))
+    assert late["b"].done is False  # the uploader before has lost its claim
+    out = state(uploads.cleaned(taken, asked((2, "b", "c2", True), (3, "c", "c3", True), cols="cleanup_token string, removed boolean"), at))
+    assert (out["b"].state, out["b"].candidate_key, out["b"].cleanup_token) == ("IN_PROGRESS", None, None) and out["c"].candidate_key == "k3"
+    with pytest.raises(ValueError):
+        uploads.cleanup_targets(table, at, 1, 101)

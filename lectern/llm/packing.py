@@ -4,11 +4,11 @@ Each document's tokens give a hashed vector, which a fixed random matrix project
 index of that point orders the documents, so that neighbours on the curve are alike. Documents are laid end to end
 in that order and cut every `length` tokens. Only the very last sequence can hold padding.
 
-Steps: tokenise once into a table in the shared folder (Arrow); find quantiles of the order key over all documents;
-sum tokens by quantile range, which gives each range its first token's place; sort each range on its own and cut.
+Steps: tokenise once into a table in the shared folder (Arrow); find ranges of the order key of about equal numbers of
+tokens, from sums over its first bits; sum tokens by range, which gives each range its first token's place; sort each range on its own and cut.
 The low bits of the order key are a hash of doc_id, so that documents with one and the same point - copies - are
 dealt over ranges like any others, and each range gets a partition of its own. What reaches the driver are three numbers
-a range, at most `max_ranges` of each.
+a range, at most `max_ranges` of each, and a million sums at a time. A long text is held whole by one task.
 
 Defined results: null and empty text have the closing token alone. Repeated rows are packed as often as they occur.
 A null doc_id is packed like any other. An empty table gives an empty result; further columns are ignored.
@@ -189,8 +189,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     width = 2 if _vocabulary_size(path) <= 1 << 16 else 4
     total = coded.agg(F.sum("n_tokens")).first()[0] or 0
     ranges = max(1, min(max_ranges, -(-total // range_tokens)))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = np.array(sorted(coded.agg(F.percentile_approx("place", cuts, 10 * max_ranges)).first()[0] or []) if cuts else [], np.int64)
+    bounds = _bounds(coded, total, ranges)
     seats = _seats(spark, ranges)
 
     @F.pandas_udf("int")
@@ -226,6 +225,33 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     return sorted_.select("part", "doc_id", "n_tokens", "ids").mapInArrow(cut, ", ".join(f"{n} long" for n in names) + ", ids binary")
 
 
+def _bounds(coded: DataFrame, total: int, ranges: int, cells: int = 1 << 20) -> np.ndarray:
+    """Largest place of each range but the last, so that ranges hold about equal numbers of tokens.
+
+    Tokens are summed by the first bits of the place, at most `cells` sums at a time; what holds more than a range's share
+    is summed again by its next bits. A cell that can't be cut further is one place.
+    """
+    share, bits = max(1, total // ranges), DIMS * BITS + TIE_BITS
+    done: list[tuple[int, int]] = []  # the cell's last place, tokens
+    wide: list[int] | None = None  # cells to be cut, of `shift` bits
+    shift = bits
+    while ranges > 1 and (wide is None or wide) and shift > 0:
+        taken = min(shift, max(1, cells.bit_length() - 1 - (len(wide).bit_length() if wide else 0)))
+        rows = coded if wide is None else coded.join(F.broadcast(coded.sparkSession.createDataFrame([(w,) for w in wide], "cell long")), F.shiftright("place", shift) == F.col("cell"), "left_semi")
+        shift -= taken
+        sums = [(r.cell, r.n) for r in rows.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.sum("n_tokens").alias("n")).collect()]
+        wide = [c for c, n in sums if n > share and shift]
+        done += [((c + 1 << shift) - 1, n) for c, n in sums if n <= share or not shift]
+    done.sort()
+    bounds, held = [], 0
+    for last, n in done[:-1]:
+        held += n
+        if held >= share:
+            bounds.append(last)
+            held = 0
+    return np.array(bounds[: ranges - 1], np.int64)
+
+
 def _seats(spark: SparkSession, ranges: int) -> np.ndarray:
     """For each range a number of its own that repartition(ranges, number) hashes to a partition of its own, so that no two ranges share one."""
     numbers = spark.range(ranges * (20 + ranges.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(ranges)).alias("at")).agg(F.min("id").alias("id"))

@@ -210,3 +210,16 @@ def test_token_files_of_odd_rows(spark, nothing):
     hot = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     made = token_files.write_tokens(spark, hot, "byte_bpe_50k.json", 0, shard_tokens=100)
     assert made.count() > 10 and max(r.n_docs for r in made.collect()) < 1000 and token_files.read_tokens(spark, made).count() == 2000
+
+
+def test_packing_ranges_hold_equal_shares(spark):
+    from lectern.llm import packing
+
+    r = np.random.default_rng(2)
+    places = [*(int(x) for x in r.integers(0, 1 << 63, 3000)), *((5 << 40) + int(x) for x in r.integers(0, 1 << 15, 3000)), *[7 << 50] * 50]
+    frame = spark.createDataFrame([(p, 10) for p in places], "place long, n_tokens long")
+    for cells in (1 << 20, 64):
+        bounds = packing._bounds(frame, 10 * len(places), 20, cells)
+        sizes = np.bincount(np.searchsorted(bounds, np.array(places), side="left"), minlength=len(bounds) + 1)
+        assert len(bounds) >= 15 and sorted(set(bounds)) == list(bounds) and sizes.max() <= 2.1 * len(places) / 20
+    assert len(packing._bounds(frame, 10 * len(places), 1)) == 0 and len(packing._bounds(frame.limit(0), 0, 5)) == 0

@@ -16,17 +16,18 @@ of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import BROADCAST_BYTES, ENTRY_BYTES, documents, shared_folder, table, with_hot_keys, written
+from lectern.llm.common import BROADCAST_BYTES, ENTRY_BYTES, documents, new_folder, table, with_hot_keys, written
 
 #: Bits of one block of the filter, an array of 64-bit words.
 BLOCK_BITS, WORD_BITS = 32768, 64
+#: Files that a slice's rows are written to.
+SLICE_FILES = 16
 
 
 def _with_bits(rows: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -85,8 +86,10 @@ def possibly_repeated(rows: DataFrame, key: str, total: int, bits_a_row: int = 1
     if blocks <= a_slice:
         return tested(rows)
     number = F.floor(F.col("block") / a_slice).cast("int")
-    path = f"{shared_folder(spark).rstrip('/')}/lectern/{uuid.uuid4().hex}"
-    _with_bits(rows, key, blocks).select(*rows.columns, number.alias("slice")).write.partitionBy("slice").parquet(path)
+    path = new_folder(spark)
+    # Rows are dealt by slice and a part of the hash, so a slice is SLICE_FILES files, whatever the number of tasks.
+    laid = _with_bits(rows, key, blocks).withColumn("slice", number).repartition("slice", F.pmod(F.col("bit_a"), F.lit(SLICE_FILES)))
+    laid.select(*rows.columns, "slice").write.partitionBy("slice").parquet(path)
     laid = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("slice", T.IntegerType())])).parquet(path)
     return reduce(DataFrame.unionByName, [written(spark, tested(laid.filter(F.col("slice") == i).drop("slice"))) for i in range(-(-blocks // a_slice))])
 

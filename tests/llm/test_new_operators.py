@@ -223,3 +223,19 @@ def test_packing_ranges_hold_equal_shares(spark):
         sizes = np.bincount(np.searchsorted(bounds, np.array(places), side="left"), minlength=len(bounds) + 1)
         assert len(bounds) >= 15 and sorted(set(bounds)) == list(bounds) and sizes.max() <= 2.1 * len(places) / 20
     assert len(packing._bounds(frame, 10 * len(places), 1)) == 0 and len(packing._bounds(frame.limit(0), 0, 5)) == 0
+
+
+def test_slices_are_few_files_and_are_released(spark):
+    from pathlib import Path
+
+    from lectern.llm import common, exact_dedup
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_000, F.col("id")).otherwise(F.col("id") % 500).cast("string").alias("k")).repartition(40)
+    with common.scratch(spark, "slices"):
+        tested = exact_dedup.possibly_repeated(rows, "k", 20_000, max_filter_bytes=3 * 4200)
+        assert tested.count() == 20_000
+        folders = [Path(p.removeprefix("file:").replace("//", "/")) for p in common._tables["slices"]]
+    sliced = [f for f in folders if any(f.glob("slice=*"))]
+    assert sliced and all(len(list(s.glob("*.parquet"))) <= exact_dedup.SLICE_FILES for f in sliced for s in f.glob("slice=*"))
+    common.release(spark, "slices")
+    assert not any(f.exists() for f in folders)

@@ -24,24 +24,31 @@ def check_settings(size: int, overlap: int) -> None:
         raise ValueError(f"size must be positive and overlap within [0, size): {size}, {overlap}")
 
 
-def chunks(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunks(segments: DataFrame, size: int = SIZE, overlap: int = OVERLAP, whole: bool = False) -> DataFrame:
     """ING-01, ING-02, ING-04: fixed windows over segments (document_id, segment_no, text), never across two of them.
 
     Offsets run over the whole document, with one place between segments. All in built-in expressions: the window
-    starts are a sequence, the running offset a window over the segments of one document.
+    starts are a sequence. Where a segment begins follows from the lengths of those before it, which are summed without
+    their texts and joined back. whole: each document is one segment, so that nothing has to be summed and no text is shuffled.
     """
     check_settings(size, overlap)
     step = size - overlap
     n = F.length("text")
-    before = Window.partitionBy("document_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = segments.filter(n > 0).withColumn("base", F.coalesce(F.sum(n + 1).over(before), F.lit(0)))
     last = F.greatest(F.lit(0), F.ceil((n - size) / step)) * step
+    rows = segments.filter(n > 0)
+    if whole:
+        rows = rows.withColumns({"base": F.lit(0).cast("long"), "first": F.lit(0).cast("long")})
+    else:
+        before = Window.partitionBy("document_id").orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
+        summed = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
+        places = rows.select("document_id", "segment_no", (n + 1).alias("places"), (last / step + 1).cast("long").alias("windows"))
+        rows = rows.join(places.select("document_id", "segment_no", summed("places").alias("base"), summed("windows").alias("first")), ["document_id", "segment_no"])
     rows = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))))
     text = F.substring(F.col("text"), (F.col("start") + 1).cast("int"), F.lit(size))
-    rows = rows.select("document_id", "segment_no", text.alias("chunk_text"), (F.col("base") + F.col("start")).alias("char_start"))
+    index = (F.col("first") + F.expr(f"start DIV {step}")).cast("int")
+    rows = rows.select("document_id", "segment_no", text.alias("chunk_text"), (F.col("base") + F.col("start")).alias("char_start"), index.alias("chunk_index"))
     rows = rows.withColumn("char_end", F.col("char_start") + F.length("chunk_text"))
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("segment_no", "char_start")) - 1
-    return rows.withColumns({"chunk_index": index, "token_count": token_count(F.col("chunk_text")), "content_hash": F.sha2("chunk_text", 256)})
+    return rows.select("document_id", "segment_no", "chunk_text", "char_start", "char_end", "chunk_index", token_count(F.col("chunk_text")).alias("token_count"), F.sha2("chunk_text", 256).alias("content_hash"))
 
 
 def restored(parts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import cosine, idf, matches, shortened, similarity, term_pattern
+from lectern.functions.text import cosine, idf, shortened, similarity, term_pattern
 
 MIN_SIMILARITY, FUSED_SIMILARITY, MIN_COVERAGE, BONUS, PER_DOCUMENT = 0.30, 0.45, 0.5, 0.10, 2
 
@@ -124,8 +124,9 @@ def capped(rows: DataFrame, *order: Column, per_document: int = PER_DOCUMENT, li
 
 
 def hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, document_id, hits: which of the terms a chunk's text matches, in order. All that frequencies and coverage need of a text."""
-    return chunks.select("chunk_id", "document_id", F.array(*[matches(F.col("chunk_text"), term_pattern(t)) for t in terms]).alias("hits"))
+    """chunk_id, document_id, hits: which of the terms a chunk's text matches, in order. All that frequencies and coverage need of a text, which is lower-cased once."""
+    found = lambda low: F.array(*[low.rlike(term_pattern(t)) for t in terms])
+    return chunks.select("chunk_id", "document_id", F.element_at(F.transform(F.array(F.lower("chunk_text")), found), 1).alias("hits"))
 
 
 def term_frequencies(rows: DataFrame, terms: list[str]) -> DataFrame:

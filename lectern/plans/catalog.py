@@ -252,7 +252,7 @@ def _role_codes(t: Tables, users: DataFrame) -> DataFrame:
 
 
 def chunks(t: Tables) -> DataFrame:
-    parts = chunking.chunks(t.documents.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("segment_no"), "text"))
+    parts = chunking.chunks(t.documents.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("segment_no"), "text"), whole=True)
     return parts.withColumn("chunk_id", F.col("document_id") * 1000 + F.col("chunk_index"))
 
 

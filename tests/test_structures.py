@@ -225,3 +225,47 @@ def test_uploads_by_hand(spark):
     assert (out["b"].state, out["b"].candidate_key, out["b"].cleanup_token) == ("IN_PROGRESS", None, None) and out["c"].candidate_key == "k3"
     with pytest.raises(ValueError):
         uploads.cleanup_targets(table, at, 1, 101)
+
+
+def test_hashes_encodings_and_sections_over_whole_tables(spark):
+    """The three queries without SQL against brute force over their whole tables."""
+    import hashlib
+    import struct
+
+    from lectern.plans import catalog, lifecycle
+
+    sf = "/root/testdata/sf0.001"
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    out = {r.vec_id: r.vector_hash for r in catalog.QUERIES["vector_hashes"](spark, sf).collect()}
+    assert out == {k: hashlib.sha256(struct.pack(f">{len(v)}f", *v)).hexdigest() for k, v in vectors.items()}
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = set()
+    for d, r in texts.items():
+        for k, at in enumerate(range(0, max(0, -(-(len(r.text) - 1000) // 800)) * 800 + 1, 800) if r.text else ()):
+            v = lifecycle.hashed_encoder([r.text[at : at + 1000]])[0]
+            want.add((d, k, "hashed-8", hashlib.sha256(struct.pack(">8f", *v)).hexdigest()))
+    assert {tuple(r) for r in catalog.QUERIES["encoded_chunks"](spark, sf).select("document_id", "chunk_index", "model", "vector_hash").collect()} == want
+    sections = {}
+    for r in catalog.QUERIES["markdown_sections"](spark, sf).orderBy("document_id", "segment_no").collect():
+        sections.setdefault(r.document_id, []).append(r)
+    for d, r in texts.items():
+        full = f"# {r.source}\n\n## {r.lang}\n{r.text}"
+        assert "\n".join(s.text for s in sections[d]) == full and sections[d][0].text.startswith(f"# {r.source}")
+        assert sections[d][0].title in (r.lang, r.source)
+
+
+def test_chunks_of_whole_documents_and_of_segments_agree(spark):
+    from lectern.operators import chunking
+
+    r = random.Random(3)
+    one = spark.createDataFrame([(i, 0, "x" * r.randint(0, 4000)) for i in range(40)], "document_id long, segment_no int, text string")
+    assert {tuple(x) for x in chunking.chunks(one).collect()} == {tuple(x) for x in chunking.chunks(one, whole=True).collect()}
+    rows = [(i, k, "y" * r.randint(0, 2500)) for i in range(12) for k in range(4)]
+    out = chunking.chunks(spark.createDataFrame(rows, "document_id long, segment_no int, text string"), 700, 100)
+    for d in range(12):
+        at, want = 0, []
+        for _, _, text in sorted(x for x in rows if x[0] == d and x[2]):
+            want += [(at + s, at + min(len(text), s + 700)) for s in range(0, max(0, -(-(len(text) - 700) // 600)) * 600 + 1, 600)]
+            at += len(text) + 1
+        assert [(x.char_start, x.char_end) for x in out.filter(F.col("document_id") == d).orderBy("chunk_index").collect()] == want
+        assert [x.chunk_index for x in out.filter(F.col("document_id") == d).orderBy("chunk_index").collect()] == list(range(len(want)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as fn
-from lectern.operators import indexing, search, uploads
+from lectern.operators import circuit, indexing, outbox, search, uploads
 from lectern.plans.catalog import CHUNKS, READABLE, TREE, chunks, now, query, question_vector, readable
 from lectern.plans.derived import AS_OF, Tables
 
@@ -145,3 +145,142 @@ def vector_round_trip(t: Tables) -> DataFrame:
     squares = F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     unit = fn.normalised(v)
     return t.embeddings.select("vec_id", F.round(squares, 3).alias("squares"), F.round(F.sqrt(squares) * F.get(unit, F.lit(0)), 5).alias("first"))
+
+
+# -- outbox, answers, failures, snapshots
+
+EVENTS_AT = "TIMESTAMP_NTZ '2024-01-15 00:00:00'"
+OUTBOX = f"""SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'PROCESSING' WHEN event_id % 11 = 1 THEN 'DONE' ELSE 'PENDING' END AS status, ts AS occurred_at, ts + CAST(event_id % 5 AS INT) * INTERVAL '1' HOUR AS available_at,
+  CASE WHEN event_id % 3 = 0 THEN ts + CAST(event_id % 700 AS INT) * INTERVAL '1' HOUR END AS lock_expires_at, CAST(event_id % 4 AS INT) AS retry_count, 3 AS max_retry_count FROM events"""
+ANSWERS = f"""SELECT conv_id * 100 + turn AS id, CASE WHEN turn % 3 = 1 THEN 'DONE' ELSE 'PROCESSING' END AS status, {EVENTS_AT} - CAST((conv_id * 37 + turn * 11) % 900 AS INT) * INTERVAL '1' MINUTE AS created_at,
+  CASE WHEN (conv_id + turn) % 4 > 0 THEN concat('c', CAST(conv_id AS STRING)) END AS claim_token, CASE WHEN (conv_id + turn) % 4 > 0 THEN {EVENTS_AT} + CAST(conv_id % 7 - 3 AS INT) * INTERVAL '1' MINUTE END AS claim_lease_until FROM conversations"""
+
+
+def _plain(text: str) -> str:
+    return text.replace("TIMESTAMP_NTZ '", "TIMESTAMP '").replace("AS STRING)", "AS VARCHAR)")
+
+
+def _from(t: Tables, text: str, **tables: DataFrame) -> DataFrame:
+    for name in tables:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return t.spark.sql(text, **tables)
+
+
+def moment() -> Column:
+    return F.expr(EVENTS_AT)
+
+
+@query(f"WITH o AS ({_plain(OUTBOX)}) SELECT row_number() OVER (ORDER BY available_at, occurred_at, id) - 1 AS slot, id, available_at, occurred_at FROM o WHERE status = 'PENDING' AND available_at <= {EVENTS_AT} ORDER BY available_at, occurred_at, id LIMIT 50")
+def claimed_events(t: Tables) -> DataFrame:
+    """STR-02; the slots are the operator's own limit."""
+    return outbox.claimed_events(_from(t, OUTBOX, events=t.events), moment(), 50)
+
+
+@query(f"""WITH o AS ({_plain(OUTBOX)}) SELECT id, lock_expires_at, retry_count + 1 AS retry_count, CASE WHEN retry_count + 1 < max_retry_count THEN 'PENDING' ELSE 'FAILED' END AS next_status, CASE WHEN retry_count + 1 < max_retry_count THEN least(1000 * pow(2, retry_count), 60000)::BIGINT END AS delay_ms
+FROM o WHERE status = 'PROCESSING' AND lock_expires_at <= {EVENTS_AT} ORDER BY lock_expires_at, id LIMIT 200""")
+def recovered_events(t: Tables) -> DataFrame:
+    """STR-29, TOP-07; the batch is the operator's own limit."""
+    return outbox.recovered_events(_from(t, OUTBOX, events=t.events), moment(), 200)
+
+
+@query(f"WITH a AS ({_plain(ANSWERS)}) SELECT row_number() OVER (ORDER BY created_at, id) - 1 AS slot, id, created_at FROM a WHERE status = 'PROCESSING' AND (claim_token IS NULL OR claim_lease_until < {EVENTS_AT}) ORDER BY created_at, id LIMIT 50")
+def claimable_answers(t: Tables) -> DataFrame:
+    """STR-03; the slots are the operator's own limit."""
+    return outbox.claimable_answers(_from(t, ANSWERS, conversations=t.conversations), moment(), 50)
+
+
+FAILED = """SELECT id AS job_id, low * 10 + (id % n) * 10 + id % 2 + 1 AS version_id, retry_count, max_retry_count, id % 3 > 0 AS retryable, created_at AS failed_at, CAST(id % 9 * 1000 AS BIGINT) AS minimum_delay_ms FROM jobs"""
+IN_WORKS = "SELECT id, document_id, CASE WHEN id % 7 < 4 THEN CASE id % 4 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'PARSING' WHEN 2 THEN 'CHUNKED' ELSE 'EMBEDDING' END ELSE status END AS status FROM versions"
+DOCS_NOW = "SELECT id, CASE WHEN id % 5 = 0 THEN 'UPLOADED' ELSE status END AS status, CASE WHEN id % 3 = 0 THEN id * 10 + 1 ELSE current_version_id END AS current_version_id FROM files"
+
+
+@query(f"""WITH d AS (SELECT min(doc_id) AS low, count(*) AS n FROM documents), f AS ({FAILED}, d), v AS ({IN_WORKS}), g AS ({DOCS_NOW}),
+x AS (SELECT f.*, v.document_id, v.status AS vs, g.status AS ds, g.current_version_id AS cur, c.document_id AS cd, c.status AS cs FROM f JOIN v ON v.id = f.version_id JOIN g ON g.id = v.document_id LEFT JOIN v c ON c.id = g.current_version_id),
+y AS (SELECT *, CASE WHEN vs NOT IN ('UPLOADED', 'PARSING', 'CHUNKED', 'EMBEDDING') THEN 'INCONSISTENT' WHEN retryable AND retry_count + 1 < max_retry_count THEN 'RETRY' WHEN cs IS NULL OR cd <> document_id THEN 'INCONSISTENT'
+  WHEN cur <> version_id AND cs = 'INDEXED' AND ds = 'INDEXED' THEN 'FAILED_DOCUMENT_KEPT' WHEN (cur = version_id OR cs = 'FAILED') AND ds IN ('UPLOADED', 'INDEXING', 'FAILED') THEN 'FAILED' ELSE 'INCONSISTENT' END AS outcome FROM x)
+SELECT job_id, outcome, CASE WHEN outcome = 'RETRY' THEN 'PENDING' WHEN outcome LIKE 'FAILED%' THEN 'FAILED' ELSE 'PROCESSING' END AS job_status,
+  CASE WHEN outcome = 'RETRY' THEN failed_at + to_milliseconds(greatest(least(1000 * pow(2, retry_count), 60000)::BIGINT, minimum_delay_ms)) END AS next_retry_at, CASE WHEN outcome LIKE 'FAILED%' THEN 'FAILED' ELSE vs END AS version_status,
+  CASE WHEN outcome = 'FAILED' THEN 'FAILED' ELSE ds END AS document_status, outcome LIKE 'FAILED%' AS vectors_stale, CASE WHEN outcome <> 'INCONSISTENT' THEN CASE WHEN vs IN ('UPLOADED', 'PARSING') THEN '{outbox.STAGES["PARSING"]}' ELSE '{outbox.STAGES["EMBEDDING"]}' END END AS stage_event FROM y""")
+def failure_transitions(t: Tables) -> DataFrame:
+    """STR-26."""
+    span = t.documents.agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    failed = _from(t, FAILED, jobs=t.jobs.crossJoin(F.broadcast(span)))
+    return outbox.failure_transitions(failed, _from(t, IN_WORKS, versions=t.versions), _from(t, DOCS_NOW, files=t.files))
+
+
+PARENTS = {"chunk": ("chunk_id", "SELECT doc_id * 1000 AS id FROM documents WHERE doc_id % 13 <> 5"), "document": ("document_id", "SELECT id FROM files WHERE lang <> 'fr'"), "version": ("document_version_id", "SELECT id FROM versions WHERE status <> 'FAILED'"), "model": ("embedding_model_id", "SELECT id FROM models WHERE id <> 2")}
+
+
+@query(f"""WITH {', '.join(f'{k}s AS ({text})' for k, (_, text) in PARENTS.items()).replace('models AS', 'kinds AS').replace('versions AS', 'kept AS').replace('documents AS', 'docs AS')},
+m AS (SELECT v.id, list_filter([CASE WHEN v.chunk_id NOT IN (SELECT id FROM chunks) THEN 'chunk' END, CASE WHEN v.document_id NOT IN (SELECT id FROM docs) THEN 'document' END, CASE WHEN v.document_version_id NOT IN (SELECT id FROM kept) THEN 'version' END, CASE WHEN v.embedding_model_id NOT IN (SELECT id FROM kinds) THEN 'model' END], lambda x: x IS NOT NULL) AS gone FROM stored_vectors v)
+SELECT id, array_to_string(gone, ',') AS missing FROM m WHERE len(gone) > 0""")
+def orphaned_vectors(t: Tables) -> DataFrame:
+    """JOIN-06: four parents, of each of which some are gone."""
+    chunks_ = t.documents.filter("doc_id % 13 <> 5").selectExpr("doc_id * 1000 AS chunk_id")
+    return outbox.orphaned(t.stored_vectors, chunks_, t.files.filter("lang <> 'fr'"), t.versions.filter("status <> 'FAILED'"), t.models.filter("id <> 2"))
+
+
+@query(f"""WITH o AS ({_plain(OUTBOX)}), a AS ({_plain(ANSWERS)}), w AS (SELECT CASE status WHEN 'RUNNING' THEN 'ACTIVE' ELSE status END AS status, last_heartbeat_at FROM workers), j AS (SELECT *, status = 'PENDING' AND (next_retry_at IS NULL OR next_retry_at <= {AS_OF}) AS due FROM jobs)
+SELECT (SELECT count(*) FROM j WHERE due) AS claimable_jobs, (SELECT count(*) FROM j WHERE status = 'PENDING' AND next_retry_at > {AS_OF}) AS delayed_jobs, (SELECT count(*) FROM j WHERE status = 'PROCESSING') AS processing_jobs, (SELECT min(coalesce(next_retry_at, created_at)) FROM j WHERE due) AS oldest_job_at,
+  (SELECT count(*) FROM w WHERE status IN ('ACTIVE', 'IDLE') AND last_heartbeat_at > TIMESTAMP '2001-08-01 22:30:00') AS active_workers, (SELECT count(*) FROM a WHERE status = 'PROCESSING') AS processing_answers, (SELECT min(created_at) FROM a WHERE status = 'PROCESSING') AS oldest_answer_at,
+  (SELECT count(*) FROM o WHERE status = 'PENDING' AND available_at <= {AS_OF} + INTERVAL '8200' DAY) AS claimable_events, (SELECT count(*) FROM o WHERE status = 'PROCESSING') AS processing_events, (SELECT min(available_at) FROM o WHERE status = 'PENDING' AND available_at <= {AS_OF} + INTERVAL '8200' DAY) AS oldest_event_at""")
+def operations_snapshot(t: Tables) -> DataFrame:
+    """AGG-16. The outbox's clock runs some years ahead of that of the jobs, so its times are set back."""
+    back = lambda c: F.col(c) - F.expr("INTERVAL '8200' DAY")
+    events = _from(t, OUTBOX, events=t.events).withColumn("available_at", back("available_at"))
+    workers = t.workers.withColumn("status", F.when(F.col("status") == "RUNNING", "ACTIVE").otherwise(F.col("status")))
+    out = outbox.operations(t.jobs, workers, _from(t, ANSWERS, conversations=t.conversations), events, now(), F.expr("TIMESTAMP_NTZ '2001-08-01 22:30:00'"))
+    return out.withColumn("oldest_event_at", F.col("oldest_event_at") + F.expr("INTERVAL '8200' DAY"))
+
+
+@query(f"""SELECT (SELECT count(*) FROM files WHERE status <> 'DELETED') AS documents, (SELECT count(*) FROM files WHERE status = 'INDEXED') AS indexed, (SELECT count(*) FROM files WHERE status IN ('UPLOADED', 'INDEXING')) AS pending_documents, (SELECT count(*) FROM jobs WHERE status = 'PENDING') AS pending_jobs,
+  (SELECT count(*) FROM jobs WHERE status = 'PROCESSING') AS processing_jobs, (SELECT count(*) FROM jobs WHERE status = 'FAILED') AS failed_jobs, (SELECT round(avg(seconds * 1000))::BIGINT FROM attempts WHERE status = 'DONE') AS mean_ms, (SELECT count(*) FROM workers WHERE status IN ('RUNNING', 'IDLE')) AS active_workers, (SELECT count(*) FROM workers) AS workers,
+  (SELECT count(*) FROM events WHERE event_type = 'search' AND ts > {EVENTS_AT} - INTERVAL '24' HOUR) AS recent_searches""")
+def dashboard(t: Tables) -> DataFrame:
+    """AGG-14: all parts."""
+    workers = t.workers.withColumn("status", F.when(F.col("status") == "RUNNING", "ACTIVE").otherwise(F.col("status")))
+    return outbox.dashboard(t.files, t.jobs, t.attempts, workers, t.events.filter("event_type = 'search'").withColumnRenamed("ts", "created_at"), moment())
+
+
+@query(f"""WITH RECURSIVE {TREE}, {READABLE}, d AS (SELECT min(doc_id) AS low, count(*) AS n FROM documents), q AS (SELECT conv_id * 100 + turn AS query_id, conv_id, turn, text, low, n FROM conversations, d),
+r AS (SELECT query_id, k AS rank_no, (low + (query_id * 5 + k * 11) % n) * 1000 AS chunk_id, low + (query_id * 5 + k * 11) % n AS document_id FROM q, range(1, 5) AS g(k)),
+a AS (SELECT query_id, text AS answer, CASE WHEN turn % 5 = 4 THEN NULL ELSE [low + (query_id * 5 + 11) % n, low + query_id % n] END AS sources FROM q WHERE turn % 2 = 1),
+c AS (SELECT query_id, rank_no AS citation_order, chunk_id, 'p' || rank_no AS quote, rank_no * 2 AS page_no, 1.0 / rank_no AS score, document_id FROM r WHERE rank_no <= 2 AND query_id % 3 > 0),
+s AS (SELECT query_id, string_agg(rank_no || ':' || chunk_id, ',' ORDER BY rank_no) AS results FROM r WHERE document_id IN (SELECT id FROM readable) GROUP BY 1),
+k AS (SELECT query_id, string_agg('[' || citation_order || ']' || chunk_id, ',' ORDER BY citation_order) AS citations, bool_and(document_id IN (SELECT id FROM readable)) AS ok FROM c GROUP BY 1),
+b AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(sources) AS x FROM a) WHERE x NOT IN (SELECT id FROM readable)),
+z AS (SELECT q.*, s.results, a.answer, k.citations, a.answer IS NOT NULL AND (a.sources IS NULL OR q.query_id IN (SELECT query_id FROM b) OR NOT coalesce(k.ok, TRUE)) AS withheld FROM q LEFT JOIN s USING (query_id) LEFT JOIN a USING (query_id) LEFT JOIN k USING (query_id))
+SELECT conv_id, query_id, results, CASE WHEN NOT withheld THEN sha256(answer) END AS answer_hash, CASE WHEN NOT withheld THEN citations END AS citations, withheld FROM z""")
+def conversation_turns(t: Tables) -> DataFrame:
+    """JOIN-15: turns with results, answers and citations under the present rights."""
+    span = t.documents.agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
+    q = t.conversations.crossJoin(F.broadcast(span)).selectExpr("conv_id * 100 + turn AS query_id", "conv_id", "turn", "text", "low", "n")
+    r = q.selectExpr("*", "explode(sequence(1, 4)) AS rank_no").selectExpr("query_id", "rank_no", "(low + (query_id * 5 + rank_no * 11) % n) * 1000 AS chunk_id", "low + (query_id * 5 + rank_no * 11) % n AS document_id")
+    a = q.filter("turn % 2 = 1").selectExpr("query_id", "text AS answer", "CASE WHEN turn % 5 = 4 THEN NULL ELSE array(low + (query_id * 5 + 11) % n, low + query_id % n) END AS sources")
+    c = r.filter("rank_no <= 2 AND query_id % 3 > 0").selectExpr("query_id", "rank_no AS citation_order", "chunk_id", "concat('p', rank_no) AS quote", "rank_no * 2 AS page_no", "1.0D / rank_no AS score", "document_id")
+    out = outbox.conversation_turns(q.select("query_id", "conv_id", "turn", "text"), r, a, c, readable(t))
+    joined = lambda name, f: F.array_join(F.transform(name, f), ",")
+    return out.select(
+        "conv_id", "query_id", joined("results", lambda x: F.concat(x["rank_no"].cast("string"), F.lit(":"), x["chunk_id"].cast("string"))).alias("results"), F.sha2("answer", 256).alias("answer_hash"),
+        joined("citations", lambda x: F.concat(x["label"], x["chunk_id"].cast("string"))).alias("citations"), "withheld",
+    )
+
+
+@query("""WITH k AS (SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_name LIMIT 10 OFFSET 20)
+SELECT concat('{"content":[', (SELECT string_agg(concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}'), ',' ORDER BY n_name) FROM k), '],"page":2,"size":10,"totalElements":', (SELECT count(*) FROM nation), ',"totalPages":', (SELECT ceil(count(*) / 10)::INT FROM nation), ',"first":false,"last":true}') AS value""")
+def page_envelope(t: Tables) -> DataFrame:
+    """SRC-24: the third page of nations by name; the page is the feature."""
+    return outbox.envelope(t.nation.select("n_nationkey", "n_name", "n_regionkey"), [F.asc("n_name")], 2, 10)
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS call_id, epoch_us(ts) // 1000 AS ms, value > 60 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS nth FROM events),
+r AS (SELECT key, 0::BIGINT AS call_id, 0::BIGINT AS nth, FALSE AS admitted, 'CLOSED' AS seen, 0::BIGINT AS wait_ms, 'CLOSED' AS state, 0 AS failures, 0::BIGINT AS until FROM (SELECT DISTINCT key FROM c) UNION ALL
+  SELECT key, call_id, nth, ok, CASE WHEN NOT ok THEN 'OPEN' WHEN state = 'CLOSED' THEN 'CLOSED' ELSE 'HALF_OPEN' END, CASE WHEN ok THEN 0 ELSE until - ms END,
+    CASE WHEN NOT ok THEN 'OPEN' WHEN bad AND (state <> 'CLOSED' OR failures + 1 >= 3) THEN 'OPEN' ELSE 'CLOSED' END, CASE WHEN ok AND bad AND state = 'CLOSED' AND failures + 1 < 3 THEN failures + 1 ELSE 0 END, CASE WHEN ok AND bad AND (state <> 'CLOSED' OR failures + 1 >= 3) THEN ms + 172800000 ELSE until END
+  FROM (SELECT c.*, r.state, r.failures, r.until, r.state <> 'OPEN' OR c.ms >= r.until AS ok FROM r JOIN c ON c.key = r.key AND c.nth = r.nth + 1))
+SELECT key, call_id, admitted, seen AS state, wait_ms FROM r WHERE nth > 0""")
+def circuit_breaker(t: Tables) -> DataFrame:
+    """ING-09: each user's events as calls of no length; three failures in a row open a circuit for two days."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    calls = t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("call_id"), ms.alias("at_ms"), ms.alias("end_ms"), F.when(F.col("value") > 60, "FAILURE").otherwise("SUCCESS").alias("outcome"))
+    return circuit.replayed(calls, 3, 172_800_000)

@@ -269,3 +269,23 @@ def test_chunks_of_whole_documents_and_of_segments_agree(spark):
             at += len(text) + 1
         assert [(x.char_start, x.char_end) for x in out.filter(F.col("document_id") == d).orderBy("chunk_index").collect()] == want
         assert [x.chunk_index for x in out.filter(F.col("document_id") == d).orderBy("chunk_index").collect()] == list(range(len(want)))
+
+
+def test_circuit_with_calls_under_way(spark):
+    from lectern.operators import circuit
+
+    rows = [
+        # key, call, start, end, outcome
+        ("a", 1, 0, 10, "FAILURE"), ("a", 2, 5, 90, "SUCCESS"), ("a", 3, 6, 20, "FAILURE"),  # two failures: open at 20 until 120
+        ("a", 4, 50, 60, "SUCCESS"),  # refused
+        ("a", 5, 120, 300, "FAILURE"),  # the probe; call 2's late success changed nothing
+        ("a", 6, 130, 140, "SUCCESS"),  # refused while it probes
+        ("a", 7, 300, 310, "SUCCESS"),  # refused: the probe's end comes first and opens until 400
+        ("a", 8, 400, 410, "RELEASED"), ("a", 9, 410, 420, "OTHER_FAILURE"),  # a probe without result, then one whose failure isn't the provider's
+        ("a", 10, 421, 430, "FAILURE"), ("a", 11, 431, 432, "SUCCESS"), ("a", 12, 433, 434, "FAILURE"), ("a", 13, 436, 437, "SUCCESS"),
+        ("b", 14, 50, 50, "FAILURE"), ("b", 15, 50, 50, "FAILURE"), ("b", 16, 50, 50, "FAILURE"), (None, 17, 1, 2, "SUCCESS"),
+    ]
+    out = {r.call_id: (r.admitted, r.state, r.wait_ms) for r in circuit.replayed(spark.createDataFrame(rows, "key string, call_id long, at_ms long, end_ms long, outcome string"), 2, 100).collect()}
+    want = {k: (True, "CLOSED", 0) for k in (1, 2, 3, 10, 11, 12, 13, 14, 15, 17)}
+    want |= {4: (False, "OPEN", 70), 5: (True, "HALF_OPEN", 0), 6: (False, "HALF_OPEN", 1000), 7: (False, "OPEN", 100), 8: (True, "HALF_OPEN", 0), 9: (True, "HALF_OPEN", 0), 16: (False, "OPEN", 100)}
+    assert out == want

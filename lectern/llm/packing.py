@@ -32,7 +32,9 @@ from lectern.llm.token_counts import byte_alphabet
 
 DIMS, BITS, BUCKETS = 4, 12, 256
 TIE_BITS = 15
-MEMO = 600_000
+MEMO = 400_000
+#: Documents that are cut at a time.
+CUT_ROWS = 500
 #: Characters for which Python's lower() and the pattern's classes were compared with the library's one by one.
 UNPROVEN = r"[^\x00-\x1b\x20-ɏ‐-⁞₠-₿]"
 # Fixed value: the pattern by which this kind of vocabulary splits text; white space is dropped.
@@ -204,7 +206,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0
-        for batch in batches:
+        encoder.cache_clear()  # texts are done; their memos would only take memory beside the ids
+        for batch in (b.slice(k, CUT_ROWS) for b in batches for k in range(0, b.num_rows, CUT_ROWS)):
             rows: list[tuple] = []
             for p, doc, n, ids in zip(*(batch.column(i) for i in range(4)), strict=True):
                 if part != p.as_py():

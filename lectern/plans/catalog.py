@@ -29,7 +29,7 @@ def query(oracle: str | None = None):  # noqa: ANN201
     """Registers a query under its function's name; oracle may name base and derived tables."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables.of(spark, sf_dir))
         if oracle:
             SQL[f.__name__] = sql(oracle)
         return f
@@ -784,7 +784,7 @@ def json_rows(t: Tables) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permission-filtered hybrid retrieval."""
-    return hybrid_fusion(Tables(spark, sf_dir))
+    return hybrid_fusion(Tables.of(spark, sf_dir))
 
 
 from lectern.plans import lifecycle as _more  # noqa: E402, F401  registers its queries here

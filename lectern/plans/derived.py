@@ -62,12 +62,23 @@ DERIVED = {
 NEEDS = {"users": ("customer",), "user_roles": ("users",), "roles": ("region",), "files": ("documents",), "versions": ("documents",), "collections": ("region", "nation"), "collection_documents": ("documents",), "document_grants": ("documents",), "collection_grants": ("collections",), "access_cache": ("documents",), "jobs": ("orders",), "workers": ("supplier",), "attempts": ("lineitem",), "stored_vectors": ("embeddings",), "models": ("region",), "uploads": ("customer",)}
 
 
+_known: dict[tuple[str, str], Tables] = {}
+
+
 class Tables:
     """Base and derived tables of a data folder, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir, self.known = spark, sf_dir, {}
 
+    @staticmethod
+    def of(spark: SparkSession, sf_dir: str) -> Tables:
+        """The tables of a folder as the session knows them: a folder's files are listed and their schemas read once, as a catalog does. Files that change need Tables() anew."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _known:
+            _known[key] = Tables(spark, sf_dir)
+        return _known[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

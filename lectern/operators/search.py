@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -124,9 +125,16 @@ def capped(rows: DataFrame, *order: Column, per_document: int = PER_DOCUMENT, li
 
 
 def hits(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, document_id, hits: which of the terms a chunk's text matches, in order. All that frequencies and coverage need of a text, which is lower-cased once."""
-    found = lambda low: F.array(*[low.rlike(term_pattern(t)) for t in terms])
-    return chunks.select("chunk_id", "document_id", F.element_at(F.transform(F.array(F.lower("chunk_text")), found), 1).alias("hits"))
+    """chunk_id, document_id, hits: which of the terms a chunk's text matches, in order. All that frequencies and coverage need of a text.
+
+    The text is lower-cased and cut into its words of a-z and 0-9 once; a term that is such a word is looked up among them - the same as
+    its pattern, which wants it free of other such characters - and any other term is a pattern over the text.
+    """
+    word = re.compile("[a-z0-9]+").fullmatch
+    found = lambda x: F.array(*[F.array_contains(x["words"], t) if word(t) else x["low"].rlike(term_pattern(t)) for t in terms])
+    low = F.lower("chunk_text")
+    parts = F.transform(F.array(low), lambda x: F.struct(x.alias("low"), F.split(x, "[^a-z0-9]+").alias("words")))
+    return chunks.select("chunk_id", "document_id", F.element_at(F.transform(parts, found), 1).alias("hits"))
 
 
 def term_frequencies(rows: DataFrame, terms: list[str]) -> DataFrame:

@@ -233,18 +233,9 @@ def admin_users(t: Tables) -> DataFrame:
     return t.users.filter((F.col("status") != "DELETED") & permissions.contains("00001", "name", "email")).orderBy("name", "id").select("id", "name", "email", "status").limit(20)
 
 
-@query("SELECT u.id, string_agg(r.code, ',' ORDER BY r.code) AS codes FROM users u JOIN user_roles x ON x.user_id = u.id JOIN roles r ON r.id = x.role_id WHERE u.id BETWEEN 10 AND 60 GROUP BY u.id")
-def user_role_codes(t: Tables) -> DataFrame:
-    return _role_codes(t, t.users.filter("id BETWEEN 10 AND 60"))
-
-
 @query("SELECT u.id, string_agg(r.code, ',' ORDER BY r.code) AS codes FROM users u JOIN user_roles x ON x.user_id = u.id JOIN roles r ON r.id = x.role_id GROUP BY u.id")
 def all_user_role_codes(t: Tables) -> DataFrame:
-    return _role_codes(t, t.users)
-
-
-def _role_codes(t: Tables, users: DataFrame) -> DataFrame:
-    rows = users.join(t.user_roles, F.col("user_id") == F.col("id")).select("user_id", "role_id").join(F.broadcast(t.roles), F.col("role_id") == F.col("id"))
+    rows = t.users.join(t.user_roles, F.col("user_id") == F.col("id")).select("user_id", "role_id").join(t.roles, F.col("role_id") == F.col("id"))
     return rows.groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes"))
 
 
@@ -354,7 +345,8 @@ def scoped_hits(t: Tables, permitted: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {TREE}, {READABLE}, {SCOPE}, {WEIGHTS} SELECT ord::INT AS ord, term, matched FROM f UNION ALL SELECT 0, NULL, (SELECT count(*) FROM scope)")
 def term_frequency(t: Tables) -> DataFrame:
-    return search.term_frequencies(scoped_hits(t, readable(t)), fn.query_terms(QUESTION))
+    """The permitted ids are a table first: Spark knows its size and sends it to the texts, if it is small, and not the texts through a shuffle."""
+    return search.term_frequencies(scoped_hits(t, cut(readable(t))), fn.query_terms(QUESTION))
 
 
 def _covered(t: Tables, permitted: DataFrame) -> DataFrame:
@@ -521,12 +513,6 @@ def conflict_classification(t: Tables) -> DataFrame:
     return queues.classify_writes(t.documents.filter("doc_id % 3 > 0").selectExpr("doc_id AS k", "source AS payload"), rows, "k", "payload")
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id % 2 = 0 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY user_id")
-def insert_absent(t: Tables) -> DataFrame:
-    target = t.customer.filter("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
-    return queues.insert_absent(target, t.events.filter("user_id % 2 = 0").select("user_id", "event_id"), "user_id")
-
-
 @query("SELECT user_id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY user_id")
 def insert_all_absent(t: Tables) -> DataFrame:
     target = t.customer.filter("c_nationkey < 5").select(F.col("c_custkey").alias("user_id"))
@@ -659,18 +645,9 @@ def ledger_reconcile(t: Tables) -> DataFrame:
     return analytics.reconcile_ledger(t.orders.selectExpr("o_orderkey AS request_id", "o_orderstatus <> 'F' AS acked"), stored)
 
 
-@query("WITH a AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS left_value FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS right_value FROM events WHERE event_type <> 'click' AND user_id % 3 = 0 GROUP BY 1) SELECT bucket, left_value, right_value FROM a FULL JOIN b USING (bucket)")
-def align_series(t: Tables) -> DataFrame:
-    return _aligned(t, "event_type <> 'click' AND user_id % 3 = 0")
-
-
 @query("WITH a AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS left_value FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT date_trunc('hour', ts) AS bucket, round(sum(value), 4) AS right_value FROM events WHERE event_type <> 'click' GROUP BY 1) SELECT bucket, left_value, right_value FROM a FULL JOIN b USING (bucket)")
 def align_all_series(t: Tables) -> DataFrame:
-    return _aligned(t, "event_type <> 'click'")
-
-
-def _aligned(t: Tables, right: str) -> DataFrame:
-    both = analytics.align(t.events.filter("event_type = 'click'").select("ts", "value"), t.events.filter(right).select("ts", "value"), "hour")
+    both = analytics.align(t.events.filter("event_type = 'click'").select("ts", "value"), t.events.filter("event_type <> 'click'").select("ts", "value"), "hour")
     return both.select("bucket", F.round("left_value", 4).alias("left_value"), F.round("right_value", 4).alias("right_value"))
 
 

@@ -766,3 +766,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from lectern.plans import lifecycle as _more  # noqa: E402, F401  registers its queries here
 from lectern.plans import contracts as _contracts  # noqa: E402, F401
+from lectern.plans import storage as _storage  # noqa: E402, F401

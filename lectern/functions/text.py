@@ -18,7 +18,7 @@ STOP_WORDS = frozenset("뭐 뭐야 어떻게 어디서 어느 어디 무슨 언
 def query_terms(question: str | None) -> list[str]:
     """FN-04: content words of a question, in order, each once."""
     found: dict[str, None] = {}
-    for token in re.findall(r"[^\s?!.,()]+", (question or "").lower()):
+    for token in re.findall(r"[^\s?!.,()]+", (question or "").lower()):  # a fixed value, as are the quotes: what parts words of a question
         word = token.strip("'\"`")
         word = next((word[: -len(p)] for p in PARTICLES if word.endswith(p) and len(word) - len(p) >= 2), word)
         if len(word) >= 2 and word not in STOP_WORDS:
@@ -29,7 +29,7 @@ def query_terms(question: str | None) -> list[str]:
 def term_pattern(term: str) -> str:
     """FN-05: regular expression of a term; a word of a-z and 0-9 must stand free of other such characters."""
     safe = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", term)
-    return f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)" if re.fullmatch("[a-z0-9]+", term) else safe
+    return f"(^|[^a-z0-9]){safe}([^a-z0-9]|$)" if re.fullmatch("[a-z0-9]+", term) else safe  # a fixed value: what a word must be free of
 
 
 def matches(text: Column, pattern: str) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from lectern.functions.text import token_count
 
 SIZE, OVERLAP = 1000, 200
-FENCE, HEADING = re.compile(r" {0,3}(`{3,}|~{3,})(.*)"), re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*")
 
 
 def check_settings(size: int, overlap: int) -> None:
@@ -118,6 +117,34 @@ def garbled(text) -> object:
     return (F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))) > F.length(text) * 0.05
 
 
+def unindented(line: str) -> str | None:
+    """The line behind at most three blanks, as block structure has it; None if it is indented further."""
+    rest = line.lstrip(" ")
+    return rest if len(line) - len(rest) <= 3 else None
+
+
+def fence_of(line: str) -> tuple[str, str] | None:
+    """The marks of a code fence - three or more back ticks or tildes - and what follows them."""
+    rest = unindented(line) or ""
+    if rest[:1] not in ("`", "~"):
+        return None
+    after = rest.lstrip(rest[0])
+    size = len(rest) - len(after)
+    return (rest[:size], after) if size >= 3 else None
+
+
+def heading_of(line: str) -> tuple[int, str] | None:
+    """Level and text of a heading that begins with one to six number signs and a blank; signs at its end, behind a blank, close it."""
+    rest = unindented(line) or ""
+    after = rest.lstrip("#")
+    level = len(rest) - len(after)
+    if not 1 <= level <= 6 or after and after[0] not in " \t":
+        return None
+    text = after.strip(" \t")
+    open_ = text.rstrip("#")
+    return level, open_.rstrip(" \t") if open_ != text and open_[-1:] in (" ", "\t") else text
+
+
 def markdown_sections(text: str) -> Iterator[tuple[str | None, str, str]]:
     """SRC-08, SRC-09: title, heading path (JSON) and text of each section of a Markdown text.
 
@@ -132,18 +159,18 @@ def markdown_sections(text: str) -> Iterator[tuple[str | None, str, str]]:
             yield title, json.dumps({"headingPath": [h for _, h in trail], "headingLevel": trail[-1][0] if trail else 0}, ensure_ascii=False), "\n".join(lines)
 
     for line in text.split("\n"):
-        mark = FENCE.fullmatch(line)
+        mark = fence_of(line)
         if fence:
             body = True
-            if mark and mark[1].startswith(fence) and not mark[2].strip():
+            if mark and mark[0].startswith(fence) and not mark[1].strip():
                 fence = None
         elif mark:
-            fence, body = mark[1], True
-        elif (head := HEADING.fullmatch(line)) and (name := (head[2] or "").strip()) and name.strip("#"):
+            fence, body = mark[0], True
+        elif (head := heading_of(line)) and (name := head[1]) and name.strip("#"):
             if body:
                 yield from done()
                 lines, body = [], False
-            title, level = name, len(head[1])
+            title, level = name, head[0]
             while trail and trail[-1][0] >= level:
                 trail.pop()
             trail.append((level, name))

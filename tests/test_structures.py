@@ -289,3 +289,13 @@ def test_circuit_with_calls_under_way(spark):
     want = {k: (True, "CLOSED", 0) for k in (1, 2, 3, 10, 11, 12, 13, 14, 15, 17)}
     want |= {4: (False, "OPEN", 70), 5: (True, "HALF_OPEN", 0), 6: (False, "HALF_OPEN", 1000), 7: (False, "OPEN", 100), 8: (True, "HALF_OPEN", 0), 9: (True, "HALF_OPEN", 0), 16: (False, "OPEN", 100)}
     assert out == want
+
+
+@pytest.mark.parametrize(
+    ("line", "fence", "heading"),
+    [("# A #", None, (1, "A")), ("   ## b ##c", None, (2, "b ##c")), ("    # code", None, None), ("#no", None, None), ("####### x", None, None), ("#", None, (1, "")), ("```py", ("```", "py"), None), (" ~~~~", ("~~~~", ""), None), ("``", None, None), ("# x##", None, (1, "x##")), ("#\tx ## ", None, (1, "x"))],
+)
+def test_lines_of_markdown(line, fence, heading):
+    from lectern.operators import chunking
+
+    assert (chunking.fence_of(line), chunking.heading_of(line)) == (fence, heading)

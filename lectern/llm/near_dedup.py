@@ -19,7 +19,8 @@ tables; no links reach the driver.
 
 Defined results: null text, or text without words, has no shingles and is linked with nothing. With fewer words than
 `n` the whole sequence is one shingle. Rows of the same doc_id, or of none, are documents of their own; a null doc_id
-counts as the largest. Repeated rows are one class. An empty table gives an empty result; further columns are ignored.
+counts as the largest. Repeated rows are one class. An empty table gives an empty result; further columns are ignored. A very long text is held whole,
+with some 20 bytes for each of its words, by the tasks that read or verify it.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Windows and segments are identified by 64-bit hashes of all their bytes.
 Defined results: null text is empty; texts under `length` bytes keep all. Earlier is a smaller doc_id, then an earlier
 start; a null doc_id comes last. Rows of the same doc_id, or of none, are documents of their own in the order of the
 input; each loses bytes only by its own spans.
-An empty table gives an empty result; further columns are ignored.
+An empty table gives an empty result; further columns are ignored. A very long text is held whole by one task, with about
+55 bytes for each of its own (one of 20 MB took 1.1 GB).
 """
 
 from __future__ import annotations

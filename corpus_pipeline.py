@@ -6,7 +6,7 @@ the tables that earlier stages made there for themselves, but for those that its
 one stage's tables at a time.
 
 For every stage: a null text is empty; rows are judged one by one, also where they share a doc_id or have none; an empty
-table gives an empty result; further columns, whatever their names, are carried to the last stage.
+table gives an empty result; further columns, whatever their names, are carried to the last stage. A very long text is held whole by one task at a time.
 """
 
 from __future__ import annotations

@@ -30,10 +30,8 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[str], values: li
     laid = written(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftrightunsigned("__at", PART_BITS)))
     key, value = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("k")]), F.struct(*values)
     sample = F.struct(key.alias("key"), value.alias("value"))
-    last = laid.groupBy("__part").agg(F.max_by(sample, "__at").alias("__edge"))
-    parts = sorted(r["__part"] for r in last.select("__part").collect())
-    after = rows.sparkSession.createDataFrame(list(zip(parts, parts[1:], strict=False)), "__part long, __next long")
-    edges = last.join(F.broadcast(after), "__part").select(F.col("__next").alias("__part"), "__edge")
+    last = laid.groupBy("__part").agg(F.max_by(sample, "__at").alias("__last"))  # a row a range
+    edges = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__edge"))
     near = F.lag(sample).over(Window.partitionBy("__part").orderBy("__at"))
     joined = laid.withColumn("__near", near).join(F.broadcast(edges), "__part", "left").withColumn("__near", F.coalesce("__near", "__edge"))
     return joined.withColumn("previous", F.when(F.col("__near.key").eqNullSafe(key), F.col("__near.value"))).select(*rows.columns, "previous")

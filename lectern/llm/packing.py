@@ -8,7 +8,7 @@ Steps: tokenise once into a table in the shared folder (Arrow); find ranges of t
 tokens, from sums over its first bits; sum tokens by range, which gives each range its first token's place; sort each range on its own and cut.
 The low bits of the order key are a hash of doc_id, so that documents with one and the same point - copies - are
 dealt over ranges like any others, and each range gets a partition of its own. What reaches the driver are three numbers
-a range, at most `max_ranges` of each, and a million sums at a time. A long text is held whole by one task.
+a range, at most `max_ranges` of each, and 2**18 sums at a time. A long text is held whole by one task.
 
 Defined results: null and empty text have the closing token alone. Repeated rows are packed as often as they occur.
 A null doc_id is packed like any other. An empty table gives an empty result; further columns are ignored.
@@ -188,8 +188,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     """
     path, size = vocabulary(tokenizer, folder), length
     coded = written(spark, tokenised(docs, path, closing))
-    width = 2 if _vocabulary_size(path) <= 1 << 16 else 4
-    total = coded.agg(F.sum("n_tokens")).first()[0] or 0
+    sums = coded.agg(F.sum("n_tokens").alias("n"), F.max(F.octet_length("ids") / F.col("n_tokens")).cast("int").alias("width")).first()
+    total, width = sums.n or 0, sums.width or 2
     ranges = max(1, min(max_ranges, -(-total // range_tokens)))
     bounds = _bounds(coded, total, ranges)
     seats = _seats(spark, ranges)
@@ -228,31 +228,33 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
     return sorted_.select("part", "doc_id", "n_tokens", "ids").mapInArrow(cut, ", ".join(f"{n} long" for n in names) + ", ids binary")
 
 
-def _bounds(coded: DataFrame, total: int, ranges: int, cells: int = 1 << 20) -> np.ndarray:
+def _bounds(coded: DataFrame, total: int, ranges: int, cells: int = 1 << 18) -> np.ndarray:
     """Largest place of each range but the last, so that ranges hold about equal numbers of tokens.
 
-    Tokens are summed by the first bits of the place, at most `cells` sums at a time; what holds more than a range's share
-    is summed again by its next bits. A cell that can't be cut further is one place.
+    Tokens are summed by the first bits of the place, at most `cells` sums at a time, which come to the driver as two arrays; what
+    holds more than a range's share is summed again by its next bits. A cell that can't be cut further is one place.
     """
-    share, bits = max(1, total // ranges), DIMS * BITS + TIE_BITS
-    done: list[tuple[int, int]] = []  # the cell's last place, tokens
-    wide: list[int] | None = None  # cells to be cut, of `shift` bits
-    shift = bits
-    while ranges > 1 and (wide is None or wide) and shift > 0:
-        taken = min(shift, max(1, cells.bit_length() - 1 - (len(wide).bit_length() if wide else 0)))
-        rows = coded if wide is None else coded.join(F.broadcast(coded.sparkSession.createDataFrame([(w,) for w in wide], "cell long")), F.shiftright("place", shift) == F.col("cell"), "left_semi")
+    share, shift = max(1, total // ranges), DIMS * BITS + TIE_BITS
+    lasts, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    wide: np.ndarray | None = None  # cells to be cut, of `shift` bits
+    while ranges > 1 and shift > 0 and (wide is None or len(wide)):
+        taken = min(shift, max(1, cells.bit_length() - 1 - (0 if wide is None else len(wide).bit_length())))
+        rows = coded
+        if wide is not None:
+            held = coded.sparkSession.createDataFrame([(int(w),) for w in wide], "cell long")
+            rows = coded.join(F.broadcast(held), F.shiftright("place", shift) == F.col("cell"), "left_semi")
         shift -= taken
-        sums = [(r.cell, r.n) for r in rows.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.sum("n_tokens").alias("n")).collect()]
-        wide = [c for c, n in sums if n > share and shift]
-        done += [((c + 1 << shift) - 1, n) for c, n in sums if n <= share or not shift]
-    done.sort()
-    bounds, held = [], 0
-    for last, n in done[:-1]:
-        held += n
-        if held >= share:
-            bounds.append(last)
-            held = 0
-    return np.array(bounds[: ranges - 1], np.int64)
+        sums = rows.groupBy(F.shiftright("place", shift).alias("cell")).agg(F.sum("n_tokens").alias("n")).toArrow()
+        cell, n = (sums.column(i).to_numpy() for i in range(2))
+        large = (n > share) & (shift > 0)
+        wide = cell[large]
+        lasts.append((cell[~large] + 1 << shift) - 1)
+        sizes.append(n[~large])
+    last, n = np.concatenate(lasts), np.concatenate(sizes)
+    order = np.argsort(last)
+    full = np.cumsum(n[order]) // share
+    ends = np.flatnonzero(full[:-1] > np.concatenate([[0], full[:-2]])) if len(full) > 1 else np.zeros(0, np.int64)
+    return last[order][ends][: ranges - 1].astype(np.int64)
 
 
 def _seats(spark: SparkSession, ranges: int) -> np.ndarray:
@@ -262,12 +264,6 @@ def _seats(spark: SparkSession, ranges: int) -> np.ndarray:
     return np.array([found.get(i, i) for i in range(ranges)], np.int64)
 
 
-def _vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path).get_vocab_size()
-
-
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(spark, table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -86,9 +86,11 @@ def _all(done: list[DataFrame], ranks: DataFrame, names: list[str]) -> DataFrame
 
 def percentiles(rows: DataFrame, value: str, *keys: str, limit: int = FEW_ROWS) -> DataFrame:
     """AGG-20/21/30: keys, p95 (nearest rank), median (interpolated), n; both exact. limit: rows of a key of few rows."""
+    built_in = [F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.count("*").alias("n")]
+    if rows.count() <= limit:  # so few rows that no key can have more
+        return rows.groupBy(*keys).agg(*built_in)
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(value).alias("known")))
     large = sizes.filter(F.col("known") > limit)
-    built_in = [F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.count("*").alias("n")]
     if large.isEmpty():
         return rows.groupBy(*keys).agg(*built_in)
     wanted = F.array(

@@ -68,6 +68,11 @@ class Encoder:
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """At a task's end: a worker that waits for its next task holds no memos."""
+        self.chunks.clear()
+        self.parts.clear()
+
     def merged(self, part: str) -> bytes:
         """Ids of a pre-token."""
         spelt = part if part.isascii() and part.isprintable() else "".join(map(self.letters.get, part.encode()))
@@ -109,7 +114,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One a worker process, so that its memos serve all tasks there."""
+    """One a worker process, as the tokenizer takes time to load."""
     return Encoder(path)
 
 
@@ -176,6 +181,7 @@ def tokenised(docs: DataFrame, path: str, closing: int) -> DataFrame:
                 place = shape.places([np.frombuffer(i, coder.dtype) for i in ids]) << TIE_BITS | ties.astype(np.int64)
                 n = [len(i) // coder.dtype.itemsize for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(place), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "place", "ids"])
+        coder.forget()
 
     return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, place long, ids binary")
 
@@ -206,7 +212,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str = "word_bpe_49k.js
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0
-        encoder.cache_clear()  # texts are done; their memos would only take memory beside the ids
         for batch in (b.slice(k, CUT_ROWS) for b in batches for k in range(0, b.num_rows, CUT_ROWS)):
             rows: list[tuple] = []
             for p, doc, n, ids in zip(*(batch.column(i) for i in range(4)), strict=True):

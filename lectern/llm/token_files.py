@@ -83,6 +83,11 @@ class PieceEncoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def forget(self) -> None:
+        """At a task's end: a worker that waits for its next task holds no memos."""
+        self.led.clear()
+        self.others.clear()
+
     def merged(self, part: str) -> bytes:
         """Ids of a pre-token."""
         return b"".join([self.packed[t.id] for t in self.merge(part.encode().decode("latin-1").translate(self.letters))])
@@ -148,7 +153,7 @@ class PieceEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One a worker process, so that its memo serves all tasks there."""
+    """One a worker process, as the tokenizer takes time to load."""
     return PieceEncoder(path)
 
 
@@ -161,6 +166,7 @@ def encoded(docs: DataFrame, path: str, closing: int) -> DataFrame:
         for batch in batches:
             ids = [coder.encode(t.as_py()) + end for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // width for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        coder.forget()
 
     return documents(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

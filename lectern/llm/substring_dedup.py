@@ -4,21 +4,23 @@ Cover samples and classes of equal hashes take the place of a blockwise suffix s
 bytes in every window of `length` bytes, so two equal windows hold the same sample at the same place in them. Each
 sample with the windows it stands for is one segment (under two window lengths), and is put in the bucket of its hash:
 
-1. Buckets with one sample are dropped: their windows occur once. Only packed hashes are dealt out to find them.
-2. In place of ranks for long ties: in a bucket, samples of equal segments are one class. All members but the earliest
-   are repeats with all their windows; no bytes are compared for them.
+1. In place of ranks for long ties: samples of equal segments are one class. All members but the earliest
+   are repeats with all their windows; no bytes are compared for them. A task keeps the earliest of its own and deals only those out.
+2. Samples with one class are dropped: their windows occur once, or in repeats that are found already.
 3. What is left are the earliest members of classes in buckets of two classes or more: segments that agree around the
-   sample and differ further out. Only for these are the single windows put in buckets of their own, where the
-   earliest stays.
+   sample and differ further out. Only for these are the single windows hashed and compared, where the
+   earliest stays. Equal windows hold the same sample, so they are dealt out by it, a segment's windows together.
 
-Every step is a grouped aggregate or a join that stands hot keys, so memory is bounded by a task's share of rows.
+Texts are hashed in one pass, and meet the segments of step 3 and the spans to cut in one shuffle each. Numbers are dealt
+out packed, a row a bucket. A sample that has over HOT segments in a task is marked; its segments are told apart by
+class and its windows by their own hash, each at most once a task. So a bucket's share of any sample is bounded by the number of tasks.
 Windows and segments are identified by 64-bit hashes of all their bytes.
 
 Defined results: null text is empty; texts under `length` bytes keep all. Earlier is a smaller doc_id, then an earlier
 start; a null doc_id comes last. Rows of the same doc_id, or of none, are documents of their own in the order of the
 input; each loses bytes only by its own spans.
 An empty table gives an empty result; further columns are ignored. A very long text is held whole by one task, with about
-55 bytes for each of its own (one of 20 MB took 1.1 GB).
+25 bytes for each of its own while it is sampled (20 MB took 0.46 GB there, measured outside Spark).
 """
 
 from __future__ import annotations
@@ -27,25 +29,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, documents, table, with_hot_keys, with_row_keys, written
+from lectern.llm.common import documents, table, with_row_keys, written
 from lectern.llm.packing import mixed
 
 LENGTH, GRAM = 100, 40
-#: Bytes of documents that are hashed at a time; a longer document alone.
-CHUNK = 1 << 19
-#: Hashes that a task gathers before it sends them.
-FLUSH = 1 << 22
+#: Bytes of documents that are hashed, and that are cut, at a time; a longer document alone.
+CHUNK, CUT = 1 << 16, 1 << 19
+#: Samples, and windows, that a task gathers before it sends them.
+FLUSH = 1 << 20
+#: Segments of one sample in a flush, beyond which all tasks tell the sample's segments apart by class.
+HOT = 32
+#: What is known of a span: it starts earlier; it is asked for among others of its sample, or of its class; its windows are to be compared.
+GONE, ASKED, LATE, OPEN = range(4)
+#: Rows that are dealt out: a bucket's packed numbers. For windows, `hash` has those of all spans, one after the other.
+NUMBERS = {"hash": np.uint64, "segment": np.uint64, "doc": np.int64, "span": np.int64}
+DEALT = "bucket int, kind byte, hash binary, segment binary, doc binary, span binary"
+FOUND = "kind byte, doc long, span long, key long"
+NONE = np.zeros(0, np.uint64)
 
 
 class Hasher:
     """Hashes of the strings that start at each place of a buffer."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: np.ndarray) -> None:
         self.n = len(data)
-        padded = np.frombuffer(data + bytes(264), np.uint8)
+        padded = np.concatenate([data, np.zeros(264, np.uint8)])
         eight = np.ndarray((self.n + 256,), np.uint64, padded, strides=(1,))
         self.eight = eight >> np.uint64(29)  # eight bytes from each place on, stirred once for all sums
         self.eight ^= eight
@@ -65,216 +76,318 @@ class Hasher:
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each `width` neighbours, by prefix and suffix minima of blocks."""
-    n = len(x) - width + 1
-    blocks = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
-    blocks[: len(x)] = x
-    blocks = blocks.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
-
-
-def cover_samples(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each sample of the texts: which text, sample hash, segment hash, first window, number of windows."""
-    starts = np.cumsum([0, *map(len, texts)])
-    data = b"".join(texts)
+    """Minimum of each `width` neighbours, by minima of 2, 4, 8... neighbours."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def cover_samples(data: np.ndarray, places: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each sample of the texts that lie between the places in data: which text, sample hash, segment hash, first window, number of windows."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, NONE, NONE, none, none
     hasher = Hasher(data)
     grams = hasher.at(slice(0, len(data) - gram + 1), gram)
     bits = np.uint64(max(1, int(len(data)).bit_length()))
     low = sliding_minimum((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
-    valid = np.flatnonzero(owner[: len(low)] == owner[length - 1 : length - 1 + len(low)])
-    at = (low[valid] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    edge = np.ones(len(valid), bool)
-    edge[1:] = (np.diff(at) != 0) | (np.diff(valid) != 1)
-    begin = np.flatnonzero(edge)
-    first = valid[begin]
-    count = np.diff(np.append(begin, len(valid)))
-    sample = at[begin]
+    low &= np.uint64((1 << int(bits)) - 1)
+    edge, inside = np.ones(len(low), bool), np.ones(len(low), bool)
+    edge[1:] = low[1:] != low[:-1]
+    for end in places[1:-1].tolist():  # windows that reach into the next text are none
+        inside[max(0, end - length + 1) : end] = False
+        edge[end : end + 1] = True
+    first, stops = np.flatnonzero(edge & inside), np.append(np.flatnonzero(edge | ~inside), len(low))
+    count = stops[np.searchsorted(stops, first, side="right")] - first
+    sample = low[first].astype(np.int64)
     shape = ((count << 16) | (sample - first)).astype(np.uint64)
     segment = mixed(hasher.at(first, length) * np.uint64(3) + hasher.at(first + count - 1, length) + mixed(shape))
-    own = owner[first]
-    return own, grams[sample], segment, first - starts[own], count
-
-
-def _pieces(ids: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Runs of documents of about CHUNK bytes."""
-    at = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= CHUNK:
-            yield ids[at : k + 1], texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(ids):
-        yield ids[at:], texts[at:]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc", F.col("text").cast("binary").alias("data"))
+    own = np.searchsorted(places, first, side="right") - 1
+    return own, grams[sample], segment, first - places[own], count
 
 
-def _packed(hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A row a bucket with its hashes, each once, or twice if it occurs more often here."""
-    found, count = np.unique(np.concatenate(hashes), return_counts=True)
-    found = np.sort(np.concatenate([found, found[count > 1]]))
-    bucket = found // np.uint64(-(-(1 << 64) // buckets))
-    edges = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
-    parts = np.split(found, edges[1:]) if len(edges) else []
-    return pa.RecordBatch.from_arrays([pa.array(bucket[edges].astype(np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "hashes"])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of binary values without nulls, and the places where values begin and the last ends."""
+    places = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[places[0] : places[-1]]
+    return data, places - places[0]
 
 
-def repeated_hashes(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """hash: those that occur twice or more in parts (bucket, hashes); see _packed(). A task sorts one bucket at a time, which holds a hash of each task before it at most twice."""
-
-    def again(held: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(every[1:][every[1:] == every[:-1]]).view(np.int64))], ["hash"])
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows of about so many bytes, with _flat() of their column data."""
+    for batch in batches:
+        at, places = 0, _flat(batch.column("data"))[1] if batch.num_rows else None
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(places, places[at] + size, side="right")) - 1)
+            piece = batch.slice(at, to - at)
+            yield piece, *_flat(piece.column("data"))
+            at = to
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last = None
-        for batch in batches:
-            for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held and bucket != last:
-                    yield again(held)
-                    held = []
-                last = bucket
-                held.append(np.frombuffer(hashes.as_py(), np.uint64))
-        if held:
-            yield again(held)
 
-    dealt = parts.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(find, "hash long")
-    return written(spark, dealt)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc", F.col("text").cast("binary").alias("data"))
 
 
 def _buckets(docs: DataFrame) -> int:
-    """So many that a bucket has the samples of about 5000 documents."""
-    return max(64, docs.count() // 5000)
-
-
-def sample_hashes(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """bucket, hashes of all cover samples."""
-    buckets = _buckets(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, texts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append(cover_samples(texts, length, gram)[1])
-                if sum(map(len, held)) > FLUSH:
-                    yield _packed(held, buckets)
-                    held = []
-        if held:
-            yield _packed(held, buckets)
-
-    return _keyed(docs).mapInArrow(run, "bucket int, hashes binary")
-
-
-def samples(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, sample, segment, first, n of every cover sample of the documents."""
+    """So many that a bucket has the samples of about 1000 documents."""
+    return max(1024, docs.count() // 1000)
+
+
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes of samples are minima; mixed anew, they fill all buckets alike."""
+    return (mixed(hashes) // np.uint64(-(-(1 << 64) // buckets))).astype(np.int64)
+
+
+def _span(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First window and number of windows (under 2**16) as one integer."""
+    return (first.astype(np.int64) << 16) | n
+
+
+def _ramp(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _ranked(first: np.ndarray, second: np.ndarray | None, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of those whose first key occurs twice or more: which, in order of both keys, doc and place; where a first key begins; where both keys do; how many second keys the first has."""
+    order = np.argsort(first)
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = first[order[1:]] == first[order[:-1]]
+    at = order[same[1:] | same[:-1]]
+    at = at[np.lexsort((place[at], doc[at], *([] if second is None else [second[at]]), first[at]))]
+    if not len(at):
+        return at, same[:0], same[:0], at
+    opens = np.ones(len(at), bool)
+    opens[1:] = first[at[1:]] != first[at[:-1]]
+    begins = opens.copy()
+    if second is not None:
+        begins[1:] |= second[at[1:]] != second[at[:-1]]
+    group = np.cumsum(opens) - 1
+    return at, opens, begins, np.bincount(group[begins])[group]
+
+
+def _packed(kind: int, bucket: np.ndarray, hashes: np.ndarray, segment: np.ndarray, doc: np.ndarray, span: np.ndarray, wide: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A row a run of one bucket; wide: how many hashes a span has, if not one."""
+    if not len(bucket):
+        return
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    arrays = [pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(np.full(len(edges) - 1, kind, np.int8))]
+    for name, column in zip(NUMBERS, (hashes, segment, doc, span), strict=True):
+        places = np.append(0, np.cumsum(wide))[edges] if name == "hash" and wide is not None else edges
+        places = np.minimum(places, len(column)) * 8
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(column))]))
+    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "kind", *NUMBERS])
+
+
+def _gone(doc: np.ndarray, span: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans that start earlier, dealt out in any way. Neighbours become one, up to 256 of them."""
+    if not len(doc):
+        return
+    order = np.lexsort((span, doc))
+    doc, first, n = doc[order], span[order] >> 16, span[order] & 0xFFFF
+    edge = np.ones(len(doc), bool)
+    edge[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1])
+    begin = np.flatnonzero(edge)
+    edge |= (np.arange(len(doc)) - begin[np.cumsum(edge) - 1]) % 256 == 0
+    begin = np.flatnonzero(edge)
+    doc, span = doc[begin], _span(first[begin], np.add.reduceat(n, begin))
+    yield from _packed(GONE, (np.arange(len(doc)) // 4096 + int(first[0])) % buckets, NONE, NONE, doc, span)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, sample, segment, first, count = cover_samples(texts, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[own]), pa.array(sample.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16))], ["doc", "sample", "segment", "first", "n"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, sample long, segment long, first int, n short")
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[np.ndarray]]]:
+    """Of rows in order of bucket and kind: each bucket's numbers by kind."""
+    held: dict[int, list[list[bytes]]] = {}
+    last = None
 
+    def whole() -> dict[int, list[np.ndarray]]:
+        return {kind: [np.frombuffer(b"".join(parts), t) for parts, t in zip(columns, NUMBERS.values(), strict=True)] for kind, columns in held.items()}
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Document, places and hashes of the windows of wanted spans; batches: doc, data, spans."""
     for batch in batches:
-        for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in spans]))
-            yield doc, at, Hasher(data.as_py()).at(at, length)
-
-
-def repeated_windows(spark: SparkSession, docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """doc, at, window (hash) of those windows of the wanted segments that occur twice or more; wanted: doc, spans."""
+        if not batch.num_rows:
+            continue
+        bucket, kind = (batch.column(k).to_numpy() for k in range(2))
+        flat = [_flat(batch.column(name)) for name in NUMBERS]
+        edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and bucket[a] != last:
+                yield whole()
+                held = {}
+            last = bucket[a]
+            columns = held.setdefault(int(kind[a]), [[] for _ in NUMBERS])
+            for parts, (data, places) in zip(columns, flat, strict=True):
+                parts.append(data[places[a] : places[b]].tobytes())
+    if held:
+        yield whole()
+
+
+def _found(kind: int, doc: np.ndarray, span: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    keys = pa.nulls(len(doc), pa.int64()) if key is None else pa.array(key.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(span), keys], ["kind", "doc", "span", "key"])
+
+
+def _in_buckets(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "kind")
+
+
+def segments(spark: SparkSession, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """kind, doc, span, key of segments: GONE; OPEN, with their sample; LATE, of a sample in many segments, with their class."""
+    buckets, hot = _buckets(docs), HOT
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        sample, segment, doc, span = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        at, opens, begins, classes = _ranked(sample, segment, doc, span)
+        yield from _gone(doc[at[~begins]], span[at[~begins]], buckets)
+        late, marks = at[begins & (classes > hot)], at[opens & (classes > hot)]
+        yield from _packed(LATE, np.sort(_bucket(sample[late], buckets)), mixed(sample[late]) + segment[late], NONE, doc[late], span[late])
+        rest = np.ones(len(sample), bool)
+        rest[at[~begins]] = rest[late] = False
+        rest = np.append(np.flatnonzero(rest), marks)
+        span[marks] = 0  # no windows: the mark of a sample in many segments
+        bucket = _bucket(sample[rest], buckets)
+        order = np.argsort(bucket)
+        rest = rest[order]
+        yield from _packed(ASKED, bucket[order], sample[rest], segment[rest], doc[rest], span[rest])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for piece, data, places in _pieces(batches):
+            own, sample, segment, first, n = cover_samples(data, places, length, gram)
+            held.append((sample, segment, piece.column("doc").to_numpy()[own], _span(first, n)))
+            size += len(own)
+            if size >= FLUSH:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in _by_bucket(batches):
+            if GONE in kinds:
+                yield _found(GONE, *kinds[GONE][2:])
+            if LATE in kinds:
+                yield _found(LATE, *kinds[LATE][2:], kinds[LATE][0])
+            if ASKED in kinds:
+                sample, segment, doc, span = kinds[ASKED]
+                if (marks := span == 0).any():
+                    hot = np.isin(sample, sample[marks])
+                    late = hot & ~marks
+                    yield _found(LATE, doc[late], span[late], mixed(sample[late]) + segment[late])
+                    sample, segment, doc, span = (x[~hot] for x in (sample, segment, doc, span))
+                at, _, begins, classes = _ranked(sample, segment, doc, span)
+                yield _found(GONE, doc[at[~begins]], span[at[~begins]])
+                heads = at[begins & (classes > 1)]
+                yield _found(OPEN, doc[heads], span[heads], sample[heads])
+
+    return written(spark, _in_buckets(_keyed(docs).mapInArrow(deal, DEALT)).mapInArrow(judge, FOUND))
+
+
+def windows(spark: SparkSession, docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """doc, span of the windows that also start earlier in the wanted segments; wanted: doc, span, key (null: the windows are dealt out by their own hashes)."""
     buckets = _buckets(docs)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for _, _, h in _windows(batches, length):
-            held.append(h)
-            if len(held) >= 5000:
-                yield _packed(held, buckets)
-                held = []
-        if held:
-            yield _packed(held, buckets)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, at, h in _windows(batches, length):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc", "at", "window"])
-
-    texts = _keyed(docs).join(wanted, "doc").select("doc", "data", "spans")
-    again = repeated_hashes(spark, texts.mapInArrow(pack, "bucket int, hashes binary"))
-    return texts.mapInArrow(rows, "doc long, at int, window long").join(bounded(again.withColumnRenamed("hash", "window"), again.count(), 24), "window", "left_semi")
+    def sent(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        hashes, doc, span, key, late = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        n = span & 0xFFFF
+        begin = np.cumsum(n) - n
+        bucket = _bucket(key, buckets)
+        heads = np.flatnonzero(~late)
+        heads = heads[np.argsort(bucket[heads])]
+        at = np.repeat(begin[heads], n[heads]) + _ramp(n[heads])
+        yield from _packed(OPEN, bucket[heads], hashes[at], NONE, doc[heads], span[heads], n[heads])
+        heads = np.flatnonzero(late)
+        at = np.repeat(begin[heads], n[heads]) + _ramp(n[heads])
+        hashes, doc, span = hashes[at], np.repeat(doc[heads], n[heads]), _span(np.repeat(span[heads] >> 16, n[heads]) + _ramp(n[heads]), 1)
+        at, _, begins, _ = _ranked(hashes, None, doc, span)
+        yield from _gone(doc[at[~begins]], span[at[~begins]], buckets)
+        rest = np.ones(len(hashes), bool)
+        rest[at[~begins]] = False
+        rest = np.flatnonzero(rest)
+        bucket = _bucket(hashes[rest], buckets)
+        order = np.argsort(bucket)
+        rest = rest[order]
+        yield from _packed(OPEN, bucket[order], hashes[rest], NONE, doc[rest], span[rest])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for piece, data, places in _pieces(batches):
+            many, spans = piece.column("spans").value_lengths().to_numpy(), piece.column("spans").flatten()
+            span, key = spans.field(0).to_numpy(), spans.field(1)
+            own, n = np.repeat(np.arange(piece.num_rows), many), span & 0xFFFF
+            hashes = Hasher(data).at(np.repeat(places[own] + (span >> 16), n) + _ramp(n), length)
+            late = key.is_null().to_numpy(zero_copy_only=False)
+            held.append((hashes, piece.column("doc").to_numpy()[own], span, key.fill_null(0).to_numpy().view(np.uint64), late))
+            size += len(hashes)
+            if size >= FLUSH:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kinds in _by_bucket(batches):
+            if GONE in kinds:
+                yield _found(GONE, *kinds[GONE][2:])
+            if OPEN in kinds:
+                hashes, _, doc, span = kinds[OPEN]
+                n = span & 0xFFFF
+                own, place = np.repeat(np.arange(len(n)), n), np.repeat(span >> 16, n) + _ramp(n)
+                at, _, begins, _ = _ranked(hashes, None, doc[own], place)
+                gone = np.sort(at[~begins])
+                edge = np.ones(len(gone), bool)
+                edge[1:] = (np.diff(gone) != 1) | (np.diff(own[gone]) != 0)
+                begin = np.flatnonzero(edge)
+                yield _found(GONE, doc[own[gone[begin]]], _span(place[gone[begin]], np.diff(np.append(begin, len(gone)))))
+
+    spans = wanted.groupBy("doc").agg(F.collect_list(F.struct("span", "key")).alias("spans"))
+    dealt = _keyed(docs).join(spans, "doc").select("doc", "data", "spans").mapInArrow(deal, DEALT)
+    return written(spark, _in_buckets(dealt).mapInArrow(judge, FOUND)).select("doc", "span")
 
 
-def _later(rows: DataFrame, key: str, place: str, total: int) -> DataFrame:
-    """Rows whose key occurs at an earlier doc and place."""
-    known = rows.groupBy(key).agg(F.min(F.struct("doc", place)).alias("earliest"), F.count("*").alias("copies")).filter("copies > 1")
-    return with_hot_keys(rows, known, key, "copies", total).filter(F.struct("doc", place) > F.col("earliest"))
-
-
-def _by_document(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("doc").agg(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n"))).alias("spans"))
-
-
-def _narrow(spark: SparkSession, spans: DataFrame) -> DataFrame:
-    """spans by document, for broadcast where all of them fit."""
-    spans = written(spark, _by_document(spans))
-    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("w")).first()
-    return bounded(spans, size.n * 2 + size.w, 32)
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc, spans: the windows that also start earlier, as one integer each for a first window and their number, see _span(); docs: doc (key of a row), text."""
+    found = segments(spark, docs, length, gram)
+    earliest = F.row_number().over(Window.partitionBy("key").orderBy("doc", "span")) == 1
+    late = written(spark, found.filter(found.kind == LATE).select("doc", "span", earliest.alias("earliest")))
+    open_ = found.filter(found.kind == OPEN).select("doc", "span", "key").unionByName(late.filter("earliest").select("doc", "span", F.lit(None).cast("long").alias("key")))
+    single = windows(spark, docs, open_, length)
+    gone = found.filter(found.kind == GONE).select("doc", "span").unionByName(late.filter("NOT earliest").select("doc", "span")).unionByName(single)
+    return gone.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, spans (array of first, n): the windows that also start earlier; docs: doc (key of a row), text."""
-    again = repeated_hashes(spark, sample_hashes(docs, length, gram))
-    known = bounded(again.withColumnRenamed("hash", "sample"), again.count(), 24)
-    shared = samples(docs, length, gram).join(known, "sample", "left_semi")
-    shared = written(spark, shared.select("doc", "first", "n", "sample", F.xxhash64("sample", "segment").alias("class")))
-    total = shared.count()
-    whole = written(spark, _later(shared, "class", "first", total).select("doc", "first", "n"))
-    classes = written(spark, shared.groupBy("class").agg(F.min("sample").alias("sample"), F.min(F.struct("doc", "first", "n")).alias("head")))
-    open_ = classes.groupBy("sample").agg(F.count("*").alias("classes")).filter("classes > 1")
-    heads = with_hot_keys(classes, open_, "sample", "classes", total).select("head.*")
-    single = written(spark, repeated_windows(spark, docs, _narrow(spark, heads), length))
-    single = _later(single, "window", "at", single.count()).select("doc", F.col("at").alias("first"), F.lit(1).cast("short").alias("n"))
-    return _narrow(spark, whole.union(single))
+REMOVED = pa.struct([("first", pa.int64()), ("n", pa.int64())])
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, data (the bytes that stay), removed (runs: first, n)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
-        for batch in batches:
-            left, runs = [], []
-            for data, spans in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = np.frombuffer(data.as_py(), np.uint8)
-                step = np.zeros(len(data) + 1, np.int32)
-                first, n = (np.array([s[k] for s in spans]) for k in ("first", "n"))
-                np.add.at(step, first, 1)
-                np.add.at(step, first + n + length - 1, -1)
-                gone = np.cumsum(step) > 0
-                edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0)).reshape(-1, 2)
-                left.append(data[~gone[:-1]].tobytes())
-                runs.append([{"first": int(a), "n": int(b - a)} for a, b in edges])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()), pa.array(left, pa.binary()), pa.array(runs, kind)], ["doc_id", "n_bytes", "data", "removed"])
+        for piece, data, places in _pieces(batches, CUT):
+            many, span = piece.column("spans").value_lengths().fill_null(0).to_numpy(), piece.column("spans").flatten().to_numpy()
+            first = np.repeat(places[:-1], many) + (span >> 16)
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, first, 1)
+            np.add.at(step, first + (span & 0xFFFF) + length - 1, -1)
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+            turns = np.zeros(len(data) + 1, bool)
+            turns[1:-1] = gone[1:] != gone[:-1]
+            turns[places] = True  # runs end with their documents
+            turns = np.flatnonzero(turns)
+            runs = np.flatnonzero(gone[turns[:-1]])
+            begin, n = turns[runs], turns[runs + 1] - turns[runs]
+            own = np.searchsorted(places, begin, side="right") - 1
+            stay = np.append(0, np.cumsum(~gone))[places].astype(np.int32)
+            left = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(stay), pa.py_buffer(data[~gone])])
+            removed = pa.StructArray.from_arrays([pa.array(begin - places[own]), pa.array(n)], fields=list(REMOVED))
+            edges = pa.array(np.searchsorted(own, np.arange(piece.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(places)), left, pa.ListArray.from_arrays(edges, removed)], ["doc_id", "n_bytes", "data", "removed"])
 
     docs = with_row_keys(documents(docs, "doc_id", "text"))
-    keyed = docs.select("doc", "doc_id", F.col("text").cast("binary").alias("data"))
     found = repeated_spans(spark, docs, length, gram)
-    changed = keyed.join(found, "doc").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, data binary, removed array<struct<first:long,n:long>>")
-    same = keyed.join(found.select("doc"), "doc", "left_anti").select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), "data", F.array().cast("array<struct<first:long,n:long>>").alias("removed"))
-    return changed.unionByName(same)
+    keyed = docs.select("doc", "doc_id", F.col("text").cast("binary").alias("data"))
+    return keyed.join(found, "doc", "left").select("doc_id", "data", "spans").mapInArrow(cut, "doc_id long, n_bytes long, data binary, removed array<struct<first:long,n:long>>")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -272,6 +273,53 @@ def test_substring_edge_cases(spark, nothing):
     assert out == [(-1, 0), (2, 151), (5, 0), (7, 1), (9, 0)]
 
 
+def cut_by_hand(texts, length=100):
+    """Bytes that stay of each text, by a look at every window."""
+    seen, left = set(), []
+    for data in texts:
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            s = data[i : i + length]
+            if s in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(s)
+        left.append(bytes(c for c, g in zip(data, gone, strict=True) if not g))
+    return left
+
+
+@pytest.mark.parametrize("hot", [1, 3, 32])
+def test_substring_dedup_of_a_sample_in_many_segments(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    r = random.Random(5)
+    say = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    passage, ends = say(70), [say(60) for _ in range(6)]
+    texts = [f"{say(r.randint(0, 90))}{passage}{r.choice(ends)[: r.randint(0, 60)]}" for _ in range(150)] + [f"{passage}{e}" for e in ends] * 2 + ["", passage, say(3000) + passage + ends[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(3, F.when(F.col("doc_id") < 140, 0).otherwise(F.col("doc_id")))
+    out = {r.doc_id: bytes(r.data) for r in substring_dedup.dedup_substrings(spark, frame).collect()}
+    want = cut_by_hand([t.encode() for t in texts])
+    assert out == dict(enumerate(want)) and sum(map(len, want)) < sum(map(len, texts))
+
+
+def test_substring_dedup_deals_out_little_where_nothing_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "bounded", lambda df, *_: df, raising=False)  # as for tables beyond its bound
+    r = random.Random(6)
+    say = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    passages = [say(150) for _ in range(200)]
+    texts = ["".join([say(300), r.choice(passages), say(500), r.choice(passages), say(200)]) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    frame.count()
+    dealt = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = dealt()
+        out = {r.doc_id: bytes(r.data) for r in substring_dedup.dedup_substrings(spark, frame).collect()}
+        assert dealt() - before < 5 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert out == dict(enumerate(cut_by_hand([t.encode() for t in texts])))
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", '<html lang="en"><head><title>T &amp; x</title></head><body><p>Hi <b>you</b></p><script>no()</script><a href="b">c</a></body></html>'), (2, None, None), (2, None, None), (3, "http://é/", "plain <")], "page_id long, url string, html string")
     out = warc.derive(warc.responses(pages)).orderBy("page_id", "record_type").collect()

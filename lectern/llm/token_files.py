@@ -45,6 +45,8 @@ from lectern.llm.token_counts import PATTERN, UNPROVEN, byte_alphabet
 SKIPPABLE, SEEK_MAGIC, SEEK_HEADER = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 CHECKSUMS = 1 << 7
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: ASCII marks: neither letters nor digits nor white space.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 ENTRY, HEAD, FOOT = struct.Struct("<III"), struct.Struct("<II"), struct.Struct("<IBI")
 
 #: Documents of an index frame, and pieces of text that a worker remembers.
@@ -57,7 +59,9 @@ class PieceEncoder:
     Byte-level BPE merges inside pre-tokens alone. A blank that is followed by no white space begins a pre-token, so a text
     without other blanks is cut at each of them; any other text is cut by `pieces`, which needs no character class but white
     space. What a blank leads is encoded once and kept in a bounded memo: of characters whose classes were proven (see
-    token_counts), pre-token by pre-token by the model's merges, else by the library. Text that holds a special token's
+    token_counts), pre-token by pre-token by the model's merges, else by the library. Most pieces need no pattern for that:
+    a line's end between characters that are no white space is a pre-token, and so are letters, and ASCII marks behind
+    them up to the end; a word alone and before marks share their place in the memo. Text that holds a special token's
     string, and any text of a tokenizer of another kind, is encoded whole by the library.
     """
 
@@ -73,10 +77,11 @@ class PieceEncoder:
         self.by_piece = (kind.get("type"), kind.get("add_prefix_space"), kind.get("use_regex"), made["normalizer"], made["model"]["type"], made["model"]["dropout"]) == ("ByteLevel", False, True, None, "BPE", None)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)").search
         self.pieces = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
-        self.odd_blank = re.compile(rf" (?=[{SPACES}]|\Z)").search
         self.split, self.unproven = regex.compile(PATTERN).findall, regex.compile(UNPROVEN).search
         letters = {b: c for c, b in byte_alphabet().items()}
         self.letters, self.merge = {b: letters[b] for b in range(256)}, self.whole.model.tokenize
+        self.lead = letters[ord(" ")]
+        self.line_end = self.merged("\n") if self.by_piece else b""
         self.led: dict[str, bytes] = {}  # by what follows the blank
         self.others: dict[str, bytes] = {}  # by the piece or pre-token itself
 
@@ -92,19 +97,35 @@ class PieceEncoder:
         """Ids of a pre-token."""
         return b"".join([self.packed[t.id] for t in self.merge(part.encode().decode("latin-1").translate(self.letters))])
 
+    def stem(self, letters: str, led: bool) -> bytes:
+        """Ids of letters, and of a blank before them if they are led by one, which are one pre-token."""
+        if not letters.isascii():
+            return self.merged(" " + letters if led else letters)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merge(self.lead + letters if led else letters)])
+
     def part(self, part: str) -> bytes:
         """Ids of a pre-token, of which the memo may have some."""
-        if (ids := self.led.get(part[1:]) if part[0] == " " else None) is None and (ids := self.others.get(part)) is None:
+        memo, key = (self.led, part[1:]) if part[0] == " " and len(part) > 1 and part[1] not in self.blanks else (self.others, part)
+        if (ids := memo.get(key)) is None:
             ids = self.merged(part)
-            self.keep(self.others, part, ids)
+            self.keep(memo, key, ids)
         return ids
 
-    def new(self, piece: str) -> bytes:
-        """Ids of a piece that no memo has."""
+    def new(self, word: str, led: bool) -> bytes:
+        """Ids of a word or white space, and of a blank before it if it is led by one, that no memo has."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or not self.unproven(letters)):
+            if len(letters) == len(word):
+                return self.stem(letters, led)
+            memo = self.led if led else self.others
+            if (ids := memo.get(letters)) is None:
+                ids = self.stem(letters, led)
+                self.keep(memo, letters, ids)
+            return ids + self.part(word[len(letters) :])
+        piece = " " + word if led else word
         if self.unproven(piece):
             return self.ids(piece)
-        if piece[piece[0] == " " :].isalpha():
-            return self.merged(piece)
         parts = self.split(piece)
         return self.merged(piece) if len(parts) == 1 else b"".join([self.part(p) for p in parts])
 
@@ -115,11 +136,16 @@ class PieceEncoder:
                 memo.clear()
             memo[key] = ids
 
-    def word(self, word: str) -> bytes:
-        """Ids of a blank and what follows it."""
-        if (ids := self.led.get(word)) is None:
-            ids = self.new(" " + word)
-            self.keep(self.led, word, ids)
+    def word(self, word: str, led: bool = True) -> bytes:
+        """Ids of what begins with no white space, and of a blank before it if it is led by one."""
+        memo = self.led if led else self.others
+        if (ids := memo.get(word)) is None:
+            if "\n" in word:
+                first, *lines = word.split("\n")
+                if not any(not x or x[0] in self.blanks or x[-1] in self.blanks for x in (first, *lines)):
+                    return self.line_end.join([self.word(first, led), *[self.word(x, False) for x in lines]])
+            ids = self.new(word, led)
+            self.keep(memo, word, ids)
         return ids
 
     def loose(self, text: str) -> bytes:
@@ -129,7 +155,7 @@ class PieceEncoder:
             if piece[0] == " " and len(piece) > 1:
                 found.append(self.word(piece[1:]) if piece[1] not in self.blanks else self.ids(piece))
             elif (ids := self.others.get(piece)) is None:
-                ids = self.new(piece)
+                ids = self.new(piece, False)
                 self.keep(self.others, piece, ids)
                 found.append(ids)
             else:
@@ -141,13 +167,21 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not self.by_piece or self.special(text):
             return self.ids(text)
-        if self.odd_blank(text):
-            return self.loose(text)
         first, *words = text.split(" ")
         found = list(map(self.led.get, words))
-        if None in found:
-            for k in [k for k, ids in enumerate(found) if ids is None]:
-                found[k] = self.word(words[k])
+        known, packed, merge, lead = self.led, self.packed, self.merge, self.lead
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            w = words[k]
+            if w.isalpha() and w.isascii() and len(w) < 64:  # most of them: as word(), without its calls
+                if (ids := known.get(w)) is None:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    ids = known[w] = b"".join([packed[t.id] for t in merge(lead + w)])
+                found[k] = ids
+            elif not w or w[0] in self.blanks:  # no memo has these
+                return self.loose(text)
+            else:
+                found[k] = self.word(w)
         return self.loose(first) + b"".join(found)
 
 

@@ -154,6 +154,27 @@ def test_pieces_encode_like_the_library():
         assert whole.encode(t) == whole.ids(t), repr(t)
 
 
+def test_words_before_marks_and_line_ends_are_merged_once():
+    coder = token_files.PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    calls = {"merge": 0, "split": 0}
+
+    def counted(name, f):
+        def call(x):
+            calls[name] += 1
+            return f(x)
+
+        return call
+
+    coder.merge, coder.split = (counted(name, getattr(coder, name)) for name in calls)
+    words = [f"q{a}{b}zu" for a in "abcdefghij" for b in "klmnoprstu"]
+    text = "start " + " ".join(f"{w}, {w} {w}.\nNext {w}!?" for w in words)
+    assert coder.encode(text) == coder.ids(text)
+    assert calls["merge"] < len(words) + 10 and not calls["split"], calls
+    lines = "\n".join(["one", "Two,", "été", "3", "--"] * 4000)
+    for t in (lines, f"a {lines}\n b", f"a {lines}\t c", f"a {lines}\n\nb"):
+        assert coder.encode(t) == coder.ids(t)
+
+
 @pytest.mark.parametrize("settings", [{}, {"shard_tokens": 700, "frame_bytes": 100}, {"shard_tokens": 3000, "max_shards": 2, "frame_bytes": 1}])
 def test_token_files(spark, docs, rows, settings):
     from tokenizers import Tokenizer

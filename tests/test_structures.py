@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -86,6 +87,52 @@ def test_deep_chain_takes_few_joins(spark, monkeypatch):
     assert before == {k: spark.conf.get(k) for k in before}
 
 
+def stored(spark):
+    """Bytes of the tables in the shared folder and of shuffle files."""
+    tables = sum(f.stat().st_size for f in Path(lineage.shared_folder(spark).removeprefix("file:"), "lectern-tables").rglob("*.parquet"))
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return tables + sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_closure_stores_no_pairs(spark):
+    chains = spark.range(4000).selectExpr("id", "CASE WHEN id >= 2 THEN id - 2 END AS parent_id")
+    before = stored(spark)
+    tree = trees.closure(chains)
+    out = tree.agg(F.count("*").alias("n"), F.max("depth").alias("deep"), F.sum("depth").alias("total")).first()
+    assert (out.n, out.deep, out.total) == (2000 * 2001, 1999, 2 * sum(d * (2000 - d) for d in range(2000)))
+    assert stored(spark) - before < out.n / 4  # 4 million pairs, of which even one byte each would be 4 MB
+
+
+@pytest.mark.parametrize(("seed", "width"), [(3, 1), (4, 4), (5, 7), (6, 64)])
+def test_closure_across_blocks_and_ranges(spark, monkeypatch, seed, width):
+    """Many blocks, siblings dealt over ranges, deep and flat trees, parents without a row, a null id, ids as text."""
+    monkeypatch.setattr(trees, "BLOCK", (width, width))
+    r = random.Random(seed)
+    parents = forest(seed) | {200 + i: 200 + i - 1 if i else None for i in range(60)} | {300 + i: 0 for i in range(60)} | {400 + i: 900 + i % 3 for i in range(9)}
+    names = {i: f"{r.random()}" for i in [*parents, 900, 901, 902]} | {None: None}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        rows = [(names[i], names[p]) for i, p in parents.items()]
+        r.shuffle(rows)
+        tree = trees.closure(spark.createDataFrame([*rows, (None, names[0])], "id string, parent_id string"))
+        found = sorted(map(repr, (tuple(x) for x in tree.collect())))
+    finally:
+        spark.conf.set(coalesce, kept)
+    want = [(names[a], names[d], depth) for a, d, depth in brute_closure(parents)]
+    assert found == sorted(map(repr, [*want, (None, None, 0)])) and tree.columns == ["ancestor_id", "descendant_id", "depth"]
+
+
+def test_closure_of_repeated_ids_follows_each_path(spark):
+    rows = [(1, None), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4)]
+    want, at = [], [(d, d, 0) for d, _ in rows]
+    while at:  # as the SQL has it
+        want += at
+        at = [(p, d, depth + 1) for a, d, depth in at for i, p in rows if i == a and p is not None]
+    assert sorted(tuple(r) for r in trees.closure(spark.createDataFrame(rows, "id int, parent_id int")).collect()) == sorted(want)
+
+
 def nearest_rank(values, q):
     return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
 
